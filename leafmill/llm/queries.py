@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.llm import fingerprint, licenses, mixing
+from leafmill.llm import fingerprint, licenses, mixing, packing
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op6_mixing": mixing.op6_mixing,
     "op7_licenses": licenses.op7_licenses,
     "op10_fingerprints": fingerprint.op10_fingerprints,
