@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from leafmill.llm import embeddings, fingerprint, licenses, mixing, packing
+from leafmill.llm import embeddings, fingerprint, jaccard, licenses, mixing, packing
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op6_mixing": mixing.op6_mixing,
     "op7_licenses": licenses.op7_licenses,
     "op8_embeddings": embeddings.op8_embeddings,
