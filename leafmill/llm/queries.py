@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import embeddings, fingerprint, jaccard, licenses, mixing, packing
+from leafmill.llm import embeddings, fingerprint, jaccard, licenses, mixing, packing, suffixes
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_licenses": licenses.op7_licenses,
     "op8_embeddings": embeddings.op8_embeddings,
+    "op9_suffixes": suffixes.op9_suffixes,
     "op10_fingerprints": fingerprint.op10_fingerprints,
 }
 
