@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from leafmill.llm import embeddings, fingerprint, jaccard, licenses, mixing, packing, suffixes
+from leafmill.llm import embeddings, fingerprint, jaccard, licenses, mixing, packing, suffixes, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op4_jaccard": jaccard.op4_jaccard,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
     "op7_licenses": licenses.op7_licenses,
     "op8_embeddings": embeddings.op8_embeddings,
