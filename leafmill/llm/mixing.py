@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -172,6 +174,50 @@ def mix_sources(sizes: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFram
     return met.select("doc_id", "_nth", "_source", "start", "length", "shard", "slot", "block"), goals
 
 
+_WORDS = re.compile(WORD)
+
+
+def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """docs, with its columns, as the mix takes them: a row for each pass over a document, with the words it takes.
+
+    Where a pass takes all words the text is unchanged; else it holds the stretches taken, joined by a space. n_chars,
+    if there, is set anew. Documents without words, and those that the mix leaves out, go.
+    """
+    sizes = stage(sized(docs), "sizes")
+    pieces, _ = mix_sources(sizes, mix)
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    uses = pieces.groupBy(key.alias("_key"), F.col("_nth").alias("_n"), "start").agg(F.max("length").alias("length"), F.count("*").alias("uses"))
+    uses = uses.groupBy("_key", "_n").agg(F.array_sort(F.collect_list(F.struct("start", "length", "uses"))).alias("_uses"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.withColumn("_at", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_at").orderBy(F.col("source").cast("string"), size, F.xxhash64("text"))))
+    rows = rows.join(uses, (F.col("_at") == F.col("_key")) & (F.col("_nth") == F.col("_n")))
+    rows = rows.withColumn("_pass", F.explode(F.expr("sequence(1, array_max(transform(_uses, u -> u.uses)))")))
+    rows = rows.withColumn("_uses", F.filter("_uses", lambda u: u["uses"] >= F.col("_pass")))
+
+    @F.pandas_udf("string")
+    def taken(texts: pd.Series, uses: pd.Series) -> pd.Series:
+        return pd.Series([_stretches(t, [(u["start"], u["start"] + u["length"]) for u in us]) for t, us in zip(texts, uses, strict=True)])
+
+    out = rows.withColumn("text", taken("text", "_uses"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
+
+
+def _stretches(text: str, spans: list[tuple[int, int]]) -> str:
+    """The words of text in spans, which ascend, with what stands between them; all of it if all words are in."""
+    at = [m.span() for m in _WORDS.finditer(text)]
+    out: list[list[int]] = []
+    for a, b in spans:
+        if out and out[-1][1] == a:
+            out[-1][1] = b
+        else:
+            out.append([a, b])
+    if out == [[0, len(at)]]:
+        return text
+    return " ".join(text[at[a][0] : at[b - 1][1]] for a, b in out)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = stage(sized(read(spark, sf_dir, "documents")), "sizes")
     pieces, goals = mix_sources(sizes)

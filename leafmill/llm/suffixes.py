@@ -215,7 +215,7 @@ def _of(raw: bytes | None, kind: type = np.int64) -> np.ndarray:
 def pack_shards(docs: DataFrame, config: Repeats, carry: list[str]) -> DataFrame:
     """A table, bucketed by shard, of packed documents: joins by shard move only the other side."""
     spark = docs.sparkSession
-    names = ["shard", "ids", "null_ids", "ends", "data", *carry]
+    names = ["shard", "ids", "null_ids", "ends", "data", *(f"carry_{i}" for i in range(len(carry)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,9 +227,9 @@ def pack_shards(docs: DataFrame, config: Repeats, carry: list[str]) -> DataFrame
                 data = [[ids.tobytes()], [none.tobytes()], [_i64(ends)], [b"".join(r[1] for r in some)]]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in data), *(pa.array([[r[2 + i] for r in some]], pa.list_(pa.string())) for i in range(len(carry)))], names[1:])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *[F.col(c).cast("string").alias(c) for c in carry])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *[F.col(c).cast("string").alias(f"carry_{i}") for i, c in enumerate(carry)])
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = texts.mapInArrow(run, "ids binary, null_ids binary, ends binary, data binary" + "".join(f", `{c}` array<string>" for c in carry)).select(F.monotonically_increasing_id().alias("shard"), "*")
+    packed = texts.mapInArrow(run, "ids binary, null_ids binary, ends binary, data binary" + "".join(f", carry_{i} array<string>" for i in range(len(carry)))).select(F.monotonically_increasing_id().alias("shard"), "*")
     name = f"leafmill_shards_{uuid.uuid4().hex}"
     packed.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/leafmill/{name}").bucketBy(max(1, -(-size // (48 << 20))), "shard").saveAsTable(name)
     return spark.table(name)
@@ -396,11 +396,12 @@ def _spans(segments: DataFrame, config: Repeats) -> DataFrame:
 
 
 def dedup_passages(docs: DataFrame, config: Repeats = Repeats(), carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, *carry): documents without the bytes of repeated passages.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, kept_text, *carry): documents without the bytes of repeated passages.
 
     A byte goes if some string of config.length bytes over it also starts earlier: in a document of smaller doc_id, or
     earlier in the same one. Null doc_ids come last; rows of one doc_id follow each other in some order. Null texts are
-    empty. kept holds the remaining bytes. carry: columns to keep, as strings.
+    empty. kept holds the remaining bytes; kept_text them as text,
+    without what is left of characters that were cut. carry: columns to keep, as strings; none may have another's name.
 
     Windows of config.length bytes are named by the least hash of their grams, so equal windows share a name. Names
     that stand in one place only are dropped; runs of the others go, as texts, to shards by name. There equal runs are
@@ -413,7 +414,7 @@ def dedup_passages(docs: DataFrame, config: Repeats = Repeats(), carry: list[str
     shared = stage(_shared_names(_names(shards, config, bits)), "shared")
     spans = _spans(stage(_segments(shards, shared, config, bits), "segments"), config)
     spans = stage(spans.groupBy("shard").agg(F.collect_list(F.struct("local", "start", "end")).alias("spans")), "spans")
-    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), *((c, pa.string()) for c in carry)]
+    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), *((c, pa.string()) for c in carry)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,14 +434,14 @@ def dedup_passages(docs: DataFrame, config: Repeats = Repeats(), carry: list[str
                     removed = int(mask.sum())
                     kept = bytes_[a:b][~mask].tobytes() if removed else data[a:b]
                     n_spans = int((mask[1:] & ~mask[:-1]).sum() + mask[0]) if removed else 0
-                    values = (None if none[i] else int(ids[i]), b - a, removed, n_spans, hashlib.sha256(kept).hexdigest(), kept, *(r[i] for r in rest))
+                    values = (None if none[i] else int(ids[i]), b - a, removed, n_spans, hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore"), *(r[i] for r in rest))
                     for c, v in zip(out, values, strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(out, kinds, strict=True)], [k for k, _ in kinds])
 
-    met = shards.join(spans.hint("shuffle_hash"), "shard", "left").select("ids", "null_ids", "ends", "data", "spans", *carry)
-    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary" + "".join(f", `{c}` string" for c in carry))
+    met = shards.join(spans.hint("shuffle_hash"), "shard", "left").select("ids", "null_ids", "ends", "data", "spans", *(f"carry_{i}" for i in range(len(carry))))
+    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string" + "".join(f", `{c}` string" for c in carry))
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_passages(read(spark, sf_dir, "documents")).drop("kept")
+    return dedup_passages(read(spark, sf_dir, "documents")).drop("kept", "kept_text")
