@@ -115,32 +115,32 @@ def tile_links(rid: np.ndarray, mult: np.ndarray, role: np.ndarray, x: np.ndarra
     first, n = int((role == 0).sum()), len(rid)
     links, edges = np.zeros(n, np.int64), []
     a0, b0 = frame.edges[block], frame.edges[block + 1]
-    y32 = y[:, a0:b0].astype(np.float32)
-    sq = (y32**2).sum(1)
+    # one product gives the squared distances: (-2 y, |y|^2, 1) . (y', 1, |y'|^2)
+    part = y[:, a0:b0].astype(np.float32)
+    sq, one = (part**2).sum(1)[:, None], np.ones((n, 1), np.float32)
+    left, right = np.hstack([-2 * part, sq, one]), np.ascontiguousarray(np.hstack([part, one, sq]).T)
     loose = np.float32(frame.budget[block] + 1e-5)
     for i in range(0, first, step):
         ie = min(i + step, first)
         for j in range(i if same else first, n, step):
             je = min(j + step, n)
-            if j < first < je and not same:
-                continue
-            near = sq[i:ie, None] + sq[None, j:je] - 2 * (y32[i:ie] @ y32[j:je].T) <= loose
-            if not near.any():
-                continue
-            near &= x[i:ie] @ x[j:je].T >= cosine
-            if i + step > j:
-                near &= np.arange(i, ie)[:, None] < np.arange(j, je)[None, :]
-            for b, (p, q) in enumerate(zip(frame.edges[: block + 1], frame.edges[1 : block + 2], strict=True)):
-                u, v = y[i:ie, p:q], y[j:je, p:q]
-                within = (u**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * (u @ v.T) <= frame.budget[b] + 1e-13
-                near &= within if b == block else ~within
-            s, t = np.nonzero(near)
-            if len(s):
-                links[i:ie] += near @ mult[j:je]
-                links[j:je] += near.T @ mult[i:ie]
-                s, t = s + i, t + j
-                items, local = np.unique(np.concatenate([s, t]), return_inverse=True)
-                root = union_edges(local.reshape(2, -1).T, len(items))
+            s, t = np.divmod(np.flatnonzero(left[i:ie] @ right[:, j:je] <= loose), je - j)
+            s, t = s + i, t + j
+            ordered = s < t
+            s, t = s[ordered], t[ordered]
+            kept = []
+            for k in range(0, len(s), 1 << 16):  # candidates on whole vectors, in double precision
+                u, v = s[k : k + (1 << 16)], t[k : k + (1 << 16)]
+                close = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
+                u, v = u[close], v[close]
+                apart = np.add.reduceat((y[u] - y[v]) ** 2, frame.edges[:-1], axis=1) <= frame.budget
+                own = apart[:, block] & ~apart[:, :block].any(1)
+                kept.append(np.stack([u[own], v[own]], 1))
+            if kept and len(pairs := np.concatenate(kept)):
+                np.add.at(links, pairs[:, 0], mult[pairs[:, 1]])
+                np.add.at(links, pairs[:, 1], mult[pairs[:, 0]])
+                items, local = np.unique(pairs, return_inverse=True)
+                root = union_edges(local.reshape(-1, 2), len(items))
                 edges.append(np.stack([items, items[root]], 1))
     got = np.flatnonzero(links)
     if not len(got):
