@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from leafmill.llm import embeddings, fingerprint, jaccard, licenses, mixing, packing, suffixes, toxicity
+from leafmill.llm import crossentropy, embeddings, fingerprint, jaccard, licenses, mixing, packing, revisits, suffixes, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_revisits": revisits.op2_revisits,
+    "op3_cross_entropy": crossentropy.op3_cross_entropy,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_mixing": mixing.op6_mixing,
@@ -15,4 +17,6 @@ QUERIES = {
     "op10_fingerprints": fingerprint.op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_revisits": revisits.OP2_SQL,
+}
