@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import embeddings, fingerprint, jaccard, licenses, mixing, packing, suffixes, toxicity
+from leafmill.llm import crossentropy, embeddings, fingerprint, jaccard, licenses, mixing, packing, revisits, suffixes, toxicity
 
 DATA = "/root/testdata/sf0.001"
 ODD = [(1, None, "a"), (2, "", None), (None, "some words here and there", "b"), (3, "x" * 5000, "a"), (4, "same text of a few words", "a"), (4, "same text of a few words", "a"), (5, "Ünïcödé 😀 " * 40, "c")]
@@ -319,6 +319,58 @@ def test_toxicity_odd(spark, odd, empty):
     assert toxicity.score_documents(empty, none).count() == 0
 
 
+# ---- revisits
+
+
+def test_revisits(spark):
+    h = lambda **k: {a.replace("_", "-"): b for a, b in k.items()}
+    records = [
+        (1, "response", "http://www.A.com/x/#f", 10, h(ETag='"1"', Content_Type="text/html", Date="d1"), "p1"),
+        (2, "response", "https://a.com:443/x", 20, h(ETag='"2"', Date="d2", X="old"), "p2"),
+        (3, "revisit", "a.com/x", 15, h(etag='W/"1"', date="d3", content_type="no"), None),
+        (4, "revisit", "http://a.com/x", 20, h(etag='"2"'), None),  # not earlier: meets the first response
+        (5, "revisit", "http://a.com/x", 21, h(date="d5"), "p2"),
+        (6, "revisit", "http://a.com/x", 9, {}, None),
+        (7, "revisit", "http://a.com/X", 30, {}, None),
+        (8, "revisit", "http://a.com/x/", 99, h(date="d8"), None),
+        (9, "revisit", None, 99, None, None),
+        (10, "revisit", "http://a.com/x", None, {}, "p1"),
+        (11, "request", "http://a.com/x", 1, {}, "p1"),
+    ]
+    df = spark.createDataFrame(records, "record_id long, kind string, url string, time long, headers map<string,string>, digest string").withColumn("status", F.lit("x"))
+    for size in (4000, 1):
+        got = {r["record_id"]: (r["response_id"], r["status"], r["checked"]) for r in rows(revisits.resolve_revisits(df, size))}
+        assert got == {3: (1, "resolved", "etag"), 4: (1, "mismatch", "etag"), 5: (2, "resolved", "digest"), 6: (None, "missing", None), 7: (None, "missing", None), 8: (2, "unverified", None), 9: (None, "missing", None), 10: (None, "missing", None)}
+    merged = {r["record_id"]: r["headers"] for r in rows(revisits.resolve_revisits(df))}
+    assert merged[3] == {"etag": 'W/"1"', "content-type": "text/html", "date": "d3"} and merged[5] == {"etag": '"2"', "x": "old", "date": "d5"}
+    assert revisits.resolve_revisits(df.limit(0)).count() == 0
+
+
+# ---- cross-entropy
+
+
+def test_cross_entropy(spark, odd, empty):
+    one, two = "red green blue red green blue", "seven eight nine ten eight seven"
+    df = spark.createDataFrame([(i, one if i % 2 else two) for i in range(40)] + [(100, None), (101, ""), (102, "unseen words only")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(crossentropy.score_documents(df, df.where("doc_id % 2 = 1 and doc_id < 100")))}
+    assert min(got[i]["difference"] for i in range(1, 40, 2)) > 0 > max(got[i]["difference"] for i in range(0, 40, 2))
+    assert got[100]["n_tokens"] == got[101]["n_tokens"] == 0 and got[100]["difference"] == 0 and got[1]["n_tokens"] == 6
+    # against a plain version with the same smoothing
+    config = crossentropy.Models()
+    words = [w for i in range(40) for w in (one if i % 2 else two).split()] + "unseen words only".split()
+    n_words = len(set(words)) + 1
+    pairs = [p for i in range(40) for p in zip(["<s>", *(one if i % 2 else two).split()], (one if i % 2 else two).split(), strict=False)]
+    scale = 120 / len(words)  # to the target's tokens
+    total = 0.0
+    for a, b in zip(["<s>", *one.split()], one.split(), strict=False):
+        single = (words.count(b) * scale + 1) / (len(words) * scale + n_words)
+        pair = pairs.count((a, b)) * scale
+        seen = words.count(a) * scale if a != "<s>" else 0
+        total -= np.log((pair + config.prior * single) / (max(seen, pair) + config.prior))
+    assert got[1]["background_loss"] == pytest.approx(total / 6, rel=1e-3)
+    assert len(rows(crossentropy.score_documents(odd, odd))) == len(ODD) and crossentropy.score_documents(empty, empty).count() == 0
+
+
 # ---- pipeline
 
 
