@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import css, lines, text
-from leafmill.operators import lists, lookups, markup, segments
+from leafmill.operators import lists, lookups, markup, pages, segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -356,3 +356,36 @@ def event_windows(spark, d):
     from leafmill.streaming.ingest import windowed_counts
 
     return windowed_counts(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# ---- pages
+
+
+@query("""SELECT 'EnsureViewport' AS step, count(*) AS pages, CAST(count(*) AS BIGINT) AS total FROM pages UNION ALL SELECT 'InjectCss', count(*), CAST(count(*) AS BIGINT) FROM pages""")
+def log_rollup(spark, d):
+    return pages.log_rollup(pages.clean_head(table(spark, d, "pages").select("page_id", "html"), "html"))
+
+
+@query("""SELECT page_id, replace(html, '</head>', '<meta name="viewport" content="width=device-width, initial-scale=1.0"><link rel="stylesheet" href="assets/tailwind-output.css"></head>') AS output FROM pages""")
+def clean_page_heads(spark, d):
+    return pages.clean_head(table(spark, d, "pages").select("page_id", "html"), "html").select("page_id", "output")
+
+
+@query("""SELECT p_partkey, i AS part, CASE i WHEN 1 THEN 'text/html' ELSE 'image/png' END AS kind, CASE i WHEN 1 THEN '<p>' || p_name || ' é</p>' ELSE base64(encode(p_name)) END AS body FROM part, range(1, 3) r(i)""")
+def mail_parts(spark, d):
+    from leafmill.sources import mail
+
+    head = F.lit("MIME-Version: 1.0\nContent-Type: multipart/related;\n boundary=\"q+1\"\n\npreamble\n\n--q+1\nContent-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: quoted-printable\n\n<p>")
+    raw = F.concat(head, "p_name", F.lit("=\n =C3=A9</p>\n--q+1\nContent-Transfer-Encoding: base64\nContent-Type: image/png\n\n"), text.encode_base64(F.col("p_name").cast("binary")), F.lit("\n--q+1--\n"))
+    rows = mail.parts(table(spark, d, "part").withColumn("raw", raw), "p_partkey", "raw")
+    return rows.select("p_partkey", F.col("part").cast("long").alias("part"), "kind", "body")
+
+
+@query("""SELECT doc_id, 'wide' AS encoding, count(*) AS n, CAST(sum(2 * length(w)) AS BIGINT) AS bytes FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^a-zA-Z]', ' ', 'g'), '[a-zA-Z]{4,}')) AS w FROM documents) GROUP BY 1""")
+def section_strings(spark, d):
+    from leafmill.sources import binary
+
+    words = F.regexp_replace(F.regexp_replace("text", "[^a-zA-Z]", " "), " ", "\u0001")
+    df = table(spark, d, "documents").select("doc_id", F.encode(words, "UTF-16LE").alias("content"))
+    found = binary.section_strings(df, "doc_id", "content").where("encoding = 'wide'")
+    return found.groupBy("doc_id", "encoding").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
