@@ -31,7 +31,7 @@ class Mix:
     repeats: int = 3
     block: int = 64
     shard: int = 1 << 16
-    split: int = 50_000
+    split: int = 4_000
     seed: int = 6
 
 
@@ -170,7 +170,7 @@ def mix_sources(sizes: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFram
     first = F.greatest(F.col("_at"), F.col("block") * mix.block)
     last = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * mix.block)
     parts = rows.select(F.col("_source").alias("_of"), F.col("block").alias("_b"), "doc_id", "_nth", (first - F.col("_at")).alias("start"), (last - first).alias("length"))
-    met = uses.join(parts, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("block") == F.col("_b")))
+    met = uses.hint("merge").join(parts, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("block") == F.col("_b")))
     return met.select("doc_id", "_nth", "_source", "start", "length", "shard", "slot", "block"), goals
 
 
