@@ -29,7 +29,7 @@ class Mix:
 
     cycle: tuple[float, ...] = (5.0, 2.0, 1.0)
     repeats: int = 3
-    block: int = 64
+    block: int = 32
     shard: int = 1 << 16
     split: int = 4_000
     seed: int = 6
