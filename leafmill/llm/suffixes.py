@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import batched, gram_hashes, read, shared_dir, stage
+from leafmill.llm.common import batched, gram_hashes, mix, read, shared_dir, stage
 from leafmill.llm.jaccard import tiles_of
 
 
@@ -25,8 +25,8 @@ class Repeats:
 
     length: int = 100
     gram: int = 40
-    pack: int = 4 << 20
-    shard: int = 4 << 20
+    pack: int = 1 << 20
+    shard: int = 1 << 20
 
 
 # ---- suffix arrays --------------------------------------------------------------------------------------------
@@ -150,10 +150,10 @@ def repeated_starts(text: np.ndarray, eligible: np.ndarray, length: int, shard:
 # ---- windows and their names ----------------------------------------------------------------------------------
 
 
-def named_runs(data: np.ndarray, ends: np.ndarray, config: Repeats, slice_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def named_runs(data: np.ndarray, ends: np.ndarray, config: Repeats, slice_bytes: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, start, count): runs of successive windows with one name in packed texts that end at ends.
 
-    A window is config.length bytes of one text; its name is the least hash of its grams, so equal windows have equal
+    A window is config.length bytes of one text; its name comes from the least hash of its grams, so equal windows have equal
     names wherever they stand.
     """
     length, span = config.length, config.length - config.gram + 1
@@ -184,7 +184,7 @@ def named_runs(data: np.ndarray, ends: np.ndarray, config: Repeats, slice_bytes:
         if not len(s):
             continue
         run = np.cumsum(new)[ok] - 1
-        names.append(low[s])
+        names.append(mix(low[s]))  # least hashes are small; their leading bits are to deal names evenly
         at.append(s + a)
         counts.append(np.bincount(run, minlength=len(s)))
     if not names:
@@ -231,13 +231,13 @@ def pack_shards(docs: DataFrame, config: Repeats, carry: list[str]) -> DataFrame
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     packed = texts.mapInArrow(run, "ids binary, null_ids binary, ends binary, data binary" + "".join(f", carry_{i} array<string>" for i in range(len(carry)))).select(F.monotonically_increasing_id().alias("shard"), "*")
     name = f"leafmill_shards_{uuid.uuid4().hex}"
-    packed.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/leafmill/{name}").bucketBy(max(1, -(-size // (48 << 20))), "shard").saveAsTable(name)
+    packed.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/leafmill/{name}").bucketBy(max(1, -(-size // (16 << 20))), "shard").saveAsTable(name)
     return spark.table(name)
 
 
 def _bits(shards: DataFrame) -> int:
     size = shards.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    return min(16, max(4, (size >> 23).bit_length()))
+    return min(16, max(4, (size >> 21).bit_length()))
 
 
 def _names(shards: DataFrame, config: Repeats, bits: int) -> DataFrame:
@@ -367,7 +367,11 @@ def _spans(segments: DataFrame, config: Repeats) -> DataFrame:
             sort = np.sort(name[first])
             twice = np.unique(sort[1:][sort[1:] == sort[:-1]])
             text = np.frombuffer(raw, np.uint8)
-            pick = first[np.isin(name[first], twice) | _self_repeat(text, (end - size)[first], count[first], config)]
+            may = np.isin(name[first], twice)
+            for some in batched(np.flatnonzero(~may & (count[first] > 1)).tolist(), lambda i: int(size[first[i]]), 1 << 19):
+                k = first[some]  # segments of one kind only, which may still repeat themselves
+                may[some] = _self_repeat(_take(text, (end - size)[k], size[k]), np.cumsum(size[k]) - size[k], count[k], config)
+            pick = first[may]
             if len(pick):
                 joined = _take(text, (end - size)[pick], size[pick])
                 stop = np.cumsum(size[pick])
