@@ -30,19 +30,20 @@ class Packing:
     length: int = 2048
     window: int = 64
     weights: dict[str | None, float] | None = None
-    split: int = 50_000
+    split: int = 4_000
 
 
-#: Words whose tokens can be told apart after encoding many at once: letters, which form one unit, and then
-#: punctuation, which forms another.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?|]*)")
-_SPACES = str.maketrans("\n\r\t", "   ")
+#: Words that part into letters, whose case does not matter, and punctuation, each encoded by itself.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
 
 
 class Encoder:
-    """Token ids of texts. White space always parts tokens, so words are encoded once and kept in a bounded cache."""
+    """Token ids of texts. White space always parts tokens, so words are encoded by themselves.
 
-    def __init__(self, path: str | None, cached: int = 600_000):
+    Two bounded caches hold the ids of whole words and of their letters; what does not fit is encoded again.
+    """
+
+    def __init__(self, path: str | None, words: int = 260_000, stems: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,48 +57,57 @@ class Encoder:
             raise ValueError("ids over 65,535 are not supported")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {"": b""}
-        self.cached = cached
+        self.words, self.stems = {"": b""}, {"": b""}
+        self.sizes = words, stems
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
+    def _each(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            yield t, np.array(e.ids, np.uint16).tobytes()
+
+    def _runs(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs of letters, many at once: each is one unit, so its last id alone is one that ends a word."""
         out: dict[str, bytes] = {}
-        plain, other = [], []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                plain.append((w, 1 + bool(m[1])))
-            else:
-                other.append(w)
-        for i in range(0, len(plain), 500):
-            some = plain[i : i + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(w for w, _ in some), add_special_tokens=False).ids, np.uint16)
-            last = np.flatnonzero(self.ends[ids]) + 1
-            units = np.cumsum([k for _, k in some])
-            if len(last) != units[-1]:
-                other += [w for w, _ in some]
+        for i in range(0, len(runs), 500):
+            some = runs[i : i + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint16)
+            last = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(last) != len(some):
+                out.update(self._each(some))
                 continue
-            cut = [0, *last[units - 1].tolist()]
             raw = ids.tobytes()
-            out.update((w, raw[2 * a : 2 * b]) for (w, _), a, b in zip(some, cut, cut[1:]))
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, np.uint16).tobytes()
+            out.update((w, raw[2 * a : 2 * b]) for w, a, b in zip(some, [0, *last], last, strict=False))
+        return out
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        parted = [(w, _PLAIN.fullmatch(w)) for w in words]
+        parts = [(w, m[1].lower(), m[2]) for w, m in parted if m]
+        stems = self.stems
+        if new := {s for _, s, _ in parts}.difference(stems):
+            stems = _kept(stems, self._runs(list(new)), self.sizes[1])
+        if marks := {p for _, _, p in parts}.difference(stems):
+            stems = _kept(stems, dict(self._each(list(marks))), self.sizes[1] + 10_000)
+        out = {w: stems[s] + stems[p] for w, s, p in parts}
+        out.update(self._each([w for w, m in parted if not m]))
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        split = [t.translate(_SPACES).split(" ") for t in texts]
-        new = set().union(*split).difference(self.cache)
-        table = self.cache
-        if new:
-            found = self._encode(list(new))
-            if len(self.cache) + len(found) <= self.cached:
-                self.cache.update(found)
-            else:
-                table = _Both(found, self.cache)
+        split = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts]
+        table = self.words
+        if new := set().union(*split).difference(table):
+            table = _kept(table, self._encode(list(new)), self.sizes[0])
         get = table.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+def _kept(cache: dict, found: dict, most: int) -> dict:
+    """cache with found in it if there is room, else a table of both."""
+    if isinstance(cache, _Both) or len(cache) + len(found) > most:
+        return _Both(found, cache)
+    cache.update(found)
+    return cache
+
+
 class _Both(dict):
     """New words first, then the cache."""
 
@@ -121,8 +131,8 @@ def encode(docs: DataFrame, config: Packing) -> DataFrame:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            for some in batched(rows, lambda r: len(r[2]), 4 << 20):
+            rows = zip(*batch.columns, strict=True)
+            for some in batched(((a.as_py(), b.as_py(), c.as_py()) for a, b, c in rows), lambda r: len(r[2]), 2 << 20):
                 ids = [x + end for x in encoder([r[2] for r in some])]
                 yield pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in some], "_source": [r[1] for r in some], "n": [len(x) // 2 for x in ids], "ids": ids}, schema=_ENCODED)
 
