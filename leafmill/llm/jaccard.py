@@ -16,7 +16,7 @@ from leafmill.llm.common import batched, components, mix, read, stage, union_edg
 
 @dataclass(frozen=True)
 class ChosenPath:
-    """words: of a shingle. jaccard: least of a link. recall: target for pairs at that threshold. tokens: of a sketch.
+    """words: of a shingle. jaccard: least of a link. recall: target for pairs at that threshold, through all splits. tokens: of a sketch.
 
     bucket: most sets that are compared by brute force at once. depth: splits at most; what is larger then is compared
     in tiles of that size. slack: how far a sketch's estimate may be below the threshold.
@@ -33,8 +33,22 @@ class ChosenPath:
 
     @property
     def runs(self) -> int:
-        """Each run leaves a pair at the threshold one shared chosen token on average, so it misses 1 in e."""
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(math.exp(-1))))
+        """Least number for which a pair at the threshold meets with the chance recall, even where each of its buckets is split down to depth.
+
+        A pair has a binomial number of equal tokens. At each level a path goes on with each of them that is chosen, so
+        the chance that a path lasts to the end follows level by level; all runs must end for a pair to be missed.
+        """
+        n = self.tokens
+        equal = [math.comb(n, k) * self.jaccard**k * (1 - self.jaccard) ** (n - k) for k in range(n + 1)]
+        chosen = min(1.0, 1 / (self.jaccard * n))
+        lasts = [1.0] * (n + 1)
+        for _ in range(self.depth):
+            lasts = [1 - (1 - chosen * x) ** k for k, x in enumerate(lasts)]
+        least = equal[0] + 1e-15  # without an equal token nothing meets
+        runs = 1
+        while sum(e * (1 - x) ** runs for e, x in zip(equal, lasts, strict=True)) > max(1 - self.recall, least):
+            runs += 1
+        return runs
 
 
 _FIVE = np.uint64(0x9E6C63D0876A9A99)

@@ -202,6 +202,18 @@ def test_jaccard_small_buckets(docs):
     assert sum(r["n_links"] for r in few) >= 0.95 * sum(r["n_links"] for r in one)
 
 
+def test_jaccard_recall_of_splits(spark):
+    """Pairs at the threshold whose buckets are split at each level are found with the recall that is stated."""
+    n, config = 3000, jaccard.ChosenPath(bucket=1)
+    rng = np.random.default_rng(8)
+    one, other = rng.integers(0, 1 << 32, (2, n, config.tokens), np.uint32)
+    other = np.where(rng.random((n, config.tokens)) < config.jaccard, one, other)
+    reps = spark.createDataFrame([(2 * i + k, x[i].tobytes()) for i in range(n) for k, x in enumerate((one, other))], "_rid long, sketch binary")
+    met = jaccard._buckets(reps, config).groupBy("path").agg(F.collect_set("_rid").alias("ids")).where("size(ids) > 1").collect()
+    found = {i // 2 for r in met for i in r["ids"] if i ^ 1 in r["ids"]}
+    assert n - len(found) <= 3 * (1 - config.recall) * n
+
+
 def test_jaccard_odd(odd, empty):
     got = rows(jaccard.join_documents(odd))
     assert len(got) == len(ODD) and sorted(r["n_links"] for r in got) == [0, 0, 0, 0, 0, 1, 1]
