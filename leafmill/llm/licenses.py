@@ -12,7 +12,7 @@ from leafmill.llm.common import read
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern matches whole words of the normalised text; it is tried only where keyword occurs there."""
+    """pattern matches whole words of the normalised text; it is tried only where keyword occurs there, so each match must hold it."""
 
     name: str
     label: str
@@ -30,7 +30,7 @@ _V = r"(?:(?:version|ver|v) )?"
 #: (label, keyword, name of the license, short identifier as written after an SPDX tag or as a file header).
 FAMILIES = [
     ("gpl", "gpl", f"gpl(?: {_V}[123](?: 0)?)?", r"gpl [123](?: 0)?(?: only| or later)?"),
-    ("gpl", "general public", f"gnu (?:general public {_L}|gpl)(?: {_V}[123](?: 0)?)?", r"gnu gpl v?[123](?: 0)?"),
+    ("gpl", "gnu", f"gnu (?:general public {_L}|gpl)(?: {_V}[123](?: 0)?)?", r"gnu gpl v?[123](?: 0)?"),
     ("lgpl", "lesser", f"(?:gnu )?lesser general public {_L}(?: {_V}[23](?: [01])?)?", r"lgpl [23](?: [01])?(?: only| or later)?"),
     ("lgpl", "lgpl", r"lgpl(?: v?[23](?: [01])?)?", r"lgpl v?[23](?: [01])?"),
     ("lgpl", "library general", f"(?:gnu )?library general public {_L}", r"lgpl 2 0"),
@@ -38,7 +38,7 @@ FAMILIES = [
     ("agpl", "agpl", r"agpl(?: v?[13](?: 0)?)?", r"agpl v?[13](?: 0)?"),
     ("gfdl", "documentation", f"(?:gnu )?free documentation {_L}(?: {_V}1 [123])?", r"gfdl 1 [123](?: only| or later)?"),
     ("apache", "apache", f"apache(?: software)? {_L}(?: {_V}[12](?: [01])?)?", r"apache [12](?: [01])?"),
-    ("mit", "mit", f"(?:the )?(?:mit|expat|x11) {_L}", r"mit(?: 0)?"),
+    ("mit", "mit", f"(?:the )?mit {_L}", r"mit(?: 0)?"),
     ("bsd", "bsd", f"(?:(?:new|modified|simplified|revised|original|[234] clause) )?bsd(?: [234] clause)?(?: style)? {_L}", r"bsd [0-4] clause(?: patent| clear)?"),
     ("isc", "isc", f"isc {_L}", r"isc"),
     ("mpl", "mozilla", f"mozilla public {_L}(?: {_V}[12](?: [01])?)?", r"mpl [12] [01]"),
@@ -68,7 +68,7 @@ FAMILIES = [
     ("ncsa", "ncsa", f"(?:university of illinois )?ncsa(?: open source)? {_L}", r"ncsa"),
     ("afl", "academic free", f"academic free {_L}(?: {_V}[123] [012])?", r"afl [123] [012]"),
     ("osl", "open software", f"open software {_L}(?: {_V}[123] [01])?", r"osl [123] [01]"),
-    ("odbl", "open database", f"open (?:data commons )?(?:open )?database {_L}", r"odbl 1 0"),
+    ("odbl", "open data", f"open (?:data commons )?(?:open )?database {_L}", r"odbl 1 0"),
     ("odc-by", "open data commons", f"open data commons attribution {_L}", r"odc by 1 0"),
     ("pddl", "public domain dedication", f"public domain dedication and {_L}", r"pddl 1 0"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
@@ -85,6 +85,8 @@ FAMILIES = [
     ("cecill", "cecill", f"cecill(?: (?:b|c|[12] [01]))?(?: free software)?(?: {_L}(?: agreement)?)?", r"cecill (?:b|c|[12] [01])"),
     ("postgresql", "postgresql", f"postgresql {_L}", r"postgresql"),
     ("openrail", "openrail", r"(?:bigscience |creativeml )?openrail(?: m)?", r"openrail(?: m)?"),
+    ("mit", "expat", f"(?:the )?expat {_L}", r"expat"),
+    ("mit", "x11", f"(?:the )?x11 {_L}", r"x11"),
 ]
 #: How a name is put in a sentence: (name, priority, pattern with the family's name at {}).
 FRAMES = [
@@ -101,7 +103,7 @@ SENTENCES = [
     ("bsd-grant", "bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-source", "bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
     ("bsd-binary", "bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-endorse", "bsd", "neither the name", "neither the name of .{1,80}? nor the names of its contributors"),
+    ("bsd-endorse", "bsd", "neither the name", "neither the name of (?:(?!neither the name of ).)+? nor the names of its contributors"),
     ("apache-comply", "apache", "in compliance", "you may not use this (?:file|work) except in compliance with the licen[sc]e"),
     ("apache-basis", "apache", "as is basis", "distributed on an as is basis without warranties or conditions of any kind"),
     ("gpl-free", "gpl", "free software", "free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),

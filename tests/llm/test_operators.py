@@ -81,6 +81,48 @@ def test_licenses(spark):
     assert found == {("apache", 3), ("granted", 0)}  # the narrower ones lie within it
 
 
+def alternatives(tree):
+    """Texts that a parsed pattern matches: each branch and optional part both ways, sets by one member."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":
+            some = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        elif name == "ANY":
+            some = ["z"]
+        elif name == "BRANCH":
+            some = [t for branch in arg[1] for t in alternatives(branch)]
+        elif name == "SUBPATTERN":
+            some = alternatives(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            some = alternatives(arg[2]) + [""] * (arg[0] == 0)
+        else:
+            assert name == "ASSERT_NOT", name
+            some = [""]
+        out = [a + b for a in out for b in dict.fromkeys(some)]
+    return out
+
+
+def test_license_patterns_hold_their_keywords():
+    from re import _parser
+
+    lost = {r.name for r in licenses.default_rules() for t in alternatives(_parser.parse(r.pattern)) if f" {r.keyword}" not in f" {t} "}
+    assert not lost
+
+
+def test_license_names_and_long_clauses(spark):
+    clause = "Neither the name of {} nor the names of its contributors may be used"
+    holder = "the " + "very " * 2000 + "long institute"
+    texts = ["Licensed under the X11 License", "the Expat license", clause.format(holder), "released under the GNU GPL v3", clause.format("A").replace("names", "name") + " and " + clause.format("B")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["detections"] for r in rows(licenses.scan_licenses(df))}
+    assert [sorted({d["label"] for d in got[i]}) for i in range(4)] == [["mit"], ["mit"], ["bsd"], ["gpl"]]
+    assert got[3][0]["priority"] == 4
+    assert [(d["first_word"], d["phrase"]) for d in got[4]] == [(15, "neither the name of b nor the names of its contributors")]
+
+
 # ---- mixing
 
 
