@@ -108,8 +108,36 @@ def alternatives(tree):
 def test_license_patterns_hold_their_keywords():
     from re import _parser
 
-    lost = {r.name for r in licenses.default_rules() for t in alternatives(_parser.parse(r.pattern)) if f" {r.keyword}" not in f" {t} "}
+    lost = {r.name for r in licenses.default_rules() for t in alternatives(_parser.parse(r.pattern)) if f" {r.keyword}" not in f" {t} " or licenses.gate_of(r) not in t}
     assert not lost
+    assert len(licenses.default_rules()) == len({r.name for r in licenses.default_rules()})
+
+
+def plain_licenses(text):
+    """Base columns of a text by one scan over its words."""
+    import re
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    places = [(k, label) for phrase, label in licenses.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+    at = [k for k, _ in places]
+    return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({n for _, n in places}))
+
+
+def test_licenses_of_documents(spark, docs, odd, empty):
+    every = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for df in (every, odd.withColumn("detections", F.lit(1)), docs.union(docs), empty):
+        texts = [r["text"] for r in df.select("text").collect()]
+        got = rows(licenses.digest(licenses.scan_licenses(df)))
+        assert sorted(repr((r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])) for r in got) == sorted(repr(plain_licenses(t)) for t in texts)
+        assert all(set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) for r in got)
+
+
+def test_licenses_of_a_long_text(spark):
+    """Many places and a text of a megabyte: suppression is by runs, and each place counts."""
+    n = 20_000
+    df = spark.createDataFrame([(1, "mit license and under the mit license; " * n), (2, "word " * 200_000 + "cc-by")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(licenses.digest(licenses.scan_licenses(df)))}
+    assert (got[1]["n_base"], got[1]["n_detections"], got[2]["n_base"], got[2]["first_word"]) == (2 * n, 3 * n, 1, 200_000)
 
 
 def test_license_names_and_long_clauses(spark):
