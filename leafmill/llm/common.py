@@ -37,16 +37,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], block: str, value: str, out: str) -> DataFrame:
     """Adds out: the sum of value over the rows of the same group that come earlier by (block, order).
 
-    Two levels keep it distributed: sums per (group, block) are few rows, and only the rows of one block meet in a
-    window. block must be a non-decreasing coarsening of the order wanted; nulls in group columns form a group.
+    Three levels keep it distributed: the rows of one block meet in a window, then the sums of 4,096 blocks, then one
+    sum for each of those. block must be a number that coarsens the order wanted; nulls in group columns form a group.
     """
-    sums = df.groupBy(*group, block).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    within = Window.partitionBy(*group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    left = df.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    cond = [left[c].eqNullSafe(sums[c]) for c in [*group, block]]
-    return left.join(sums, cond).select(*[left[c] for c in df.columns], (F.col("_in") + F.col("_base")).alias(out))
+    earlier = lambda keys, by: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, keys, by: F.coalesce(F.sum(c).over(earlier(keys, by)), F.lit(0))
+    same = lambda a, b, keys: [a[c].eqNullSafe(b[c]) for c in keys]
+    sums = df.groupBy(*group, block).agg(F.sum(value).alias("_sum")).withColumn("_many", F.floor(F.col(block) / 4096))
+    tops = sums.groupBy(*group, "_many").agg(F.sum("_sum").alias("_all")).withColumn("_top", before("_all", group, ["_many"])).drop("_all")
+    sums = sums.withColumn("_mid", before("_sum", [*group, "_many"], [block]))
+    sums = sums.join(tops, same(sums, tops, [*group, "_many"])).select(*[sums[c] for c in group], sums[block], (F.col("_mid") + F.col("_top")).alias("_base"))
+    left = df.withColumn("_in", before(value, [*group, block], order))
+    return left.join(sums, same(left, sums, [*group, block])).select(*[left[c] for c in df.columns], (F.col("_in") + F.col("_base")).alias(out))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -90,37 +90,52 @@ def key_of(name: str | None, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{'-' if name is None else '+' + name}".encode(), digest_size=8).digest(), "little")
 
 
+#: Shards of a group: a source's slots are drawn for groups of shards first, then within each group.
+GROUP = 1024
+#: Slots that one row stands for until they are dealt to tasks.
+RUN = 4096
+
+
 def shard_counts(blocks: DataFrame, mix: Mix) -> DataFrame:
-    """(_source, n_blocks, shard, first, count): the slots that each output shard gives each source.
+    """(_source, n_blocks, shard, first, count): the slots that each output shard gives each source, where it gives any.
 
-    Every shard gives each source the whole part of its share of slots and draws the rest from a multinomial over
-    the fractional parts. first is the number of a source's slots in earlier shards; a source stops at repeats passes.
+    A source gets its target in units of its mean block. Which shard each of these slots falls to is drawn from a
+    multinomial, first over groups of shards, then over the shards of each group, so a shard's counts of sources are
+    multinomial, their totals meet the targets, and nothing about sources or shards passes the driver but three
+    numbers. first is the number of a source's slots in earlier shards; a source stops at repeats passes.
     """
-    # slots wanted by a source: its target in units of its mean block length
-    wanted = F.col("target") * F.col("n_blocks") / F.col("source_size")
-    rows = blocks.where("n_blocks > 0").select("_source", "n_blocks", wanted.alias("wanted"))
-    total = rows.agg(F.sum("wanted")).first()[0] or 0.0
-    n_shards = max(1, round(total / mix.shard))
-    # A multinomial draws over all sources at once: one name and two numbers a source pass the driver, and no more.
-    table = rows.orderBy("_source").collect()
-    names, n_blocks = [r["_source"] for r in table], [r["n_blocks"] for r in table]
-    share, seed = np.array([r["wanted"] for r in table]) / n_shards, mix.seed
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.floor(share).astype(np.int64)
-        rest = share - whole
+    rows = blocks.where("n_blocks > 0").select("_source", "n_blocks", F.floor(F.col("target") * F.col("n_blocks") / F.col("source_size") + 0.5).cast("long").alias("count"))
+    total = rows.agg(F.sum("count")).first()[0] or 0
+    n_shards, seed = max(1, round(total / mix.shard)), mix.seed
+    groups = -(-n_shards // GROUP)
+
+    def over_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = np.diff(np.minimum(np.arange(groups + 1) * GROUP, n_shards)) / n_shards
         for batch in batches:
-            for shard in batch.column("id").to_pylist():
-                left = int(round(rest.sum()))
-                count = whole + np.random.default_rng([seed, shard]).multinomial(left, rest / rest.sum()) if left else whole
-                yield pa.RecordBatch.from_pydict({"shard": [shard] * len(names), "_source": names, "n_blocks": n_blocks, "count": count}, schema=_DRAWN)
+            for name, n, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                drawn = np.random.default_rng([seed, key_of(name, seed)]).multinomial(count, share)
+                yield _drawn(name, n, np.arange(groups), drawn)
 
-    drawn = rows.sparkSession.range(n_shards).mapInArrow(draw, "shard long, _source string, n_blocks long, count long")
-    drawn = prefix_sums(drawn.withColumn("_block", F.floor(F.col("shard") / 4096)), ["_source"], ["shard"], "_block", "count", "first").drop("_block")
+    def over_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, n, group, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shards = np.arange(group * GROUP, min((group + 1) * GROUP, n_shards))
+                drawn = np.random.default_rng([seed, key_of(name, seed), group + 1]).multinomial(count, np.full(len(shards), 1 / len(shards)))
+                yield _drawn(name, n, shards, drawn)
+
+    schema = "_source string, n_blocks long, shard long, count long"
+    drawn = rows.mapInArrow(over_groups, schema).repartition("_source", "shard").mapInArrow(over_shards, schema)
+    drawn = prefix_sums(drawn.withColumn("_group", F.floor(F.col("shard") / GROUP)), ["_source"], ["shard"], "_group", "count", "first").drop("_group")
     room = F.col("n_blocks") * mix.repeats - F.col("first")
     return drawn.withColumn("count", F.greatest(F.lit(0), F.least("count", room)))
 
 
+def _drawn(name: str | None, n_blocks: int, shards: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    some = count > 0
+    k = int(some.sum())
+    return pa.RecordBatch.from_pydict({"_source": [name] * k, "n_blocks": [n_blocks] * k, "shard": shards[some], "count": count[some]}, schema=_DRAWN)
+
+
 def mix_plan(blocks: DataFrame, mix: Mix) -> DataFrame:
     """(_source, shard, slot, block): the block of its source that each slot of each shard takes."""
     seed = mix.seed
@@ -135,27 +150,42 @@ def mix_plan(blocks: DataFrame, mix: Mix) -> DataFrame:
             block = permute(at % n, n, key).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"_source": names, "shard": batch.column("shard"), "slot": at, "block": block}, schema=_PLAN)
 
-    slots = shard_counts(blocks, mix).where("count > 0").withColumn("at", F.explode(F.expr("sequence(first, first + count - 1)")))
-    return slots.select("_source", "n_blocks", "shard", "at").mapInArrow(place, "_source string, shard long, slot long, block long")
+    runs = shard_counts(blocks, mix).where("count > 0").withColumn("_run", F.explode(F.expr(f"sequence(first, first + count - 1, {RUN})")))
+    runs = runs.withColumn("_stop", F.least(F.col("_run") + RUN, F.col("first") + F.col("count"))).repartition("_source", "_run")
+    slots = runs.select("_source", "n_blocks", "shard", F.explode(F.expr("sequence(_run, _stop - 1)")).alias("at"))
+    return slots.mapInArrow(place, "_source string, shard long, slot long, block long")
 
 
-_DRAWN = pa.schema([("shard", pa.int64()), ("_source", pa.string()), ("n_blocks", pa.int64()), ("count", pa.int64())])
+_DRAWN = pa.schema([("_source", pa.string()), ("n_blocks", pa.int64()), ("shard", pa.int64()), ("count", pa.int64())])
 _PLAN = pa.schema([("_source", pa.string()), ("shard", pa.int64()), ("slot", pa.int64()), ("block", pa.int64())])
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, _source, size, _nth): _nth numbers the rows of one doc_id."""
-    size = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("_source"), size.alias("size"), F.xxhash64(text).alias("_hash"))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("_source", "size", "_hash"))
-    return out.withColumn("_nth", nth).drop("_hash")
+#: What tells a row of documents: rows of one doc_id differ in their texts' hashes, equal rows in their number.
+KEY = ["doc_id", "_hash", "_nth"]
+
+
+def _met(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """a with the other columns of b, by KEY."""
+    b = b.withColumnsRenamed({c: f"_of{c}" for c in KEY})
+    return a.join(b, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in KEY], how).drop(*[f"_of{c}" for c in KEY])
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0))))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, _source, size, _hash, _nth) of docs(doc_id, text, source); null texts have no words."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    source = F.col("source").cast("string")
+    return _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("_source"), size.alias("size"), F.xxhash64("text", source).alias("_hash")))
 
 
 def mix_sources(sizes: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
-    """The mix over staged sizes(doc_id, _source, size, _nth).
+    """The mix over staged sizes(doc_id, _source, size, _hash, _nth).
 
     Returns (pieces, totals). pieces has, for each document and block that share words and each use of the block:
-    doc_id, _nth, _source, start (word in the document), length, shard, slot, block. totals is targets(). Each
+    doc_id, _hash, _nth, _source, start (word in the document), length, shard, slot, block. totals is targets(). Each
     source's words stand in line by hash of doc_id and are cut into blocks of mix.block words (the last is shorter);
     documents without words have no piece. An empty table gives none.
     """
@@ -164,33 +194,32 @@ def mix_sources(sizes: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFram
     uses = mix_plan(blocks, mix)
     rows = sizes.where("size > 0")
     buckets = max(1, -(-sizes.count() // mix.split))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_nth"), F.lit(buckets)))
-    rows = prefix_sums(rows, ["_source"], ["doc_id", "_nth"], "_bucket", "size", "_at")
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)))
+    rows = prefix_sums(rows, ["_source"], KEY, "_bucket", "size", "_at")
     rows = rows.withColumn("block", F.explode(F.expr(f"sequence(_at div {mix.block}, (_at + size - 1) div {mix.block})")))
     first = F.greatest(F.col("_at"), F.col("block") * mix.block)
     last = F.least(F.col("_at") + F.col("size"), (F.col("block") + 1) * mix.block)
-    parts = rows.select(F.col("_source").alias("_of"), F.col("block").alias("_b"), "doc_id", "_nth", (first - F.col("_at")).alias("start"), (last - first).alias("length"))
+    parts = rows.select(F.col("_source").alias("_of"), F.col("block").alias("_b"), *KEY, (first - F.col("_at")).alias("start"), (last - first).alias("length"))
     met = uses.hint("merge").join(parts, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("block") == F.col("_b")))
-    return met.select("doc_id", "_nth", "_source", "start", "length", "shard", "slot", "block"), goals
+    return met.select(*KEY, "_source", "start", "length", "shard", "slot", "block"), goals
 
 
 _WORDS = re.compile(WORD)
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """docs, with its columns, as the mix takes them: a row for each pass over a document, with the words it takes.
+    """docs(doc_id, text, source, ...), with its columns, as the mix takes them: a row for each pass over a document, with the words it takes.
 
     Where a pass takes all words the text is unchanged; else it holds the stretches taken, joined by a space. n_chars,
-    if there, is set anew. Documents without words, and those that the mix leaves out, go.
+    if there, is set anew. Documents without words (null and empty texts too), and those that the mix leaves out, go. An
+    empty table gives none. Other columns may have any names.
     """
     sizes = stage(sized(docs), "sizes")
     pieces, _ = mix_sources(sizes, mix)
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    uses = pieces.groupBy(key.alias("_key"), F.col("_nth").alias("_n"), "start").agg(F.max("length").alias("length"), F.count("*").alias("uses"))
-    uses = uses.groupBy("_key", "_n").agg(F.array_sort(F.collect_list(F.struct("start", "length", "uses"))).alias("_uses"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("_at", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_at").orderBy(F.col("source").cast("string"), size, F.xxhash64("text"))))
-    rows = rows.join(uses, (F.col("_at") == F.col("_key")) & (F.col("_nth") == F.col("_n")))
+    uses = pieces.groupBy(*KEY, "start").agg(F.max("length").alias("length"), F.count("*").alias("uses"))
+    uses = uses.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "length", "uses"))).alias("_uses"))
+    rows = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text", F.col("source").cast("string")).alias("_hash")))
+    rows = _met(rows, uses).select("_row", "text", "_uses")
     rows = rows.withColumn("_pass", F.explode(F.expr("sequence(1, array_max(transform(_uses, u -> u.uses)))")))
     rows = rows.withColumn("_uses", F.filter("_uses", lambda u: u["uses"] >= F.col("_pass")))
 
@@ -198,10 +227,10 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     def taken(texts: pd.Series, uses: pd.Series) -> pd.Series:
         return pd.Series([_stretches(t, [(u["start"], u["start"] + u["length"]) for u in us]) for t, us in zip(texts, uses, strict=True)])
 
-    out = rows.withColumn("text", taken("text", "_uses"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    rows = rows.select("_row", taken("text", "_uses").alias("_text"))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    kinds = dict(docs.dtypes)
+    return rows.select(*[(new[c].cast(kinds[c]) if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _stretches(text: str, spans: list[tuple[int, int]]) -> str:
@@ -221,7 +250,7 @@ def _stretches(text: str, spans: list[tuple[int, int]]) -> str:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = stage(sized(read(spark, sf_dir, "documents")), "sizes")
     pieces, goals = mix_sources(sizes)
-    taken = pieces.groupBy(F.col("doc_id").alias("_id"), F.col("_nth").alias("_n")).agg(F.sum("length").alias("taken"))
-    out = sizes.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_n")), "left")
+    taken = pieces.groupBy(*KEY).agg(F.sum("length").alias("taken"))
+    out = _met(sizes, taken, "left").drop("_hash", "_nth")
     out = out.join(goals.select(F.col("_source").alias("_of"), "source_size", "target"), F.col("_source").eqNullSafe(F.col("_of")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("_source").alias("source"))

@@ -161,6 +161,38 @@ def test_targets(spark):
     assert got == {"a": 30.0, "b": 270.0, None: 300.0, "c": pytest.approx(400.0)}
 
 
+def test_targets_of_documents(spark):
+    """size, source_size and target against SQL; taken against the pieces, block by block."""
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    sql = duckdb.sql(f"SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS n FROM '{d}/documents.parquet' GROUP BY source ORDER BY source NULLS LAST").fetchall()
+    total, goal, open_ = sum(n for _, n in sql), {}, {s: ((5, 2, 1)[k % 3], n) for k, (s, n) in enumerate(sql)}
+    while open_:
+        left = (total - sum(goal.values())) / sum(w for w, _ in open_.values())
+        over = {s for s, (w, n) in open_.items() if w * left > 3 * n}
+        goal |= {s: 3.0 * open_[s][1] for s in over} if over else {s: w * left for s, (w, _) in open_.items()}
+        open_ = {s: x for s, x in open_.items() if s not in goal}
+    got = rows(mixing.op6_mixing(spark, d))
+    assert {r["source"]: r["source_size"] for r in got} == dict(sql)
+    assert all(r["target"] == pytest.approx(goal[r["source"]]) for r in got)
+    sizes = mixing.stage(mixing.sized(mixing.read(spark, d, "documents")), "sizes")
+    pieces = rows(mixing.mix_sources(sizes)[0])
+    taken, blocks, uses = {}, {}, {}
+    for p in pieces:
+        taken[p["doc_id"]] = taken.get(p["doc_id"], 0) + p["length"]
+        blocks.setdefault((p["_source"], p["slot"]), []).append(p)
+        uses.setdefault((p["_source"], p["block"]), set()).add(p["slot"])
+    assert {r["doc_id"]: r["taken"] for r in got if r["taken"]} == taken
+    assert max(map(len, uses.values())) <= 3
+    n_blocks = {s: -(-n // 32) for s, n in sql}
+    for (source, slot), some in blocks.items():  # a slot takes one whole block, the last of a source may be shorter
+        b = some[0]["block"]
+        assert {p["block"] for p in some} == {b} and sum(p["length"] for p in some) == min(32, dict(sql)[source] - 32 * b)
+        key = np.array([mixing.key_of(source, 6)], np.uint64) + np.uint64(slot // n_blocks[source]) * np.uint64(0x2545F4914F6CDD1D)
+        assert b == mixing.permute(np.array([slot % n_blocks[source]]), np.array([n_blocks[source]]), key)[0]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 1000])
 def test_permutation(n):
     assert sorted(mixing.permute(np.arange(n), np.full(n, n), np.full(n, 7)).tolist()) == list(range(n))
