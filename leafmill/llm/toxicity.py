@@ -17,16 +17,16 @@ from leafmill.llm.common import batched, byte_prefix, mix, powers, read, word_sp
 class Neighbours:
     """examples: most labelled documents in the index, half of each label; calibration: most that fit the scores.
 
-    terms, association: the vocabulary is the terms, so many at most, whose presence in the examples goes with the
-    label by a chi-square of association at least. nearest: examples that vote. block: examples of an index block.
+    nearest: examples that vote. block: examples of an index block. chunk: blocks that are scored at once. least: what
+    a term counts that goes with neither label, beside the root of its chi-square.
     """
 
-    examples: int = 4096
-    calibration: int = 8192
-    terms: int = 2048
-    association: float = 25.0
+    examples: int = 2048
+    calibration: int = 4096
     nearest: int = 16
     block: int = 64
+    chunk: int = 6
+    least: float = 0.01
 
 
 def fold(doc_id: Column) -> Column:
@@ -34,7 +34,7 @@ def fold(doc_id: Column) -> Column:
 
 
 #: Beside whole words, their beginnings of so many UTF-8 bytes are terms, so that inflected and compound words match.
-STEMS = (4, 5, 6)
+STEMS = (4, 6)
 
 
 def term_hashes(raw: list[bytes]) -> list[np.ndarray]:
@@ -65,65 +65,91 @@ def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.Reco
 
 
 class Index:
-    """Examples as unit TF-IDF vectors in blocks; for each term and block the largest weight and the weights.
+    """Examples as unit TF-IDF vectors over all their terms: inverted lists by term, parted into blocks of examples, with the largest weight of each list and block.
 
-    A query's products with the largest weights bound its cosine with all examples of a block. Blocks are taken from
-    the highest bound down until the next bound is under the nearest-th cosine found, so the nearest are exact.
+    A term weighs (1 + log times) * idf * salience, the last learnt from the examples' labels. Terms in no example have
+    the idf of a term of one document and the least salience; they count in a text's length. A query's products with
+    the largest weights bound its cosine with all examples of a block. Blocks are taken from the highest bound down
+    until the next bound is under the nearest-th cosine found, so the nearest are exact.
     """
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list[int], labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], config: Neighbours):
-        self.terms, self.idf, self.config = terms, idf, config
-        vectors = [self.weigh(t, n) for t, n in counts]
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, other: float, ids: list[int], labels: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], config: Neighbours):
+        self.terms, self.weights, self.other, self.config = terms, weights.astype(np.float32), other, config
+        vectors = [self.weigh(*c) for c in counts]
         # alike examples stand together, so that the bounds of most blocks are low
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
-        order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (lead[i], labels[i], ids[i]))
-        size = config.block
+        order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (labels[i], lead[i], ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.float64)
-        n = -(-len(order) // size)
-        self.weights = np.zeros((n, len(terms), size), np.float32)
-        for place, i in enumerate(order):
-            t, w = vectors[i]
-            self.weights[place // size, t, place % size] = w
-        self.most = self.weights.max(2).T.copy() if n else np.zeros((len(terms), 0), np.float32)
-
-    def count(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(term numbers, times) of a text's words."""
-        if not len(self.terms) or not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return np.unique(at[self.terms[at] == hashes], return_counts=True)
-
-    def weigh(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(times)) * self.idf[terms]
-        norm = np.linalg.norm(w)
-        return terms, (w / norm if norm else w).astype(np.float32)
+        self.rows = [vectors[i] for i in order]
+        self.lists: tuple | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lists": None}  # made anew where the index is used
+
+    def inverted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, most, place, weight): where the list of a term and block starts, its largest weight; the lists."""
+        if self.lists is None:
+            n = -(-len(self.rows) // self.config.block)
+            term = np.concatenate([t for t, _ in self.rows] or [np.zeros(0, np.int64)])
+            place = np.repeat(np.arange(len(self.rows), dtype=np.int32), [len(t) for t, _ in self.rows])
+            weight = np.concatenate([w for _, w in self.rows] or [np.zeros(0, np.float32)])
+            by = np.lexsort((place, term))
+            term, place, weight = term[by], place[by], weight[by]
+            cell = term * n + place // self.config.block
+            first = np.zeros(len(self.terms) * n + 1, np.int32)
+            np.cumsum(np.bincount(cell, minlength=len(self.terms) * n), out=first[1:])
+            most = np.zeros(len(self.terms) * n, np.float32)
+            np.maximum.at(most, cell, weight)
+            self.lists = first, most.reshape(len(self.terms), n), place, weight
+        return self.lists
+
+    def weigh(self, hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of known terms, weights) of a text's distinct terms; the text as a whole has length 1."""
+        if not len(hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        at = np.minimum(np.searchsorted(self.terms, hashes), max(len(self.terms) - 1, 0))
+        known = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
+        w = 1 + np.log(times)
+        w *= np.where(known, self.weights[at], self.other) if len(self.terms) else self.other
+        w /= np.sqrt(w @ w)
+        return at[known], w[known].astype(np.float32)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the nearest examples that share a term, nearest first."""
-        size, k = self.config.block, self.config.nearest
-        bound = weights @ self.most[terms]
+        first, most, place, weight = self.inverted()
+        k, size, n = self.config.nearest, self.config.block, most.shape[1]
+        places, cosines = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        if not n or not len(terms):
+            return places, cosines
+        bound = weights @ most[terms]
         blocks = np.argsort(-bound, kind="stable")
         blocks = blocks[bound[blocks] > 0]
-        places, cosines = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for i in range(0, len(blocks), 4):
-            some = blocks[i : i + 4]
-            if len(cosines) == k and bound[some[0]] < cosines[-1] - 1e-6:
-                break
-            got = np.stack([weights @ self.weights[b, terms] for b in some]).ravel()
+        base = terms * n
+        for i in range(0, len(blocks), self.config.chunk):
+            some = blocks[i : i + self.config.chunk]
+            if len(cosines) == k:
+                some = some[bound[some] >= cosines[-1] - 1e-5]
+                if not len(some):
+                    break
+            cell = (base[:, None] + some).ravel()
+            start = first[cell]
+            length = first[cell + 1] - start
+            live = np.flatnonzero(length)
+            start, length = start[live], length[live]
+            at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+            got = np.bincount(place[at], weight[at] * np.repeat(weights[live // len(some)], length), len(self.ids))
             at = (some[:, None] * size + np.arange(size)).ravel()
-            hit = got > 0
-            places, cosines = np.concatenate([places, at[hit]]), np.concatenate([cosines, got[hit]])
+            at = at[at < len(self.ids)]
+            at = at[got[at] > 0]
+            places, cosines = np.concatenate([places, at]), np.concatenate([cosines, got[at]])
             top = np.lexsort((places, -cosines))[:k]
             places, cosines = places[top], cosines[top]
         return places, cosines
 
     def vote(self, hashes: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """(share of the nearest examples' votes for label 1, by closeness; -1 without any), their places, cosines."""
-        terms, times = self.count(hashes)
-        if not len(terms):
-            return -1.0, np.zeros(0, np.int64), np.zeros(0, np.float32)
-        places, cosines = self.nearest(*self.weigh(terms, times))
+        places, cosines = self.nearest(*self.weigh(*np.unique(hashes, return_counts=True)))
         if not len(places):
             return -1.0, places, cosines
         w = 1 / (1.05 - np.minimum(cosines.astype(np.float64), 1))
@@ -152,8 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, config: Neighbours = Neighbours())
     """(index, votes, scores): an index of labelled examples and the scores of rising votes.
 
     Labels come only from rows whose fold is not 0. Examples are the first by hash of the folds 2 to 4, half of each
-    label; scores are fitted on the first by hash of fold 1, whose labels are as frequent as in the table. Document
-    frequencies come from all documents. Terms and examples, both of bounded number, pass the driver.
+    label; scores are fitted on the first by hash of fold 1, whose labels are as frequent as in the table. The document
+    frequencies of all the examples' terms are counted over all documents. What passes the driver is bounded by the
+    number of examples.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -161,73 +188,67 @@ def train(docs: DataFrame, labels: DataFrame, config: Neighbours = Neighbours())
     first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", "toxic")
     half = config.examples // 2
     chosen = first(known.where("_fold > 1 and toxic = 1"), half).union(first(known.where("_fold > 1 and toxic = 0"), half))
-    examples = _sampled(docs, chosen).select("doc_id", "text", "toxic")
 
-    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in _texts(batches, 1):
-            toxic = batch.column(2).to_numpy()
-            every = [np.unique(w) for w in words]
-            terms, at = np.unique(np.concatenate(every), return_inverse=True)
-            of = np.repeat(toxic, [len(w) for w in every])
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.bincount(at, of == 1, len(terms)).astype(np.int64)), pa.array(np.bincount(at, of == 0, len(terms)).astype(np.int64))], ["term", "a", "b"])
-
-    n = {r["toxic"]: r["count"] for r in examples.groupBy("toxic").count().collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
-    if pos and neg:
-        found = examples.mapInArrow(presence, "term long, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
-        a, b, total = F.col("a"), F.col("b"), float(pos + neg)
-        square = total * F.pow(a * (neg - b) - b * (pos - a), 2) / (float(pos) * neg * (a + b) * F.greatest(total - a - b, F.lit(1.0)))
-        top = found.where("a + b >= 5").withColumn("square", square).where(F.col("square") >= config.association).orderBy(F.desc("square"), "term").limit(config.terms)
-        terms = np.sort(np.array([r["term"] for r in top.select("term").collect()], np.int64).view(np.uint64))
-    else:
-        terms = np.zeros(0, np.uint64)
-    blank = Index(terms, np.ones(len(terms)), [], np.zeros(0), [], config)
+            found = [np.unique(w, return_counts=True) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t.tobytes() for t, _ in found]), pa.array([n.astype(np.int32).tobytes() for _, n in found])], ["doc_id", "toxic", "terms", "times"])
+
+    rows = _sampled(docs, chosen).select("doc_id", "text", "toxic").mapInArrow(counted, "doc_id long, toxic int, terms binary, times binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
+    counts = [(np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["times"], np.int32)) for r in rows]
+    label = np.array([r["toxic"] for r in rows], np.int64)
+    terms = np.unique(np.concatenate([t for t, _ in counts] or [np.zeros(0, np.uint64)]))
+    pos, neg = int(label.sum()), int((1 - label).sum())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, df = 0, np.zeros(len(terms), np.int64)
+        total, df = 0, np.zeros(len(terms) + 1, np.int64)
         for batch, words in _texts(batches, 0):
             total += batch.num_rows
             for w in words:
-                df[blank.count(w)[0]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))), pa.array(np.concatenate([[total], df]))], ["term", "n"])
-
-    df = np.zeros(len(terms) + 1)
-    for r in docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"] + 1] = r["n"]
-    idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in _texts(batches, 1):
-            counts = [blank.count(w) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([c[k].tolist() for c in counts], pa.list_(pa.int64())) for k in (0, 1))], ["doc_id", "toxic", "terms", "times"])
-
-    rows = examples.mapInArrow(counted, "doc_id long, toxic int, terms array<long>, times array<long>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"]))
-    index = Index(terms, idf, [r["doc_id"] for r in rows], np.array([r["toxic"] for r in rows]), [(np.array(r["terms"], np.int64), np.array(r["times"], np.int64)) for r in rows], config)
-
+                w = np.unique(w)
+                at = np.searchsorted(terms, w)
+                at[at == len(terms)] = 0
+                df[at[terms[at] == w]] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], total))], ["term", "n"])
+
+    df, total = np.zeros(len(terms)), 0
+    if len(terms):
+        found = docs.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        at, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+        df[at[at >= 0]], total = n[at >= 0], int(n[at < 0].sum())
+    idf = lambda n: np.log((1 + total) / (1 + n)) + 1
+    a = np.bincount(np.concatenate([np.searchsorted(terms, t) for (t, _), y in zip(counts, label, strict=True) if y] or [np.zeros(0, np.int64)]), minlength=len(terms)).astype(float)
+    both = np.bincount(np.concatenate([np.searchsorted(terms, t) for t, _ in counts] or [np.zeros(0, np.int64)]), minlength=len(terms)).astype(float)
+    square = (pos + neg) * (a * neg - (both - a) * pos) ** 2 / np.maximum(float(pos) * neg * both * np.maximum(pos + neg - both, 1), 1)
+    index = Index(terms, idf(df) * (np.sqrt(square) + config.least), float(idf(1) * config.least), [r["doc_id"] for r in rows], label, counts, config)
+    if not pos or not neg:
+        return index, np.array([-1.0]), np.array([pos / (pos + neg) if pos + neg else 0.0])
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in _texts(batches, 1):
             yield pa.RecordBatch.from_arrays([pa.array([held.value.vote(w)[0] for w in words], pa.float64()), batch.column(2)], ["vote", "toxic"])
 
-    fitted = _sampled(docs, first(known.where("_fold = 1"), config.calibration)).select("doc_id", "text", "toxic").mapInArrow(voted, "vote double, toxic int").collect()
+    fitted = _sampled(docs, first(known.where("_fold = 1"), config.calibration)).select("doc_id", "text", "toxic").repartition(64).mapInArrow(voted, "vote double, toxic int").collect()
     if not fitted:
-        return index, np.array([-1.0]), np.array([pos / (pos + neg) if pos + neg else 0.0])
+        return index, np.array([-1.0]), np.array([pos / (pos + neg)])
     votes, scores = rising(np.array([r["vote"] for r in fitted]), np.array([r["toxic"] for r in fitted], float))
     return index, votes, scores
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, config: Neighbours = Neighbours(), carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted, vote, neighbours, cosines, *carry) for each row of docs(doc_id, text, ...).
+def score_documents(docs: DataFrame, labels: DataFrame, config: Neighbours = Neighbours(), carry: bool = False) -> DataFrame:
+    """(doc_id, held_out, score, predicted, vote, neighbours, cosines) for each row of docs(doc_id, text, ...).
 
-    score, 0 to 1, rises with the votes of the nearest examples; texts that share no term with any example (also null
-    and empty ones) have the score of such texts. neighbours and cosines are the three nearest examples, as evidence.
-    Only the text decides. Without labels all scores are 0. carry: columns of docs to pass through.
+    score, 0 to 1, rises with the votes of the nearest examples; texts without terms (also null and empty ones), or that
+    share none with any example, have the score of such texts. neighbours and cosines are the three nearest examples,
+    as evidence. Only the text decides, all of it, however long. Without labels of both kinds all scores are the share
+    of label 1. An empty table gives no rows; repeated rows have equal scores. carry: add the rows as a struct, row.
     """
-    carry = carry or []
     index, votes, scores = train(docs, labels, config)
     held = docs.sparkSession.sparkContext.broadcast((index, votes, scores))
+    more = ["row"] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, votes, scores = held.value
@@ -236,11 +257,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, config: Neighbours = Nei
             vote = np.array([v for v, _, _ in out])
             score = scores[np.maximum(np.searchsorted(votes, vote, "right") - 1, 0)]
             new = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(vote, pa.float64()), pa.array([index.ids[p[:3]].tolist() for _, p, _ in out], pa.list_(pa.int64())), pa.array([c[:3].astype(float).tolist() for _, _, c in out], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *new, *batch.columns[3:]], ["doc_id", "held_out", "score", "predicted", "vote", "neighbours", "cosines", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *new, *batch.columns[3:]], ["doc_id", "held_out", "score", "predicted", "vote", "neighbours", "cosines", *more])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), *carry)
-    kinds = dict(docs.dtypes)
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, vote double, neighbours array<long>, cosines array<double>" + "".join(f", `{c}` {kinds[c]}" for c in carry))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    kind = rows.schema["row"].dataType.simpleString() if carry else ""
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, vote double, neighbours array<long>, cosines array<double>" + (f", row {kind}" if carry else ""))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
