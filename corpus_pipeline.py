@@ -19,9 +19,7 @@ from leafmill.llm.toxicity import score_documents
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose predicted label is toxic; all others stay as they are."""
-    carry = [c for c in docs.columns if c != "doc_id"]
-    scored = score_documents(docs, read(spark, sf_dir, "labels"), carry=carry)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return score_documents(docs, read(spark, sf_dir, "labels"), carry=True).where("predicted = 0").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
