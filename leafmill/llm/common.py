@@ -9,12 +9,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def schema_of(ddl: str, row: DataType | None = None) -> StructType:
+    """The schema that ddl names, with a column row of the given type, whose field names may be any."""
+    out = StructType.fromDDL(ddl)
+    return out.add("row", row) if row is not None else out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only in local mode, where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

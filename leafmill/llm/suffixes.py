@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from leafmill.llm.common import batched, gram_hashes, mix, read, shared_dir, stage
+from leafmill.llm.common import batched, gram_hashes, mix, read, schema_of, shared_dir, stage
 from leafmill.llm.jaccard import tiles_of
 
 
@@ -212,32 +213,36 @@ def _of(raw: bytes | None, kind: type = np.int64) -> np.ndarray:
     return np.frombuffer(raw or b"", kind)
 
 
-def pack_shards(docs: DataFrame, config: Repeats, carry: list[str]) -> DataFrame:
-    """A table, bucketed by shard, of packed documents: joins by shard move only the other side."""
+def pack_shards(docs: DataFrame, config: Repeats, carry: bool) -> DataFrame:
+    """Packed documents, bucketed by shard: joins by shard move only the other side. The catalog keeps no entry of them."""
     spark = docs.sparkSession
-    names = ["shard", "ids", "null_ids", "ends", "data", *(f"carry_{i}" for i in range(len(carry)))]
+    names = ["shard", "ids", "null_ids", "ends", "data", *(["row"] if carry else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kinds = [pa.list_(f.type) for f in list(batch.schema)[2:]]
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
             for some in batched(rows, lambda r: len(r[1]), config.pack):
                 ids = np.array([r[0] or 0 for r in some], np.int64)
                 none = np.array([r[0] is None for r in some], np.int8)
                 ends = np.cumsum([len(r[1]) for r in some])
                 data = [[ids.tobytes()], [none.tobytes()], [_i64(ends)], [b"".join(r[1] for r in some)]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in data), *(pa.array([[r[2 + i] for r in some]], pa.list_(pa.string())) for i in range(len(carry)))], names[1:])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in data), *(pa.array([[r[2 + i] for r in some]], k) for i, k in enumerate(kinds))], names[1:])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *[F.col(c).cast("string").alias(f"carry_{i}") for i, c in enumerate(carry)])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")] if carry else []))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = texts.mapInArrow(run, "ids binary, null_ids binary, ends binary, data binary" + "".join(f", carry_{i} array<string>" for i in range(len(carry)))).select(F.monotonically_increasing_id().alias("shard"), "*")
+    packed = texts.mapInArrow(run, schema_of("ids binary, null_ids binary, ends binary, data binary", ArrayType(texts.schema["row"].dataType) if carry else None)).select(F.monotonically_increasing_id().alias("shard"), "*")
     name = f"leafmill_shards_{uuid.uuid4().hex}"
     packed.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/leafmill/{name}").bucketBy(max(1, -(-size // (16 << 20))), "shard").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and out knows them and their buckets
+    return out
 
 
 def _bits(shards: DataFrame) -> int:
+    """Leading bits of a name that make a bucket: one bucket for each 2 MB of text or so."""
     size = shards.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    return min(16, max(4, (size >> 21).bit_length()))
+    return min(30, max(4, (size >> 21).bit_length()))
 
 
 def _names(shards: DataFrame, config: Repeats, bits: int) -> DataFrame:
@@ -246,10 +251,10 @@ def _names(shards: DataFrame, config: Repeats, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, ends, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = np.sort(named_runs(np.frombuffer(data, np.uint8), _of(ends), config)[0])
-                found = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
-                at = np.searchsorted(found, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist()
-                parts = [(b, found[i:j].tobytes()) for b, (i, j) in enumerate(zip(at, [*at[1:], len(found)])) if i < j]
+                found = np.unique(named_runs(np.frombuffer(data, np.uint8), _of(ends), config)[0])
+                bucket = (found >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(found)] if len(found) else []
+                parts = [(int(bucket[i]), found[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([shard] * len(parts), pa.int64()), pa.array([p[1] for p in parts], pa.binary())], ["bucket", "shard", "names"])
 
     return shards.select("shard", "ends", "data").mapInArrow(run, "bucket int, shard long, names binary")
@@ -399,29 +404,29 @@ def _spans(segments: DataFrame, config: Repeats) -> DataFrame:
     return own.union(far)
 
 
-def dedup_passages(docs: DataFrame, config: Repeats = Repeats(), carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, kept_text, *carry): documents without the bytes of repeated passages.
+def dedup_passages(docs: DataFrame, config: Repeats = Repeats(), carry: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, kept_text): documents without the bytes of repeated passages.
 
     A byte goes if some string of config.length bytes over it also starts earlier: in a document of smaller doc_id, or
     earlier in the same one. Null doc_ids come last; rows of one doc_id follow each other in some order. Null texts are
-    empty. kept holds the remaining bytes; kept_text them as text,
-    without what is left of characters that were cut. carry: columns to keep, as strings; none may have another's name.
+    empty. kept holds the remaining bytes; kept_text them as text, without what is left of characters that were cut.
+    carry: add the rows but for their text as a struct, row. An empty table gives none; a text of any length is one piece.
 
     Windows of config.length bytes are named by the least hash of their grams, so equal windows share a name. Names
     that stand in one place only are dropped; runs of the others go, as texts, to shards by name. There equal runs are
     folded, and suffix arrays tell which windows of the others are equal. All documents are packed once, in a table
     bucketed for the two joins that bring names and spans back to the texts.
     """
-    carry = carry or []
     shards = pack_shards(docs, config, carry)
     bits = _bits(shards)
     shared = stage(_shared_names(_names(shards, config, bits)), "shared")
     spans = _spans(stage(_segments(shards, shared, config, bits), "segments"), config)
     spans = stage(spans.groupBy("shard").agg(F.collect_list(F.struct("local", "start", "end")).alias("spans")), "spans")
-    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), *((c, pa.string()) for c in carry)]
+    kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), *([("row", None)] if carry else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            kind = [k or batch.schema.field("row").type.value_type for _, k in kinds]
             for ids, none, ends, data, spans, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, none, ends = _of(ids), _of(none, np.int8), _of(ends)
                 begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -441,10 +446,10 @@ def dedup_passages(docs: DataFrame, config: Repeats = Repeats(), carry: list[str
                     values = (None if none[i] else int(ids[i]), b - a, removed, n_spans, hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore"), *(r[i] for r in rest))
                     for c, v in zip(out, values, strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(out, kinds, strict=True)], [k for k, _ in kinds])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kind, strict=True)], [k for k, _ in kinds])
 
-    met = shards.join(spans.hint("shuffle_hash"), "shard", "left").select("ids", "null_ids", "ends", "data", "spans", *(f"carry_{i}" for i in range(len(carry))))
-    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string" + "".join(f", `{c}` string" for c in carry))
+    met = shards.join(spans.hint("shuffle_hash"), "shard", "left").select("ids", "null_ids", "ends", "data", "spans", *(["row"] if carry else []))
+    return met.mapInArrow(run, schema_of("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string", shards.schema["row"].dataType.elementType if carry else None))
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import batched, byte_prefix, mix, powers, read, word_spans
+from leafmill.llm.common import batched, byte_prefix, mix, powers, read, schema_of, word_spans
 
 
 @dataclass(frozen=True)
@@ -260,8 +260,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, config: Neighbours = Nei
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *new, *batch.columns[3:]], ["doc_id", "held_out", "score", "predicted", "vote", "neighbours", "cosines", *more])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
-    kind = rows.schema["row"].dataType.simpleString() if carry else ""
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, vote double, neighbours array<long>, cosines array<double>" + (f", row {kind}" if carry else ""))
+    ddl = "doc_id long, held_out boolean, score double, predicted int, vote double, neighbours array<long>, cosines array<double>"
+    return rows.mapInArrow(run, schema_of(ddl, rows.schema["row"].dataType if carry else None))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

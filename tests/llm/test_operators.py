@@ -393,7 +393,7 @@ def test_repeats_of_documents(docs, odd, empty):
     pairs = [(r["doc_id"], r["text"]) for r in rows(docs.select("doc_id", "text"))]
     got = rows(suffixes.dedup_passages(docs, suffixes.Repeats(pack=40_000, shard=3000)))
     assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got) == without_repeats(pairs)
-    assert len(rows(suffixes.dedup_passages(odd, carry=["source"]))) == len(ODD) and suffixes.dedup_passages(empty).count() == 0
+    assert len(rows(suffixes.dedup_passages(odd, carry=True))) == len(ODD) and suffixes.dedup_passages(empty).count() == 0
 
 
 # ---- toxicity
@@ -489,6 +489,39 @@ def test_cross_entropy(spark, odd, empty):
     assert len(rows(crossentropy.score_documents(odd, odd))) == len(ODD) and crossentropy.score_documents(empty, empty).count() == 0
 
 
+# ---- odd tables through all operators and stages
+
+CLASHING = ("predicted", "score", "_text", "_key", "_at", "_pass", "n_bytes", "_row", "row", "kept", "held_out", "_low", "n_words", "_hash", "_nth", "_uses", "spans", "shard", "ids", "component", "_kept", "mult")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    """Documents and odd rows with columns of every name the stages use, and columns of other kinds."""
+    more = spark.createDataFrame([(2_000_000 if i is None else 1_000_000 + i, t, s) for i, t, s in ODD] + [(None, "text of no id that has some words", None), (3_000_000, "long words " * 100_000, "a")], "doc_id long, text string, source string")
+    out = docs.select("doc_id", "text", "source").union(more)
+    return out.withColumns({c: F.lit("z") for c in CLASHING} | {"list": F.array(F.lit(1), F.lit(2)), "a b": F.struct(F.lit(1).alias("x")), "n_chars": F.length("text").cast("int")}).cache()
+
+
+def test_stages_keep_columns(spark, clashing):
+    import corpus_pipeline
+
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        for df in (clashing, clashing.limit(0)):
+            out = step(spark, df, DATA)
+            assert out.dtypes == df.dtypes, name
+            got = out.collect()
+            assert all(r["predicted"] == "z" and r["list"] == [1, 2] and r["a b"]["x"] == 1 for r in got), name
+            assert bool(got) == (df is clashing), name
+    assert corpus_pipeline.STAGES[-1][1](spark, clashing, DATA).count() >= clashing.count()
+
+
+def test_operators_on_clashing_columns(spark, clashing):
+    n, none = clashing.count(), clashing.limit(0)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    for run in (lambda d: toxicity.score_documents(d, labels), jaccard.join_documents, suffixes.dedup_passages, fingerprint.fingerprint_documents, licenses.scan_licenses, lambda d: crossentropy.score_documents(d, d)):
+        assert run(clashing).count() == n and run(none).count() == 0
+
+
 # ---- pipeline
 
 
