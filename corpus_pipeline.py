@@ -23,20 +23,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group that Jaccard links tie together; of equal rows, one."""
+    """Keeps the document of the smallest doc_id of each group that Jaccard links tie together; of rows of one doc_id and text, one.
+
+    Texts without words link with nothing and stay. Of documents of null doc_id one stays for each text that has no
+    near-duplicate of a known doc_id.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    kept = join_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_kept")).distinct()
-    out = docs.withColumn("_key", key)
-    return out.join(kept, out["_key"] == kept["_kept"], "left_semi").dropDuplicates(["_key", "text"]).select(*docs.columns)
+    kept = join_documents(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("kept")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("id"), F.col("text").alias("text"))
+    return rows.join(kept, F.col("id") == F.col("kept"), "left_semi").dropDuplicates(["id", "text"]).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages; documents of which nothing is left go, those that were empty stay."""
     kinds = dict(docs.dtypes)
-    carry = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = dedup_passages(docs, carry=carry).where("octet_length(kept_text) > 0 or n_bytes = 0")
-    out = out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text"))
-    return out.select(*[F.col(c).cast(kinds[c]).alias(c) for c in docs.columns])
+    out = dedup_passages(docs, carry=True).where("octet_length(kept_text) > 0 or n_bytes = 0")
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    return out.select(*[(new[c].cast(kinds[c]) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
