@@ -10,130 +10,154 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import batched, mix, read, word_hashes
+from leafmill.llm.common import mix, read, stage, word_hashes
+from leafmill.llm.jaccard import tiles_of
+from leafmill.llm.suffixes import Repeats, pack_shards
 
 
 @dataclass(frozen=True)
 class Models:
-    """words: size of the shared vocabulary, the most frequent words of all documents. pairs: cells (a power of two) that
-    hold the counts of pairs of words. prior: weight of single words in the chance of a pair."""
+    """prior: weight of single words in the chance of a pair. pack: bytes of texts that are counted together before
+    the shuffle. bucket: bytes of text for each bucket of counts."""
 
-    words: int = 65_536
-    pairs: int = 1 << 19
     prior: float = 50.0
+    pack: int = 4 << 20
+    bucket: int = 4 << 20
 
 
-def _words(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of batches with the word hashes of their texts, one after another, and each text's first place."""
-    for batch in batches:
-        done = 0
-        for some in batched(batch.column(at).to_pylist(), lambda t: len(t or ""), 1 << 20):
-            raw = [(t or "").lower().encode() for t in some]
-            starts, hashes = word_hashes(np.frombuffer(b" ".join(raw), np.uint8))
-            yield batch.slice(done, len(some)), hashes, np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw)]))
-            done += len(some)
+_START = np.uint64(0x5851F42D4C957F2D)
+#: What the last two bits of a key tell: a pair of words, a word, or a word as the one before.
+PAIR, WORD, BEFORE = (np.uint64(k) for k in range(3))
 
 
-def vocabulary(texts: DataFrame, config: Models) -> np.ndarray:
-    """Sorted hashes of the most frequent words; all documents are counted, and the chosen hashes pass the driver."""
+def _key(h: np.ndarray, kind: np.uint64) -> np.ndarray:
+    return (mix(h + kind) & ~np.uint64(3)) | kind
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            words, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            return words, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+def tokens(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, document): three rows of keys (pair, word, before) of all words of packed texts, and each word's document."""
+    low = np.frombuffer(data, np.uint8)
+    starts, hashes = word_hashes(low)
+    doc = np.searchsorted(ends, starts, "right")
+    before = np.concatenate([[_START], hashes[:-1]]) if len(hashes) else hashes
+    before[np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)]] = _START
+    return np.stack([_key(before * np.uint64(0x9E3779B97F4A7C15) ^ hashes, PAIR), _key(hashes, WORD), _key(before, BEFORE)]), doc
 
-        for _, hashes, _ in _words(batches, 0):
-            held.append(np.unique(hashes, return_counts=True))
-            size += len(held[-1][0])
-            if size > 500_000:
-                held = [merged()]
-                size = 0
-        if held:
-            words, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
 
-    top = texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(config.words)
-    return np.sort(np.array([r["word"] for r in top.select("word").collect()], np.int64).view(np.uint64))
+def lowered(data: bytes, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The texts in small letters, each followed by a space, and their new ends."""
+    begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    parts = [data[a:b].decode().lower().encode() + b" " for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+    return b"".join(parts), np.cumsum([len(p) for p in parts])
 
 
-class Coder:
-    """Places of counts: pair cells, then words (0 for all others). A text starts after the word 0."""
+def _of(raw: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(raw, kind)
 
-    def __init__(self, words: np.ndarray, config: Models):
-        self.words, self.pairs, self.size = words, config.pairs, config.pairs + len(words) + 1
 
-    def code(self, hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, word before, pair cell) of each token."""
-        at = np.zeros(len(hashes), np.int64)
-        if len(self.words) and len(hashes):
-            k = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            at = np.where(self.words[k] == hashes, k + 1, 0)
-        before = np.zeros(len(at), np.int64)
-        before[1:] = at[:-1]
-        before[begin[begin < len(at)]] = 0
-        cell = mix((before.astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)) & np.uint64(self.pairs - 1)
-        return at, before, cell.astype(np.int64)
+def _member(ids: bytes, none: bytes, target: list | None) -> np.ndarray:
+    return np.isin(_of(ids), np.array(target or [], np.int64)) & (_of(none, np.int8) == 0)
 
 
-def counts(texts: DataFrame, coder: Coder) -> np.ndarray:
-    """Counts of all pairs and words of the texts, summed over tasks."""
+def _counted(shards: DataFrame, bits: int) -> DataFrame:
+    """(bucket, shard, keys, n, t): the distinct keys of each shard with their counts in all and in target documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(coder.size, np.int64)
-        for _, hashes, cut in _words(batches, 0):
-            at, _, cell = coder.code(hashes, cut[:-1])
-            out += np.bincount(np.concatenate([cell, at + coder.pairs]), minlength=coder.size)
-        place = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(out[place])], ["place", "n"])
+        for batch in batches:
+            for shard, ids, none, ends, data, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, doc = tokens(*lowered(data, _of(ends)))
+                every, at = np.unique(keys, return_inverse=True)
+                n = np.bincount(at.ravel(), minlength=len(every)).astype(np.int32)
+                t = np.bincount(at.ravel(), np.tile(_member(ids, none, target)[doc], 3), len(every)).astype(np.int32)
+                bucket = (every >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(every)] if len(every) else []
+                out = [(int(bucket[i]), shard, every[i:j].tobytes(), n[i:j].tobytes(), t[i:j].tobytes()) for i, j in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["bucket", "shard", "keys", "n", "t"])
 
-    found = texts.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(coder.size)
-    out[found.column("place").to_numpy()] = found.column("n").to_numpy()
-    return out
+    return shards.mapInArrow(run, "bucket int, shard long, keys binary, n binary, t binary")
 
 
-class Model:
-    """Chances of words after words: pair counts, smoothed by word counts; total scales the counts to a common size."""
+def _totals(counted: DataFrame) -> DataFrame:
+    """(shard, bucket, n, t): for the keys of each shard in a bucket their counts over all shards; and a row of shard -1
+    with the bucket's distinct words, words and target words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in tiles_of(batches, ["bucket"]):
+            lists = [_of(x, np.uint64) for x in tile.column("keys").to_pylist()]
+            every, at = np.unique(np.concatenate(lists), return_inverse=True)
+            sums = [np.bincount(at, np.concatenate([_of(x, np.int32) for x in tile.column(c).to_pylist()]), len(every)).astype(np.int64) for c in ("n", "t")]
+            words = every & np.uint64(3) == WORD
+            facts = [int(words.sum()), int(sums[0][words].sum()), int(sums[1][words].sum())]
+            stop = np.cumsum([len(x) for x in lists]).tolist()
+            cells = [[s[at[i:j]].tobytes() for i, j in zip([0, *stop], stop, strict=False)] for s in sums]
+            bucket = tile.column("bucket")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([*tile.column("shard").to_pylist(), -1]), pa.array([bucket] * (len(lists) + 1), pa.int32()), pa.array([*cells[0], np.array(facts).tobytes()]), pa.array([*cells[1], b""])], ["shard", "bucket", "n", "t"])
 
-    def __init__(self, found: np.ndarray, coder: Coder, config: Models, total: float):
-        words = found[coder.pairs :]
-        scale = total / words.sum() if words.sum() else 0.0
-        self.pair, self.word, self.prior = (found[: coder.pairs] * scale).astype(np.float32), words * scale, config.prior
-        self.single = (self.word + 1) / (self.word.sum() + len(words))
+    return counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard long, bucket int, n binary, t binary")
 
-    def losses(self, at: np.ndarray, before: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        return -np.log((self.pair[cell] + self.prior * self.single[at]) / (np.maximum(self.word[before], self.pair[cell]) + self.prior))
+
+def losses(keys: np.ndarray, doc: np.ndarray, counts: np.ndarray, mine: np.ndarray, size: int, own: np.ndarray, vocabulary: int, scale: float, prior: float) -> np.ndarray:
+    """Of each word, its negative log chance by a model of counts (of pair, word and before) from which its own document's (mine) are taken out."""
+    pair, word, before = (np.maximum(counts - mine, 0) * scale).astype(float)
+    single = (word + 1) / (np.maximum(size - own[doc], 0) * scale + vocabulary)
+    return -np.log((pair + prior * single) / (before + prior))
 
 
 def score_documents(docs: DataFrame, target: DataFrame, config: Models = Models()) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) for each row of docs(doc_id, text).
 
-    The background model counts all docs, the target model target(text). Both have one vocabulary, cells and smoothing,
-    and counts scaled to the smaller of their totals. Losses are means of nats a token; difference is background less
-    target, so higher means more like the target. Texts without words (null, empty) have 0 tokens and zeros.
+    The background model counts all docs, the target model those whose doc_id is in target(doc_id). Both have one
+    vocabulary, all words of docs, and one smoothing; counts are scaled to the smaller of their totals. Counts of words
+    and of pairs of words are exact: shards of texts count their own keys, buckets by key sum them and send the sums
+    back to the shards, so all that is gathered grows with the input and stays spread. A document is scored by models
+    without its own counts. Losses are means of nats a token; difference is background less target, so higher means
+    more like the target. Texts without words (null, empty) have 0 tokens and zeros. Rows of one doc_id are documents of
+    their own; a null one is in no target. An empty table gives no rows. A text of any length is one piece.
     """
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    coder = Coder(vocabulary(texts, config), config)
-    found = counts(target.select(F.coalesce("text", F.lit("")).alias("text")), coder), counts(texts, coder)
-    total = min(f[coder.pairs :].sum() for f in found)
-    held = docs.sparkSession.sparkContext.broadcast((coder, *(Model(f, coder, config, total) for f in found)))
+    shards = pack_shards(docs.select("doc_id", "text"), Repeats(pack=config.pack), True)
+    size = shards.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    bits = min(30, max(4, (size // config.bucket).bit_length()))
+    members = shards.select("shard", F.explode("row.doc_id").alias("doc_id")).where("doc_id is not null").join(target.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id")
+    members = stage(members.groupBy("shard").agg(F.collect_set(F.col("doc_id").cast("long")).alias("target")), "members")
+    texts = shards.join(members.hint("shuffle_hash"), "shard", "left").select("shard", "ids", "null_ids", "ends", "data", "target")
+    totals = stage(_totals(_counted(texts, bits)), "totals")
+    facts = totals.where("shard < 0").select("n").mapInArrow(_summed, "words long, n long, t long").agg(F.sum("words"), F.sum("n"), F.sum("t")).first()
+    vocabulary, all_n, all_t = (x or 0 for x in facts)
+    total = min(all_n, all_t)
+    scales = [total / all_t if all_t else 0.0, total / all_n if all_n else 0.0]
+    prior = config.prior
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, *models = held.value
-        for batch, hashes, cut in _words(batches, 1):
-            n = np.diff(cut)
-            coded = coder.code(hashes, cut[:-1])
-            means = [np.diff(np.concatenate([[0], np.cumsum(m.losses(*coded))])[cut]) / np.maximum(n, 1) for m in models]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *map(pa.array, means), pa.array(means[1] - means[0])], ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+        for batch in batches:
+            for ids, none, ends, data, target, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, doc = tokens(*lowered(data, _of(ends)))
+                member, n_docs = _member(ids, none, target), len(ends) // 8
+                length = np.bincount(doc, minlength=n_docs)
+                every, at = np.unique(keys, return_inverse=True)
+                at = at.reshape(keys.shape)
+                parts = sorted(parts or [], key=lambda p: p["bucket"])
+                n, t = (np.concatenate([_of(p[c]) for p in parts] or [np.zeros(0, np.int64)]) for c in ("n", "t"))
+                _, of, times = np.unique(doc * max(len(every), 1) + at, return_inverse=True, return_counts=True)
+                mine = times[of].reshape(at.shape)
+                means = []
+                for count, size, own, mine_, scale in ((t[at], all_t, length * member, mine * member[doc], scales[0]), (n[at], all_n, length, mine, scales[1])):
+                    loss = losses(keys, doc, count, mine_, size, own, vocabulary, scale, prior)
+                    means.append(np.bincount(doc, loss, n_docs) / np.maximum(length, 1))
+                shown = pa.array(_of(ids), mask=_of(none, np.int8) == 1)
+                yield pa.RecordBatch.from_arrays([shown, pa.array(length.astype(np.int64)), *map(pa.array, means), pa.array(means[1] - means[0])], ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+
+    back = totals.where("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("bucket", "n", "t")).alias("parts"))
+    met = shards.join(members.hint("shuffle_hash"), "shard", "left").join(back.hint("shuffle_hash"), "shard", "left").select("ids", "null_ids", "ends", "data", "target", "parts")
+    return met.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        facts = np.array([_of(x) for x in batch.column(0).to_pylist()], np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in facts.sum(0)], ["words", "n", "t"])
 
 
 def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against those labelled of good quality."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    return score_documents(docs, docs.join(good, "doc_id", "left_semi"))
+    return score_documents(docs, read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -115,8 +116,6 @@ def test_license_patterns_hold_their_keywords():
 
 def plain_licenses(text):
     """Base columns of a text by one scan over its words."""
-    import re
-
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     places = [(k, label) for phrase, label in licenses.BASE.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
     at = [k for k, _ in places]
@@ -263,8 +262,6 @@ def test_proportions(docs):
 
 
 def shingles(text):
-    import re
-
     w = re.findall(r"\w+", (text or "").lower())
     return frozenset(zip(*[w[k:] for k in range(5)], strict=False)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
 
@@ -467,25 +464,52 @@ def test_revisits(spark):
 # ---- cross-entropy
 
 
-def test_cross_entropy(spark, odd, empty):
+def plain_losses(pairs, target, prior):
+    """Both models by counters, each document scored without its own counts."""
+    from collections import Counter
+
+    texts = [(i, re.findall(r"\w+", (t or "").lower())) for i, t in pairs]
+
+    def count(some):
+        words, twos, before = Counter(), Counter(), Counter()
+        for w in some:
+            words.update(w)
+            twos.update(zip(["<s>", *w], w, strict=False))
+            before.update(["<s>", *w[:-1]] if w else [])
+        return words, twos, before
+
+    every, good = count([w for _, w in texts]), count([w for i, w in texts if i in target])
+    total = min(every[0].total(), good[0].total())
+    out = []
+    for i, w in texts:
+        own, sums = count([w]), []
+        for model, inside in ((good, i in target), (every, True)):
+            scale = total / model[0].total() if model[0].total() else 0
+            loss = 0.0
+            for a, b in zip(["<s>", *w], w, strict=False):
+                less = [m[k] - (o[k] if inside else 0) for m, o, k in zip(model, own, (b, (a, b), a), strict=True)]
+                single = (less[0] * scale + 1) / ((model[0].total() - (len(w) if inside else 0)) * scale + len(every[0]))
+                loss -= np.log((less[1] * scale + prior * single) / (less[2] * scale + prior))
+            sums.append(loss / max(len(w), 1))
+        out.append((i, len(w), *sums, sums[1] - sums[0]))
+    return out
+
+
+@pytest.mark.parametrize("config", [crossentropy.Models(), crossentropy.Models(pack=5000, bucket=100)])
+def test_cross_entropy(spark, docs, config):
     one, two = "red green blue red green blue", "seven eight nine ten eight seven"
-    df = spark.createDataFrame([(i, one if i % 2 else two) for i in range(40)] + [(100, None), (101, ""), (102, "unseen words only")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in rows(crossentropy.score_documents(df, df.where("doc_id % 2 = 1 and doc_id < 100")))}
+    small = spark.createDataFrame([(i, one if i % 2 else two) for i in range(40)] + [(100, None), (101, ""), (102, "unseen words only")], "doc_id long, text string")
+    for df, good in ((small, small.where("doc_id % 2 = 1 and doc_id < 100")), (docs.limit(60).select("doc_id", "text"), docs.where("doc_id % 3 = 0"))):
+        df = df.cache()
+        want = sorted(plain_losses([(r["doc_id"], r["text"]) for r in rows(df)], {r["doc_id"] for r in rows(good.select("doc_id"))}, config.prior))
+        got = sorted(tuple(r.values()) for r in rows(crossentropy.score_documents(df, good, config)))
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2:] for g in got], [w[2:] for w in want], rtol=1e-6)
+    got = {r["doc_id"]: r for r in rows(crossentropy.score_documents(small, small.where("doc_id % 2 = 1 and doc_id < 100"), config))}
     assert min(got[i]["difference"] for i in range(1, 40, 2)) > 0 > max(got[i]["difference"] for i in range(0, 40, 2))
-    assert got[100]["n_tokens"] == got[101]["n_tokens"] == 0 and got[100]["difference"] == 0 and got[1]["n_tokens"] == 6
-    # against a plain version with the same smoothing
-    config = crossentropy.Models()
-    words = [w for i in range(40) for w in (one if i % 2 else two).split()] + "unseen words only".split()
-    n_words = len(set(words)) + 1
-    pairs = [p for i in range(40) for p in zip(["<s>", *(one if i % 2 else two).split()], (one if i % 2 else two).split(), strict=False)]
-    scale = 120 / len(words)  # to the target's tokens
-    total = 0.0
-    for a, b in zip(["<s>", *one.split()], one.split(), strict=False):
-        single = (words.count(b) * scale + 1) / (len(words) * scale + n_words)
-        pair = pairs.count((a, b)) * scale
-        seen = words.count(a) * scale if a != "<s>" else 0
-        total -= np.log((pair + config.prior * single) / (max(seen, pair) + config.prior))
-    assert got[1]["background_loss"] == pytest.approx(total / 6, rel=1e-3)
+
+
+def test_cross_entropy_odd(odd, empty):
     assert len(rows(crossentropy.score_documents(odd, odd))) == len(ODD) and crossentropy.score_documents(empty, empty).count() == 0
 
 
