@@ -209,6 +209,8 @@ def candidates(reps: DataFrame, config: ChosenPath) -> DataFrame:
         for t in tiles_of(batches, ["path", "a", "b"]):
             rid = t.column("_rid").to_numpy()
             n = len(rid)
+            if n < 2:
+                continue
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint32).reshape(n, -1)
             if n == 2:
                 if (sketch[0] == sketch[1]).mean() >= least:
@@ -317,7 +319,8 @@ def join_documents(docs: DataFrame, config: ChosenPath = ChosenPath()) -> DataFr
     folded sets choose paths; sets that end on one path and look alike form clusters, and within clusters all pairs
     that look alike are verified on whole sets. Tiles return counts and spanning links, not pairs. component_id is the
     smallest doc_id reachable by links. Texts without words (null, empty, only signs) link with nothing and are their
-    own component; a null doc_id is the smallest of none unless its group has no other.
+    own component; a null doc_id is the smallest of none unless its group has no other. An empty table gives no rows; a
+    text of any length is one set. Other columns of docs are not read.
     """
     all_rows = stage(sketches(docs, config), "sketches")
     reps = all_rows.where("size > 0").groupBy("size", "h1", "h2").agg(F.min("doc_id").alias("low"), F.count("*").alias("mult"), F.first("sketch").alias("sketch"))

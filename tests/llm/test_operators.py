@@ -301,6 +301,25 @@ def test_jaccard_small_buckets(docs):
     assert sum(r["n_links"] for r in few) >= 0.95 * sum(r["n_links"] for r in one)
 
 
+@pytest.mark.parametrize("bucket", [2048, 1])
+def test_jaccard_recall_near_the_threshold(spark, bucket):
+    """Pairs of texts just over the threshold, also where every bucket is split at all levels."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for _ in range(300):
+        w = [word() for _ in range(204)]
+        other = w[:]
+        for k in (30, 80, 120, 170):
+            other[k] = word()
+        texts += [" ".join(w), " ".join(other)]
+    sets = [shingles(t) for t in texts]
+    real = [i for i in range(0, 600, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(real) == 300
+    got = rows(jaccard.join_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), jaccard.ChosenPath(bucket=bucket)))
+    assert sum(r["n_links"] for r in got) >= 2 * 0.99 * len(real)
+
+
 def test_jaccard_recall_of_splits(spark):
     """Pairs at the threshold whose buckets are split at each level are found with the recall that is stated."""
     n, config = 3000, jaccard.ChosenPath(bucket=1)
