@@ -491,10 +491,10 @@ def plain_losses(pairs, target, prior):
 
     def count(some):
         words, twos, before = Counter(), Counter(), Counter()
-        for w in some:
-            words.update(w)
-            twos.update(zip(["<s>", *w], w, strict=False))
-            before.update(["<s>", *w[:-1]] if w else [])
+        for w in filter(None, some):
+            words.update([*w, "</s>"])
+            twos.update(zip(["<s>", *w], [*w, "</s>"], strict=True))
+            before.update(["<s>", *w])
         return words, twos, before
 
     every, good = count([w for _, w in texts]), count([w for i, w in texts if i in target])
@@ -507,7 +507,7 @@ def plain_losses(pairs, target, prior):
             loss = 0.0
             for a, b in zip(["<s>", *w], w, strict=False):
                 less = [m[k] - (o[k] if inside else 0) for m, o, k in zip(model, own, (b, (a, b), a), strict=True)]
-                single = (less[0] * scale + 1) / ((model[0].total() - (len(w) if inside else 0)) * scale + len(every[0]))
+                single = (less[0] * scale + 1) / ((model[0].total() - (len(w) + 1 if inside else 0)) * scale + len(every[0]))
                 loss -= np.log((less[1] * scale + prior * single) / (less[2] * scale + prior))
             sums.append(loss / max(len(w), 1))
         out.append((i, len(w), *sums, sums[1] - sums[0]))
