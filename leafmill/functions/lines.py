@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import collapse, strip
 
-#: Marks of internal records that are no content. Fixed values.
+#: Fixed values that decide the output: marks of internal records, then forms of lines.
 INTERNAL = "resolutionId|provider=|hash=|localId|PageTitle|PageDateTime"
 _TWO_WORDS = r"^[A-Za-z]+\s[A-Za-z]+\z"
 _BULLET = r"^([-*•]|\d+[\.)]|[A-Za-z][\.)])\s+"
@@ -63,16 +63,20 @@ def heading_text(v: Column) -> Column:
     return F.when(v.rlike(r"^#{1,3}\s+.+\z"), strip(F.regexp_replace(v, r"^#{1,3}\s+", ""))).when(v.rlike(r"^[A-Z][A-Za-z0-9\s]{2,60}:\z"), strip(F.regexp_replace(v, r":\z", "")))
 
 
-def cells(line: Column) -> Column:
-    """struct<delimiter, cells> of a table row parted by tabs, pipes or runs of spaces, in this order; null if it is none."""
-    v = strip(line)
+def cells(line: Column, stripped: bool = False) -> Column:
+    """struct<delimiter, cells> of a table row parted by tabs, pipes or runs of spaces, in this order; null if it is none.
+
+    stripped: line has no white space at its ends; a column of its own for that is computed once.
+    """
+    v = line if stripped else strip(line)
     cut = lambda mark: F.transform(F.split(v, mark), strip)
     full = lambda a: F.filter(a, lambda c: c != "")
     row = lambda kind, a: F.struct(F.lit(kind).alias("delimiter"), a.alias("cells"))
     tab, pipe, space = full(cut("\t")), full(cut(r"\|")), full(cut(r"\s{2,}"))
     piped = v.contains("|") & (F.size(pipe) >= 2) & (v.startswith("|") | v.endswith("|") | (F.size(cut(r"\|")) >= 3))
     spaced = v.rlike(r"\s{2,}") & (F.size(space) >= 2) & (F.size(F.filter(space, lambda c: c.rlike("[A-Za-z0-9]"))) >= 2)
-    return F.when(v.contains("\t") & (F.size(tab) >= 2), row("tab", tab)).when(piped, row("pipe", pipe)).when(spaced, row("space", space))
+    found = F.when(v.contains("\t") & (F.size(tab) >= 2), row("tab", tab)).when(piped, row("pipe", pipe)).when(spaced, row("space", space))
+    return F.when(v.contains("\t") | v.contains("|") | v.rlike(r"\s{2}"), found)
 
 
 def is_separator(a: Column) -> Column:
@@ -84,18 +88,18 @@ def line_score(line: Column) -> Column:
     add = lambda test, n: F.when(test, n).otherwise(0)
     words = F.size(F.regexp_extract_all(v, F.lit("[A-Za-z]{3,}"), F.lit(0))) >= 2
     score = add(v.rlike(_CLOCK), 1) + add(v.rlike(_DAY), 1) + add(v.rlike(r"\s"), 1) + add(words, 2) - add(v.rlike(r"^[A-Z0-9]{3,}[!?]?\z"), 2) - add(looks_binary(v), 3)
-    return F.when(v == "", None).when(heading_level(v).isNotNull() | cells(v).isNotNull() | v.rlike(_BULLET), 4).otherwise(score)
+    return F.when(v == "", None).when(heading_level(v).isNotNull() | cells(v, True).isNotNull() | v.rlike(_BULLET), 4).otherwise(score)
 
 
 def joins_paragraph(before: Column, line: Column) -> Column:
     p, n = strip(before), strip(line)
-    block = heading_level(n).isNotNull() | cells(n).isNotNull() | n.rlike(_BULLET)
+    block = heading_level(n).isNotNull() | cells(n, True).isNotNull() | n.rlike(_BULLET)
     return F.coalesce((p != "") & (n != "") & ~block & ~(p.rlike(r"[.!?;:]\z") & n.rlike("^[A-Z][A-Za-z0-9]")), F.lit(False))
 
 
-def line_class(line: Column) -> Column:
-    v = strip(line)
-    return F.when(v == "", "blank").when(cells(v).isNotNull(), "table").when(v.rlike(r"^[-*•]\s+"), "ul").when(v.rlike(r"^(\d+[\.)]|[A-Za-z][\.)])\s+"), "ol").when(heading_level(v).isNotNull(), "heading").otherwise("paragraph")
+def line_class(line: Column, stripped: bool = False) -> Column:
+    v = line if stripped else strip(line)
+    return F.when(v == "", "blank").when(cells(v, True).isNotNull(), "table").when(v.rlike(r"^[-*•]\s+"), "ul").when(v.rlike(r"^(\d+[\.)]|[A-Za-z][\.)])\s+"), "ol").when(heading_level(v).isNotNull(), "heading").otherwise("paragraph")
 
 
 def is_date(v: Column) -> Column:

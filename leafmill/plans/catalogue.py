@@ -192,17 +192,18 @@ def title_scoring(spark, d):
     return doc_lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), lines.is_title(v).alias("title"), lines.title_score(v).cast("long").alias("score"))
 
 
-@query(rf"""WITH {_LINES}, r AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 2 THEN 'PageTitle' ELSE substr(line, 1, 30) END AS line FROM lines),
+@query(rf"""WITH {_LINES}, r AS (SELECT doc_id, 2 * pos AS pos, line FROM lines UNION ALL SELECT doc_id, 2 * pos + 1, 'PageTitle' FROM lines),
     b AS (SELECT *, max(CASE WHEN {_TITLE} THEN {{'s': {_SCORE}, 'i': pos, 'v': line}} END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS best FROM r),
     f AS (SELECT doc_id, pos, best.i AS title_at, best.v AS title FROM b WHERE line = 'PageTitle' AND best.s > 0)
     SELECT doc_id, pos AS marker_at, title_at, title FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, title ORDER BY pos) = 1""")
 def best_title_window(spark, d):
-    r = doc_lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), F.when(F.col("pos") % 3 == 2, "PageTitle").otherwise(F.substring("line", 1, 30)).alias("line"))
+    both = F.array(F.struct((2 * F.col("pos")).cast("long").alias("pos"), F.col("line")), F.struct((2 * F.col("pos") + 1).cast("long").alias("pos"), F.lit("PageTitle").alias("line")))
+    r = doc_lines(spark, d).select("doc_id", F.explode(both).alias("r")).select("doc_id", "r.*")
     return segments.best_titles(r, "doc_id", "pos", "line")
 
 
 _OFFSETS = f"{_LINES}, o AS (SELECT doc_id, pos, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM lines)"
-_SEGMENTS = """seg AS (SELECT o.doc_id, pos, greatest(coalesce(lag(start) OVER w, 0), start - 512) AS seg_start, coalesce(lead(start) OVER w, length(text)) AS nxt, length(text) AS size FROM o JOIN documents d ON o.doc_id = d.doc_id WHERE pos % 3 = 0 WINDOW w AS (PARTITION BY o.doc_id ORDER BY start)),
+_SEGMENTS = f"""seg AS (SELECT o.doc_id, pos, greatest(coalesce(lag(start) OVER w, 0), start - 512) AS seg_start, coalesce(lead(start) OVER w, length(text)) AS nxt, length(text) AS size FROM o JOIN documents d ON o.doc_id = d.doc_id WHERE {_TITLE} WINDOW w AS (PARTITION BY o.doc_id ORDER BY start)),
     s AS (SELECT doc_id, pos, seg_start, least(size, greatest(seg_start + 1, nxt + 256)) AS seg_end FROM seg)"""
 
 
@@ -214,13 +215,13 @@ def _offsets(spark, d):
 
 @query(f"WITH {_OFFSETS}, {_SEGMENTS} SELECT doc_id, pos, seg_start, seg_end FROM s")
 def page_segments(spark, d):
-    return segments.page_segments(_offsets(spark, d).where("pos % 3 = 0"), "doc_id", "start", "size").select("doc_id", "pos", "seg_start", "seg_end")
+    return segments.page_segments(_offsets(spark, d).where(lines.is_title(F.col("line"))), "doc_id", "start", "size").select("doc_id", "pos", "seg_start", "seg_end")
 
 
 @query(f"WITH {_OFFSETS}, {_SEGMENTS} SELECT s.doc_id, s.pos, count(*) AS n, CAST(sum(o.pos) AS BIGINT) AS places FROM s JOIN o ON s.doc_id = o.doc_id AND o.start + length(o.line) >= seg_start AND o.start <= seg_end GROUP BY 1, 2")
 def segment_line_join(spark, d):
     rows = _offsets(spark, d)
-    seg = segments.page_segments(rows.where("pos % 3 = 0"), "doc_id", "start", "size").select("doc_id", "pos", "seg_start", "seg_end")
+    seg = segments.page_segments(rows.where(lines.is_title(F.col("line"))), "doc_id", "start", "size").select("doc_id", "pos", "seg_start", "seg_end")
     rec = rows.select("doc_id", F.col("pos").alias("rec"), F.col("start").alias("rec_start"), (F.col("start") + F.length("line")).alias("rec_end"))
     return segments.lines_in_segments(seg, rec, "doc_id").groupBy("doc_id", "pos").agg(F.count("*").alias("n"), F.sum("rec").alias("places"))
 
@@ -230,9 +231,9 @@ def preview_line_filter(spark, d):
     return doc_lines(spark, d).where(lines.is_preview(F.col("line"))).select("doc_id", F.col("pos").cast("long").alias("pos"))
 
 
-@query(f"WITH {_LINES} SELECT doc_id, pos, {_KIND} AS delimiter FROM lines WHERE {_KIND} IS NOT NULL")
+@query(f"WITH {_LINES} SELECT doc_id, pos, {_KIND} AS delimiter, CAST(to_json(CASE {_KIND} WHEN 'pipe' THEN {_FULL(chr(92) + '|')} ELSE {_FULL(chr(92) + 's{2,}')} END) AS VARCHAR) AS cells FROM lines WHERE {_KIND} IS NOT NULL")
 def table_split(spark, d):
-    return doc_lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), lines.cells(F.col("line"))["delimiter"].alias("delimiter")).where("delimiter is not null")
+    return doc_lines(spark, d).withColumn("v", text.strip(F.col("line"))).select("doc_id", F.col("pos").cast("long").alias("pos"), lines.cells(F.col("v"), True).alias("c")).where("c is not null").select("doc_id", "pos", F.col("c.delimiter").alias("delimiter"), F.to_json("c.cells").alias("cells"))
 
 
 @query(f"WITH {_LINES}, h AS (SELECT doc_id, pos, CASE WHEN pos = 0 THEN '## ' || line WHEN pos = 1 THEN 'Label 1:' ELSE line END AS line FROM lines) SELECT doc_id, pos, CAST({_LEVEL} AS INT) AS level FROM h WHERE {_LEVEL} IS NOT NULL")
@@ -255,12 +256,23 @@ def merge_unique(spark, d):
     return out.select("doc_id", "line", (F.col("rank") + 1).cast("long").alias("rank"))
 
 
+_BLOCK = lambda c: rf"(regexp_matches({c}, '^([-*•]|\d+[\.)]|[A-Za-z][\.)])\s+') OR {_LEVEL.replace('line', c)} IS NOT NULL OR {_KIND.replace('line', c)} IS NOT NULL)"
+
+
+@query(f"""WITH {_LINES}, v AS (SELECT doc_id, pos, {_STRIP('line')} AS n, lag({_STRIP('line')}) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM lines),
+    f AS (SELECT doc_id, pos, CASE WHEN p <> '' AND n <> '' AND NOT {_BLOCK('n')} AND NOT (regexp_matches(p, '[.!?;:]$') AND regexp_matches(n, '^[A-Z][A-Za-z0-9]')) THEN 0 ELSE 1 END AS new FROM v)
+    SELECT doc_id, pos, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS paragraph FROM f""")
+def paragraph_fold(spark, d):
+    rows = doc_lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), text.strip(F.col("line")).alias("line"))
+    return segments.paragraphs(rows, "doc_id", "pos", "line").select("doc_id", "pos", "paragraph")
+
+
 @query(f"""WITH {_LINES}, k AS (SELECT doc_id, pos, CASE WHEN {_STRIP('line')} = '' THEN 'blank' WHEN {_KIND} IS NOT NULL THEN 'table' WHEN regexp_matches({_STRIP('line')}, '^[-*•]\\s+') THEN 'ul' WHEN regexp_matches({_STRIP('line')}, '^(\\d+[\\.)]|[A-Za-z][\\.)])\\s+') THEN 'ol'
     WHEN regexp_matches({_STRIP('line')}, '^#{{1,3}}\\s+.+$') OR regexp_matches({_STRIP('line')}, '^[A-Z][A-Za-z0-9\\s]{{2,60}}:$') THEN 'heading' ELSE 'paragraph' END AS kind FROM lines),
     n AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) = kind THEN 0 ELSE 1 END AS new FROM k), i AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM n)
     SELECT doc_id, island, kind, min(pos) AS first_at, max(pos) AS last_at, count(*) AS n FROM i GROUP BY 1, 2, 3""")
 def line_class_islands(spark, d):
-    rows = doc_lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), lines.line_class(F.col("line")).alias("kind"))
+    rows = doc_lines(spark, d).withColumn("v", text.strip(F.col("line"))).select("doc_id", F.col("pos").cast("long").alias("pos"), lines.line_class(F.col("v"), True).alias("kind"))
     return segments.islands(rows, "doc_id", "pos", "kind")
 
 
@@ -311,12 +323,12 @@ def page_links(spark, d):
 
 
 @query(r"""WITH r AS (SELECT page_id, i - 1 AS pos, l[i] AS link FROM (SELECT page_id, regexp_extract_all(html, '(?i)\b(?:src|href)="([^"]*)"', 1) AS l FROM pages) t, unnest(range(1, len(l) + 1)) u(i)),
-    k AS (SELECT DISTINCT page_id, lower(regexp_extract(link, '([^/\\]*)$', 1)) AS base FROM r WHERE page_id % 2 = 0)
+    k AS (SELECT DISTINCT page_id, lower(regexp_extract(link, '([^/\\]*)$', 1)) AS base FROM r WHERE regexp_extract(link, '([^/\\]*)$', 1) LIKE '%.%')
     SELECT r.page_id, r.pos, r.link, CASE WHEN k.base IS NOT NULL AND k.base <> '' THEN 'data:' || k.base END AS uri FROM r LEFT JOIN k ON r.page_id = k.page_id AND lower(regexp_extract(link, '([^/\\]*)$', 1)) = k.base""")
 def image_lookup(spark, d):
     refs = page_links(spark, d)
     base = F.lower(F.regexp_extract("link", r"([^/\\]*)\z", 1))
-    keys = refs.where("page_id % 2 = 0").select("page_id", base.alias("key")).where("key <> ''").distinct().withColumn("uri", F.concat(F.lit("data:"), "key"))
+    keys = refs.select("page_id", base.alias("key")).where("key like '%.%'").distinct().withColumn("uri", F.concat(F.lit("data:"), "key"))
     return lookups.resolve(refs, keys, "link", ["page_id"]).select("page_id", "pos", "link", "uri")
 
 
