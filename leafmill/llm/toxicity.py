@@ -17,15 +17,16 @@ from leafmill.llm.common import batched, byte_prefix, mix, powers, read, schema_
 class Neighbours:
     """examples: most labelled documents in the index, half of each label; calibration: most that fit the scores.
 
-    nearest: examples that vote. block: examples of an index block. chunk: blocks that are scored at once. least: what
-    a term counts that goes with neither label, beside the root of its chi-square.
+    nearest: examples that vote. block: examples of an index block. chunk: blocks that are scored at once. frequent: share
+    of the examples above which a term's list is stored with its gaps. least: what a term counts that goes with neither label, beside the root of its chi-square.
     """
 
     examples: int = 2048
     calibration: int = 4096
     nearest: int = 16
     block: int = 64
-    chunk: int = 6
+    chunk: int = 12
+    frequent: float = 0.125
     least: float = 0.01
 
 
@@ -69,7 +70,8 @@ class Index:
 
     A term weighs (1 + log times) * idf * salience, the last learnt from the examples' labels. Terms in no example have
     the idf of a term of one document and the least salience; they count in a text's length. A query's products with
-    the largest weights bound its cosine with all examples of a block. Blocks are taken from the highest bound down
+    the largest weights bound its cosine with all examples of a block. Terms of a large share of the examples have their
+    lists stored with gaps; their part of all cosines is one product for many texts, exact before any bound. Blocks are taken from the highest bound down
     until the next bound is under the nearest-th cosine found, so the nearest are exact.
     """
 
@@ -87,13 +89,18 @@ class Index:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"lists": None}  # made anew where the index is used
 
-    def inverted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first, most, place, weight): where the list of a term and block starts, its largest weight; the lists."""
+    def inverted(self) -> tuple[np.ndarray, ...]:
+        """(first, most, place, weight): where the list of a term and block starts, its largest weight; the lists; then
+        (number, full): each frequent term's number, -1 for others, and the frequent terms' lists with their gaps."""
         if self.lists is None:
             n = -(-len(self.rows) // self.config.block)
             term = np.concatenate([t for t, _ in self.rows] or [np.zeros(0, np.int64)])
             place = np.repeat(np.arange(len(self.rows), dtype=np.int32), [len(t) for t, _ in self.rows])
             weight = np.concatenate([w for _, w in self.rows] or [np.zeros(0, np.float32)])
+            often = np.bincount(term, minlength=len(self.terms)) > self.config.frequent * len(self.rows)
+            number = np.where(often, np.cumsum(often) - 1, -1)
+            full = np.zeros((int(often.sum()), len(self.rows)), np.float32)
+            full[number[term[often[term]]], place[often[term]]] = weight[often[term]]
             by = np.lexsort((place, term))
             term, place, weight = term[by], place[by], weight[by]
             cell = term * n + place // self.config.block
@@ -101,7 +108,7 @@ class Index:
             np.cumsum(np.bincount(cell, minlength=len(self.terms) * n), out=first[1:])
             most = np.zeros(len(self.terms) * n, np.float32)
             np.maximum.at(most, cell, weight)
-            self.lists = first, most.reshape(len(self.terms), n), place, weight
+            self.lists = first, most.reshape(len(self.terms), n), place, weight, number, full
         return self.lists
 
     def weigh(self, hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,21 +122,34 @@ class Index:
         w /= np.sqrt(w @ w)
         return at[known], w[known].astype(np.float32)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the nearest examples that share a term, nearest first."""
-        first, most, place, weight = self.inverted()
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (terms, weights): (places, cosines) of the nearest examples that share a term, nearest first."""
+        number, full = self.inverted()[4:]
+        if not len(self.rows):
+            return [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(texts)
+        known = np.zeros((len(texts), len(full)), np.float32)
+        for row, (terms, weights) in zip(known, texts, strict=True):
+            at = number[terms]
+            row[at[at >= 0]] = weights[at >= 0]
+        return [self._nearest(*self._rare(t), row) for t, row in zip(texts, known @ full, strict=True)]
+
+    def _rare(self, text: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rare = self.inverted()[4][text[0]] < 0
+        return text[0][rare], text[1][rare]
+
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """part: the frequent terms' part of the cosines with all examples; terms are the others."""
+        first, most, place, weight = self.inverted()[:4]
         k, size, n = self.config.nearest, self.config.block, most.shape[1]
         places, cosines = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        if not n or not len(terms):
-            return places, cosines
-        bound = weights @ most[terms]
+        bound = np.maximum.reduceat(part, np.arange(0, len(part), size)) + weights @ most[terms]
         blocks = np.argsort(-bound, kind="stable")
         blocks = blocks[bound[blocks] > 0]
         base = terms * n
         for i in range(0, len(blocks), self.config.chunk):
             some = blocks[i : i + self.config.chunk]
             if len(cosines) == k:
-                some = some[bound[some] >= cosines[-1] - 1e-5]
+                some = some[bound[some] >= cosines.min() - 1e-5]
                 if not len(some):
                     break
             cell = (base[:, None] + some).ravel()
@@ -138,22 +158,26 @@ class Index:
             live = np.flatnonzero(length)
             start, length = start[live], length[live]
             at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-            got = np.bincount(place[at], weight[at] * np.repeat(weights[live // len(some)], length), len(self.ids))
+            got = np.bincount(place[at], weight[at] * np.repeat(weights[live // len(some)], length), len(part))
             at = (some[:, None] * size + np.arange(size)).ravel()
-            at = at[at < len(self.ids)]
-            at = at[got[at] > 0]
-            places, cosines = np.concatenate([places, at]), np.concatenate([cosines, got[at]])
-            top = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[top], cosines[top]
-        return places, cosines
-
-    def vote(self, hashes: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """(share of the nearest examples' votes for label 1, by closeness; -1 without any), their places, cosines."""
-        places, cosines = self.nearest(*self.weigh(*np.unique(hashes, return_counts=True)))
-        if not len(places):
-            return -1.0, places, cosines
-        w = 1 / (1.05 - np.minimum(cosines.astype(np.float64), 1))
-        return float(w @ self.labels[places] / w.sum()), places, cosines
+            at = at[at < len(part)]
+            both = got[at] + part[at]
+            at, both = at[both > 0], both[both > 0]
+            places, cosines = np.concatenate([places, at]), np.concatenate([cosines, both])
+            if len(places) > k:
+                near = np.flatnonzero(cosines >= np.partition(cosines, -k)[-k])
+                near = near[np.lexsort((places[near], -cosines[near]))][:k]
+                places, cosines = places[near], cosines[near]
+        order = np.lexsort((places, -cosines))
+        return places[order], cosines[order]
+
+    def votes(self, hashes: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text (share of the nearest examples' votes for label 1, by closeness; -1 without any), their places, cosines."""
+        out = []
+        for places, cosines in self.nearest([self.weigh(*np.unique(h, return_counts=True)) for h in hashes]):
+            w = 1 / (1.05 - np.minimum(cosines.astype(np.float64), 1))
+            out.append((float(w @ self.labels[places] / w.sum()) if len(places) else -1.0, places, cosines))
+        return out
 
 
 def rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, config: Neighbours = Neighbours())
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in _texts(batches, 1):
-            yield pa.RecordBatch.from_arrays([pa.array([held.value.vote(w)[0] for w in words], pa.float64()), batch.column(2)], ["vote", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _, _ in held.value.votes(words)], pa.float64()), batch.column(2)], ["vote", "toxic"])
 
     fitted = _sampled(docs, first(known.where("_fold = 1"), config.calibration)).select("doc_id", "text", "toxic").repartition(64).mapInArrow(voted, "vote double, toxic int").collect()
     if not fitted:
@@ -253,7 +277,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, config: Neighbours = Nei
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, votes, scores = held.value
         for batch, words in _texts(batches, 1):
-            out = [index.vote(w) for w in words]
+            out = index.votes(words)
             vote = np.array([v for v, _, _ in out])
             score = scores[np.maximum(np.searchsorted(votes, vote, "right") - 1, 0)]
             new = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(vote, pa.float64()), pa.array([index.ids[p[:3]].tolist() for _, p, _ in out], pa.list_(pa.int64())), pa.array([c[:3].astype(float).tolist() for _, _, c in out], pa.list_(pa.float64()))]

@@ -423,7 +423,7 @@ def test_nearest_are_exact():
         t = np.sort(rng.choice(60, rng.integers(0, 9), replace=False)).astype(np.uint64)
         counts.append((t, rng.integers(1, 4, len(t))))
     known = np.arange(50, dtype=np.uint64)
-    config = toxicity.Neighbours(block=16, chunk=2)
+    config = toxicity.Neighbours(block=16, chunk=2, frequent=0.08)
     index = toxicity.Index(known, rng.random(50) + 0.5, 0.3, list(range(700)), rng.integers(0, 2, 700), counts, config)
     weight = np.concatenate([index.weights, np.full(10, 0.3)])
     dense = np.zeros((700, 60))
@@ -432,7 +432,7 @@ def test_nearest_are_exact():
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
     dense[:, 50:] = 0
     for i in range(0, 700, 7):
-        places, cosines = index.nearest(*index.weigh(*counts[i]))
+        (places, cosines), = index.nearest([index.weigh(*counts[i])])
         best = np.sort(dense @ dense[i])[::-1][: config.nearest]
         assert np.allclose(cosines, best[: len(cosines)], atol=1e-5) and len(cosines) == min(config.nearest, int((dense @ dense[i] > 0).sum()))
         assert np.allclose((dense @ dense[i])[index.ids[places]], cosines, atol=1e-5)
