@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.operators import tree
-from leafmill.plans.catalogue import query, table
+from leafmill.functions import legacy
+from leafmill.operators import blocks, tree
+from leafmill.plans.catalogue import _KIND, _LEVEL, _LINES, _STRIP, doc_lines, query, table
 from leafmill.plans.cleaning import clean_pages, profile
 
 
@@ -97,3 +98,32 @@ def page_tokens_cleaned(spark, d):
 @query("""SELECT page_id, replace(html, '</head>', '<meta name="viewport" content="width=device-width, initial-scale=1.0"></head>') AS output FROM pages""")
 def html_clean(spark, d):
     return clean_pages(table(spark, d, "pages").select("page_id", "html"), "page_id", "html", profile("generic", indent_all=False)).select("page_id", "output")
+
+
+_CLASS = rf"(CASE WHEN line = '' THEN 'blank' WHEN {_KIND} IS NOT NULL THEN 'table' WHEN regexp_matches(line, '^[-*•]\s+') THEN 'ul' WHEN regexp_matches(line, '^(\d+[\.)]|[A-Za-z][\.)])\s+') THEN 'ol' WHEN {_LEVEL} IS NOT NULL THEN 'heading' ELSE 'paragraph' END)"
+
+
+@query(f"""WITH {_LINES}, v AS (SELECT doc_id, pos, {_STRIP('line')} AS line FROM lines), c AS (SELECT doc_id, pos, line, {_CLASS} AS kind FROM v),
+    p AS (SELECT *, lag(kind) OVER w AS was, lag(line) OVER w AS p FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    f AS (SELECT *, CASE WHEN was = kind AND (kind IN ('ul', 'ol') OR (kind = 'paragraph' AND NOT (regexp_matches(p, '[.!?;:]$') AND regexp_matches(line, '^[A-Z][A-Za-z0-9]')))) THEN 0 ELSE 1 END AS new FROM p WHERE kind NOT IN ('blank', 'table')),
+    b AS (SELECT doc_id, kind, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM f)
+    SELECT doc_id, kind, min(pos) AS first_at, count(*) AS n FROM b GROUP BY doc_id, kind, block""")
+def text_blocks(spark, d):
+    made = blocks.blocks(doc_lines(spark, d).withColumn("pos", F.col("pos").cast("long")), "doc_id", "pos", "line")
+    return made.where("kind <> 'table'").select("doc_id", "kind", "first_at", F.size("items").cast("long").alias("n"))
+
+
+def block_pages(spark, d):
+    """Whole pages from the lines of documents."""
+    docs = table(spark, d, "documents")
+    made = blocks.blocks(doc_lines(spark, d), "doc_id", "pos", "line")
+    return blocks.pages(made, "doc_id", docs.select("doc_id", F.concat(F.lit("Document "), "doc_id").alias("title")))
+
+
+query()(block_pages)
+
+
+@query("""SELECT p_partkey, '<!DOCTYPE html>' || chr(10) || '<html lang="en"><head><title>' || p_name || '</title></head><body><img src="x" width="' || p_size || '"></body></html>' AS html FROM part""")
+def legacy_page(spark, d):
+    html = F.concat(F.lit('<html><head></head><body><img src="x" width='), "p_size", F.lit(' height=""></body></html>'))
+    return table(spark, d, "part").select("p_partkey", legacy.complete(legacy.drop_empty_dimensions(legacy.quote_dimensions(html)), F.col("p_name")).alias("html"))
