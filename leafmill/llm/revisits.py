@@ -33,6 +33,7 @@ def resolve_revisits(records: DataFrame, rows_a_window: int = 4000) -> DataFrame
     response, changed by the revisit's but for FIXED ones; those of the revisit alone where it isn't resolved. Header
     names are in small letters. Records without a URL or time are missing; other kinds are left out.
 
+    An empty table gives no rows; rows that share a record_id are records of their own. Other columns are not read.
     A URL's records are also parted by time, and what an earlier part leaves is carried by one row a part, so a URL
     with many records is spread over tasks. Bodies do not move; join them by response_id.
     """
@@ -44,7 +45,8 @@ def resolve_revisits(records: DataFrame, rows_a_window: int = 4000) -> DataFrame
     rows = rows.withColumn("_part", F.floor((F.col("time") - (low or 0)) / width))
     rows = rows.withColumn("_full", F.when(answer & F.col("time").isNotNull() & F.col("canonical").isNotNull(), F.struct("time", "record_id", "headers", "digest")))
     order = ["time", F.when(answer, 1).otherwise(0), "record_id"]
-    near = F.last("_full", ignorenulls=True).over(Window.partitionBy("canonical", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_salt", F.when(F.col("canonical").isNull() | F.col("time").isNull(), F.xxhash64("record_id", "kind")))  # these meet nothing
+    near = F.last("_full", ignorenulls=True).over(Window.partitionBy("canonical", "_part", "_salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     ends = rows.where("_full is not null").groupBy("canonical", "_part").agg(F.max_by("_full", F.struct("time", "record_id")).alias("_end"))
     parts = rows.select("canonical", "_part").distinct().join(ends, ["canonical", "_part"], "left")
     before = F.last("_end", ignorenulls=True).over(Window.partitionBy("canonical").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -70,29 +72,36 @@ def resolve_revisits(records: DataFrame, rows_a_window: int = 4000) -> DataFrame
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Each page as a full response and, later, a revisit of another spelling of its URL; validators vary by page_id."""
+    """Each page as a full response and as a revisit; four pages share a URL, spelled in two ways.
+
+    A revisit comes 5 before its page's response, with it or 5 after it, so it meets the page's own response, an
+    earlier page's or none. Validators come and go by page_id, so every status occurs.
+    """
     k = F.col("page_id")
-    digest = F.md5("html")
-    full = F.create_map(F.lit("ETag"), F.when(k % 4 != 3, F.concat(F.lit('"'), digest, F.lit('"'))), F.lit("Last-Modified"), F.when(k % 2 == 0, F.concat(F.lit("day "), k.cast("string"))), F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), F.concat(F.lit("d"), (10 * k).cast("string")))
-    again = F.create_map(F.lit("etag"), F.when(k % 4 == 0, F.concat(F.lit('W/"'), digest, F.lit('"'))).when(k % 4 == 1, '"other"'), F.lit("last-modified"), F.when(k % 2 == 0, F.concat(F.lit("day "), k.cast("string"))), F.lit("content-type"), F.lit("none"), F.lit("date"), F.concat(F.lit("d"), (10 * k + 5).cast("string")))
-    real = lambda m: F.map_filter(m, lambda _, v: v.isNotNull())
-    spelled = F.concat(F.lit("HTTPS://www."), F.upper(F.regexp_extract("url", "://(?:www[.])?([^/?#]*)", 1)), F.lit(":443"), F.regexp_extract("url", "://[^/?#]*([^#]*)", 1), F.lit("#again"))
+    digest, day = F.md5("html"), F.concat(F.lit("day "), (k % 6).cast("string"))
+    real = lambda **m: F.map_filter(F.create_map(*[x for n, v in m.items() for x in (F.lit(n.replace("_", "-")), v)]), lambda _, v: v.isNotNull())
+    date = lambda t: F.concat(F.lit("d"), t.cast("string"))
+    at, group = 10 * k + 5 * (k % 3) - 5, F.floor(k / 4).cast("string")
+    full = real(ETag=F.when(k % 5 != 0, F.concat(F.lit('"'), digest, F.lit('"'))), Last_Modified=F.when(k % 3 != 1, day), Content_Type=F.lit("text/html"), Date=date(10 * k))
+    again = real(etag=F.when(k % 2 == 0, F.concat(F.lit('W/"'), digest, F.lit('"'))), last_modified=F.when(k % 4 != 1, day), content_type=F.lit("none"), date=date(at))
     rows = F.array(
-        F.struct((2 * k).alias("record_id"), F.lit("response").alias("kind"), F.col("url").alias("url"), (10 * k).alias("time"), real(full).alias("headers"), digest.alias("digest")),
-        F.struct((2 * k + 1).alias("record_id"), F.lit("revisit").alias("kind"), spelled.alias("url"), (10 * k + 5).alias("time"), real(again).alias("headers"), F.when(k % 4 == 3, digest).alias("digest")),
+        F.struct((2 * k).alias("record_id"), F.lit("response").alias("kind"), F.concat(F.lit("http://www.Site.example/"), group, F.lit("/")).alias("url"), (10 * k).alias("time"), full.alias("headers"), F.when(k % 7 != 0, digest).alias("digest")),
+        F.struct((2 * k + 1).alias("record_id"), F.lit("revisit").alias("kind"), F.concat(F.lit("HTTPS://SITE.example:443/"), group, F.lit("#again")).alias("url"), at.alias("time"), again.alias("headers"), F.when(k % 3 == 0, digest).alias("digest")),
     )
     return pages.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resolve_revisits(captures(read(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    out = resolve_revisits(captures(read(spark, sf_dir, "pages").select("page_id", "html")))
     return out.select("record_id", "canonical", "response_id", "status", "checked", F.size("headers").cast("long").alias("n_headers"), F.col("headers")["content-type"].alias("content_type"), F.col("headers")["date"].alias("date"))
 
 
-_CANONICAL = """(SELECT page_id, md5(html) AS digest, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www[0-9]*[.]', ''), ':(80|443)$', '')
-    || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') || regexp_extract(rest, '([?].*)$', 1) AS c FROM (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages))"""
-#: A page's own response is always the latest one that is earlier than its revisit; validators follow from page_id.
-OP2_SQL = f"""SELECT 2 * r.page_id + 1 AS record_id, r.c AS canonical, 2 * o.page_id AS response_id,
-    CASE WHEN r.page_id % 4 IN (0, 2, 3) THEN 'resolved' ELSE 'mismatch' END AS status, CASE WHEN r.page_id % 4 IN (0, 1) THEN 'etag' WHEN r.page_id % 4 = 2 THEN 'last-modified' ELSE 'digest' END AS checked,
-    CASE r.page_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 4 ELSE 2 END AS n_headers, CASE WHEN r.page_id % 4 = 1 THEN 'none' ELSE 'text/html' END AS content_type, 'd' || (10 * r.page_id + 5) AS date
-    FROM {_CANONICAL} r ASOF JOIN {_CANONICAL} o ON r.c = o.c AND 10 * r.page_id + 5 > 10 * o.page_id"""
+#: Validators are compared here by plain columns; the as-of join takes the latest response that is earlier.
+OP2_SQL = """WITH k AS (SELECT page_id AS k, md5(html) AS h, 'day ' || page_id % 6 AS day, 'site.example/' || page_id // 4 AS c FROM pages),
+    o AS (SELECT c, 2 * k AS id, 10 * k AS t, CASE WHEN k % 5 <> 0 THEN h END AS etag, CASE WHEN k % 3 <> 1 THEN day END AS day, CASE WHEN k % 7 <> 0 THEN h END AS digest FROM k),
+    r AS (SELECT c, 2 * k + 1 AS id, 10 * k + 5 * (k % 3) - 5 AS t, CASE WHEN k % 2 = 0 THEN h END AS etag, CASE WHEN k % 4 <> 1 THEN day END AS day, CASE WHEN k % 3 = 0 THEN h END AS digest FROM k),
+    m AS (SELECT r.*, o.id AS o_id, o.etag AS o_etag, o.day AS o_day, o.digest AS o_digest FROM r ASOF LEFT JOIN o ON r.c = o.c AND r.t > o.t),
+    v AS (SELECT *, CASE WHEN etag IS NOT NULL AND o_etag IS NOT NULL THEN 'etag' WHEN day IS NOT NULL AND o_day IS NOT NULL THEN 'last-modified' WHEN digest IS NOT NULL AND o_digest IS NOT NULL THEN 'digest' END AS checked FROM m),
+    s AS (SELECT *, CASE WHEN o_id IS NULL THEN 'missing' WHEN checked IS NULL THEN 'unverified' WHEN CASE checked WHEN 'etag' THEN etag = o_etag WHEN 'last-modified' THEN day = o_day ELSE digest = o_digest END THEN 'resolved' ELSE 'mismatch' END AS status FROM v)
+    SELECT id AS record_id, c AS canonical, o_id AS response_id, status, checked, CAST(2 + CASE WHEN etag IS NOT NULL OR (status = 'resolved' AND o_etag IS NOT NULL) THEN 1 ELSE 0 END + CASE WHEN day IS NOT NULL OR (status = 'resolved' AND o_day IS NOT NULL) THEN 1 ELSE 0 END AS BIGINT) AS n_headers,
+        CASE WHEN status = 'resolved' THEN 'text/html' ELSE 'none' END AS content_type, 'd' || t AS date FROM s"""
