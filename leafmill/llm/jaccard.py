@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import batched, components, mix, read, stage, union_edges, word_hashes
+from leafmill.llm.common import batched, components, mix, read, stage, union_edges, unstage, word_hashes
 
 
 @dataclass(frozen=True)
@@ -148,13 +148,15 @@ def _choose(sets: DataFrame, config: ChosenPath, level: int) -> DataFrame:
     return sets.mapInArrow(run, "_rid long, path long")
 
 
-def _buckets(reps: DataFrame, config: ChosenPath) -> DataFrame:
-    """(_rid, path, parts): sets that meet at the ends of their paths; parts is over 1 only for what depth left large."""
-    sets, out = reps.select("_rid", "sketch"), None
+def _buckets(reps: DataFrame, config: ChosenPath) -> tuple[DataFrame, list[DataFrame]]:
+    """((_rid, path, parts), what it is staged in): sets that meet at the ends of their paths; parts is over 1 only for what depth left large."""
+    sets, out, staged = reps.select("_rid", "sketch"), None, []
     for level in range(config.depth):
         paths = stage(_choose(sets, config, level).distinct(), "paths")
         counts = paths.groupBy(F.col("path").alias("_path")).agg(F.count("*").alias("_n")).where("_n > 1")
         met = stage(paths.join(counts, F.col("path") == F.col("_path")).select("_rid", "path", "_n"), "met")
+        unstage(paths)
+        staged.append(met)
         last = level == config.depth - 1
         small = (met if last else met.where(F.col("_n") <= config.bucket)).select("_rid", "path", F.ceil(F.col("_n") / config.bucket).cast("int").alias("parts"))
         out = small if out is None else out.union(small)
@@ -162,7 +164,7 @@ def _buckets(reps: DataFrame, config: ChosenPath) -> DataFrame:
         if last or large.isEmpty():
             break
         sets = large.select("_rid", "path").join(reps.select("_rid", "sketch"), "_rid").select("_rid", "path", "sketch")
-    return out
+    return out, staged
 
 
 def tiled(rows: DataFrame, key: str) -> DataFrame:
@@ -201,7 +203,7 @@ _LINK = pa.schema([("_rid", pa.int64()), ("root", pa.int64()), ("n", pa.int64())
 
 
 def candidates(reps: DataFrame, config: ChosenPath) -> DataFrame:
-    """(u, v): links that span the sets whose sketches are alike enough within some bucket."""
+    """Staged (u, v): links that span the sets whose sketches are alike enough within some bucket."""
     least = config.jaccard - config.slack
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +237,11 @@ def candidates(reps: DataFrame, config: ChosenPath) -> DataFrame:
             e = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=_EDGE)
 
-    met = _buckets(reps, config).join(reps.select("_rid", "sketch"), "_rid").select("path", "parts", "_rid", "sketch")
-    return tiled(met, "path").select("path", "a", "b", "_rid", "sketch").mapInArrow(run, "u long, v long")
+    buckets, staged = _buckets(reps, config)
+    met = buckets.join(reps.select("_rid", "sketch"), "_rid").select("path", "parts", "_rid", "sketch")
+    out = stage(tiled(met, "path").select("path", "a", "b", "_rid", "sketch").mapInArrow(run, "u long, v long"), "candidates")
+    unstage(*staged)
+    return out
 
 
 def tile_links(rid: np.ndarray, mult: np.ndarray, part: np.ndarray, sets: list[np.ndarray], sketch: np.ndarray, a: int, b: int, config: ChosenPath) -> tuple[np.ndarray, ...]:
@@ -325,8 +330,10 @@ def join_documents(docs: DataFrame, config: ChosenPath = ChosenPath()) -> DataFr
     all_rows = stage(sketches(docs, config), "sketches")
     reps = all_rows.where("size > 0").groupBy("size", "h1", "h2").agg(F.min("doc_id").alias("low"), F.count("*").alias("mult"), F.first("sketch").alias("sketch"))
     reps = stage(reps.withColumn("_rid", F.monotonically_increasing_id()), "sets")
-    clusters = stage(components(stage(candidates(reps, config), "candidates")), "clusters")
+    found = candidates(reps, config)
+    clusters = stage(components(found), "clusters")
     links = stage(_verified(docs, reps, clusters, config), "links")
+    unstage(found, clusters)
     joined = components(links.select(F.col("_rid").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("_rid").agg(F.sum("n").alias("n"))
     known = reps.drop("sketch").join(counts, "_rid", "left").join(joined.withColumnRenamed("id", "_rid"), "_rid", "left").withColumn("component", F.coalesce("component", "_rid"))

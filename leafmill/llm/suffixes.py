@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from leafmill.llm.common import batched, gram_hashes, mix, read, schema_of, shared_dir, stage
+from leafmill.llm.common import batched, gram_hashes, mix, read, schema_of, shared_dir, stage, unstage
 from leafmill.llm.jaccard import tiles_of
 
 
@@ -420,8 +420,9 @@ def dedup_passages(docs: DataFrame, config: Repeats = Repeats(), carry: bool = F
     shards = pack_shards(docs, config, carry)
     bits = _bits(shards)
     shared = stage(_shared_names(_names(shards, config, bits)), "shared")
-    spans = _spans(stage(_segments(shards, shared, config, bits), "segments"), config)
-    spans = stage(spans.groupBy("shard").agg(F.collect_list(F.struct("local", "start", "end")).alias("spans")), "spans")
+    segments = stage(_segments(shards, shared, config, bits), "segments")
+    spans = stage(_spans(segments, config).groupBy("shard").agg(F.collect_list(F.struct("local", "start", "end")).alias("spans")), "spans")
+    unstage(shared, segments)
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), *([("row", None)] if carry else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -327,7 +327,7 @@ def test_jaccard_recall_of_splits(spark):
     one, other = rng.integers(0, 1 << 32, (2, n, config.tokens), np.uint32)
     other = np.where(rng.random((n, config.tokens)) < config.jaccard, one, other)
     reps = spark.createDataFrame([(2 * i + k, x[i].tobytes()) for i in range(n) for k, x in enumerate((one, other))], "_rid long, sketch binary")
-    met = jaccard._buckets(reps, config).groupBy("path").agg(F.collect_set("_rid").alias("ids")).where("size(ids) > 1").collect()
+    met = jaccard._buckets(reps, config)[0].groupBy("path").agg(F.collect_set("_rid").alias("ids")).where("size(ids) > 1").collect()
     found = {i // 2 for r in met for i in r["ids"] if i ^ 1 in r["ids"]}
     assert n - len(found) <= 3 * (1 - config.recall) * n
 
