@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,13 +58,13 @@ def term_hashes(raw: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of the batches with the term hashes of each text of column at."""
+def _texts(batches: Iterator[pa.RecordBatch], texts: Callable[[pa.RecordBatch], pa.Array] = lambda b: b.column("text")) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches with the term hashes of each text; only a slice's texts are Python strings at a time."""
     for batch in batches:
-        done = 0
-        for some in batched(batch.column(at).to_pylist(), lambda t: len(t or ""), 1 << 20):
-            yield batch.slice(done, len(some)), term_hashes([(t or "").lower().encode() for t in some])
-            done += len(some)
+        column = texts(batch)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+        for some in batched(range(len(sizes)), sizes.__getitem__, 1 << 19):
+            yield batch.slice(some[0], len(some)), term_hashes([(t or "").lower().encode() for t in column.slice(some[0], len(some)).to_pylist()])
 
 
 class Index:
@@ -198,8 +200,8 @@ def _sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["text", "toxic"])
 
 
-def train(docs: DataFrame, labels: DataFrame, config: Neighbours = Neighbours()) -> tuple[Index, np.ndarray, np.ndarray]:
-    """(index, votes, scores): an index of labelled examples and the scores of rising votes.
+def train(docs: DataFrame, labels: DataFrame, config: Neighbours = Neighbours()) -> tuple[Broadcast, np.ndarray, np.ndarray]:
+    """(index, votes, scores): an index of labelled examples, sent to the executors once, and the scores of rising votes.
 
     Labels come only from rows whose fold is not 0. Examples are the first by hash of the folds 2 to 4, half of each
     label; scores are fitted on the first by hash of fold 1, whose labels are as frequent as in the table. The document
@@ -214,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, config: Neighbours = Neighbours())
     chosen = first(known.where("_fold > 1 and toxic = 1"), half).union(first(known.where("_fold > 1 and toxic = 0"), half))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in _texts(batches, 1):
+        for batch, words in _texts(batches):
             found = [np.unique(w, return_counts=True) for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([t.tobytes() for t, _ in found]), pa.array([n.astype(np.int32).tobytes() for _, n in found])], ["doc_id", "toxic", "terms", "times"])
 
@@ -227,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, config: Neighbours = Neighbours())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, df = 0, np.zeros(len(terms) + 1, np.int64)
-        for batch, words in _texts(batches, 0):
+        for batch, words in _texts(batches):
             total += batch.num_rows
             for w in words:
                 w = np.unique(w)
@@ -247,19 +249,19 @@ def train(docs: DataFrame, labels: DataFrame, config: Neighbours = Neighbours())
     both = np.bincount(np.concatenate([np.searchsorted(terms, t) for t, _ in counts] or [np.zeros(0, np.int64)]), minlength=len(terms)).astype(float)
     square = (pos + neg) * (a * neg - (both - a) * pos) ** 2 / np.maximum(float(pos) * neg * both * np.maximum(pos + neg - both, 1), 1)
     index = Index(terms, idf(df) * (np.sqrt(square) + config.least), float(idf(1) * config.least), [r["doc_id"] for r in rows], label, counts, config)
-    if not pos or not neg:
-        return index, np.array([-1.0]), np.array([pos / (pos + neg) if pos + neg else 0.0])
     held = docs.sparkSession.sparkContext.broadcast(index)
+    if not pos or not neg:
+        return held, np.array([-1.0]), np.array([pos / (pos + neg) if pos + neg else 0.0])
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in _texts(batches, 1):
+        for batch, words in _texts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _, _ in held.value.votes(words)], pa.float64()), batch.column(2)], ["vote", "toxic"])
 
     fitted = _sampled(docs, first(known.where("_fold = 1"), config.calibration)).select("doc_id", "text", "toxic").repartition(64).mapInArrow(voted, "vote double, toxic int").collect()
     if not fitted:
-        return index, np.array([-1.0]), np.array([pos / (pos + neg)])
+        return held, np.array([-1.0]), np.array([pos / (pos + neg)])
     votes, scores = rising(np.array([r["vote"] for r in fitted]), np.array([r["toxic"] for r in fitted], float))
-    return index, votes, scores
+    return held, votes, scores
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, config: Neighbours = Neighbours(), carry: bool = False) -> DataFrame:
@@ -270,20 +272,21 @@ def score_documents(docs: DataFrame, labels: DataFrame, config: Neighbours = Nei
     as evidence. Only the text decides, all of it, however long. Without labels of both kinds all scores are the share
     of label 1. An empty table gives no rows; repeated rows have equal scores. carry: add the rows as a struct, row.
     """
-    index, votes, scores = train(docs, labels, config)
-    held = docs.sparkSession.sparkContext.broadcast((index, votes, scores))
-    more = ["row"] if carry else []
+    held, votes, scores = train(docs, labels, config)
+    at = [c.lower() for c in docs.columns].index("text")
+    texts = (lambda b: b.column("row").field(at)) if carry else (lambda b: b.column("text"))
+    last = ["row"] if carry else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, votes, scores = held.value
-        for batch, words in _texts(batches, 1):
+        index = held.value
+        for batch, words in _texts(batches, texts):
             out = index.votes(words)
             vote = np.array([v for v, _, _ in out])
             score = scores[np.maximum(np.searchsorted(votes, vote, "right") - 1, 0)]
             new = [pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(vote, pa.float64()), pa.array([index.ids[p[:3]].tolist() for _, p, _ in out], pa.list_(pa.int64())), pa.array([c[:3].astype(float).tolist() for _, _, c in out], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *new, *batch.columns[3:]], ["doc_id", "held_out", "score", "predicted", "vote", "neighbours", "cosines", *more])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *new, *map(batch.column, last)], ["doc_id", "held_out", "score", "predicted", "vote", "neighbours", "cosines", *last])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col("text").alias("text"))
     ddl = "doc_id long, held_out boolean, score double, predicted int, vote double, neighbours array<long>, cosines array<double>"
     return rows.mapInArrow(run, schema_of(ddl, rows.schema["row"].dataType if carry else None))
 
