@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from leafmill.llm import crossentropy, embeddings, fingerprint, jaccard, licenses, mixing, packing, revisits, suffixes, toxicity
+from leafmill.llm import crossentropy, embeddings, fim, fingerprint, jaccard, licenses, mixing, packing, pieces, revisits, spelling, suffixes, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_embeddings": embeddings.op8_embeddings,
     "op9_suffixes": suffixes.op9_suffixes,
     "op10_fingerprints": fingerprint.op10_fingerprints,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_pieces": pieces.op12_pieces,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op2_revisits": revisits.OP2_SQL,
+    "op11_spelling": spelling.OP11_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
 }
