@@ -102,15 +102,21 @@ def minhashes(sets: np.ndarray, starts: np.ndarray, tokens: int) -> np.ndarray:
     return out
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary())])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, at): at, a hash of the text, tells rows of one doc_id apart."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.withColumn("at", F.xxhash64("text"))
 
 
 def sketches(docs: DataFrame, config: ChosenPath) -> DataFrame:
-    """(doc_id, size, h1, h2, sketch) of docs: number of shingles, a hash of the whole set, sketch (null if empty)."""
+    """(doc_id, at, size, h1, h2, sketch) of docs: hash of the text, number of shingles, a hash of the whole set, sketch (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
             for some in batched(rows, lambda r: len(r[1]), 1 << 20):
                 sets, ends = shingle_sets([r[1] for r in some], config.words)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -122,10 +128,9 @@ def sketches(docs: DataFrame, config: ChosenPath) -> DataFrame:
                     h[0, full], h[1, full] = np.add.reduceat(sets, starts[full]), np.bitwise_xor.reduceat(mix(sets), starts[full])
                     for i, s in zip(full.tolist(), minhashes(sets, starts[full], config.tokens), strict=True):
                         sketch[i] = s.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array(size), *(pa.array(x.view(np.int64)) for x in h), pa.array(sketch, pa.binary())], schema=_SKETCH)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array(size), *(pa.array(x.view(np.int64)) for x in h), pa.array(sketch, pa.binary())], schema=_SKETCH)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, size long, h1 long, h2 long, sketch binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, at long, size long, h1 long, h2 long, sketch binary")
 
 
 def _choose(sets: DataFrame, config: ChosenPath, level: int) -> DataFrame:
@@ -292,7 +297,7 @@ def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame, config: Cho
                 out = []
                 for r, i, j in zip(some, [0, *ends.tolist()], ends.tolist(), strict=False):
                     s = sets[i:j]
-                    if int(np.add.reduce(s).view(np.int64)) == r[1]:  # not another text of the same doc_id
+                    if int(np.add.reduce(s).view(np.int64)) == r[1]:  # not another text of the same doc_id and hash
                         out.append((*r[2:], s.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())], ["_rid", "cluster", "parts", "mult", "sketch", "set"])
 
@@ -308,9 +313,8 @@ def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame, config: Cho
 
     sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.ceil(F.count("*") / config.bucket).cast("int").alias("parts"))
     members = clusters.withColumnRenamed("component", "cluster").join(sizes, "cluster").withColumnRenamed("id", "_rid")
-    members = members.join(reps, "_rid").select("_rid", "cluster", "parts", "mult", "sketch", "low", "h1")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    met = texts.join(members, F.col("doc_id").eqNullSafe(F.col("low"))).select("text", "h1", "_rid", "cluster", "parts", "mult", "sketch")
+    members = members.join(reps, "_rid").select("_rid", "cluster", "parts", "mult", "sketch", "low", F.col("at").alias("_at"), "h1")
+    met = _texts(docs).join(members, F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("at") == F.col("_at"))).select("text", "h1", "_rid", "cluster", "parts", "mult", "sketch")
     sets = met.mapInArrow(sets_of, "_rid long, cluster long, parts int, mult long, sketch binary, set binary")
     rows = tiled(sets, "cluster").select("cluster", "a", "b", "s", "_rid", "mult", "sketch", "set")
     return rows.mapInArrow(run, "_rid long, root long, n long")
@@ -328,7 +332,9 @@ def join_documents(docs: DataFrame, config: ChosenPath = ChosenPath()) -> DataFr
     text of any length is one set. Other columns of docs are not read.
     """
     all_rows = stage(sketches(docs, config), "sketches")
-    reps = all_rows.where("size > 0").groupBy("size", "h1", "h2").agg(F.min("doc_id").alias("low"), F.count("*").alias("mult"), F.first("sketch").alias("sketch"))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("row")
+    reps = all_rows.where("size > 0").groupBy("size", "h1", "h2").agg(row, F.count("*").alias("mult"), F.first("sketch").alias("sketch"))
+    reps = reps.select("size", "h1", "h2", F.col("row.doc_id").alias("low"), F.col("row.at").alias("at"), "mult", "sketch")
     reps = stage(reps.withColumn("_rid", F.monotonically_increasing_id()), "sets")
     found = candidates(reps, config)
     clusters = stage(components(found), "clusters")
@@ -336,10 +342,10 @@ def join_documents(docs: DataFrame, config: ChosenPath = ChosenPath()) -> DataFr
     unstage(found, clusters)
     joined = components(links.select(F.col("_rid").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("_rid").agg(F.sum("n").alias("n"))
-    known = reps.drop("sketch").join(counts, "_rid", "left").join(joined.withColumnRenamed("id", "_rid"), "_rid", "left").withColumn("component", F.coalesce("component", "_rid"))
+    known = reps.drop("sketch", "at").join(counts, "_rid", "left").join(joined.withColumnRenamed("id", "_rid"), "_rid", "left").withColumn("component", F.coalesce("component", "_rid"))
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
     known = known.join(lowest, "component").select(F.col("size").alias("_size"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.col("low").alias("copy_id"), "component_id")
-    out = all_rows.drop("sketch").join(known, (F.col("size") == F.col("_size")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    out = all_rows.drop("sketch", "at").join(known, (F.col("size") == F.col("_size")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -131,7 +131,7 @@ SENTENCES = [
     ("apache-notice", "apache", "notice file", "see the notice file distributed with this work"),
     ("apache-asf", "apache", "apache software", "licen[sc]ed to the apache software foundation(?: asf)?"),
     ("apache-short", "apache", "asl 2", "asl 2 0"),
-    ("gpl-either", "gpl", "gnu general", "either version [123](?: 0)? of the (?:gnu general public )?licen[sc]e or(?: at your option)? any later version (?:.{0,40} )?gnu general public licen[sc]e"),
+    ("gpl-either", "gpl", "gnu general", "either version [123](?: 0)? of the (?:gnu general public )?licen[sc]e or(?: at your option)? any later version (?:(?:(?!either version ).)+? )?gnu general public licen[sc]e"),
     ("gpl-hope", "gpl", "gnu general", "see the gnu general public licen[sc]e for more details"),
     ("gpl-copying", "gpl", "copying", "see (?:the file )?copying (?:file )?for (?:details|licen[sc]e|copying conditions)"),
     ("gpl-fsf", "gpl", "gnu org", "gnu org licen[sc]es(?: gpl(?: 3 0)?)?"),
@@ -160,7 +160,7 @@ SENTENCES = [
     ("libpng-notice", "libpng", "libpng", "(?:this code is )?released under the libpng licen[sc]e"),
     ("boost-copy", "boost", "boost org", "boost org licen[sc]e 1 0 txt"),
     ("boost-accompany", "boost", "licen", "see accompanying file licen[sc]e 1 0 txt"),
-    ("bsl-change", "bsl", "change date", "change date (?:.{0,40} )?change licen[sc]e"),
+    ("bsl-change", "bsl", "change date", "change date (?:(?:(?!change date ).)+? )?change licen[sc]e"),
     ("sspl-service", "sspl", "service source code", "make the service source code available"),
     ("commons-clause", "commons-clause", "commons clause", "commons clause licen[sc]e condition"),
     ("unlicense-copy", "unlicense", "unlicense org", "unlicense org"),
@@ -179,7 +179,7 @@ SENTENCES = [
     ("cc-url-by-nc", "cc-by-nc", "creativecommons", "creativecommons org licen[sc]es by nc(?: [1234] [05])?"),
     ("cc-url-by-nd", "cc-by-nd", "creativecommons", "creativecommons org licen[sc]es by nd(?: [1234] [05])?"),
     ("cc-url-zero", "cc0", "creativecommons", "creativecommons org publicdomain zero(?: 1 0)?"),
-    ("cc-zero-text", "cc0", "cc0", "to the extent possible under law (?:.{0,80} )?waived all copyright (?:.{0,80} )?cc0"),
+    ("cc-zero-text", "cc0", "cc0", "to the extent possible under law (?:(?:(?!to the extent possible under law ).)+? )?waived all copyright (?:(?:(?!to the extent possible under law ).)+? )?cc0"),
     ("cc-some", "cc-by", "some rights", "some rights reserved creative commons"),
     ("odbl-copy", "odbl", "opendatacommons", "opendatacommons org licen[sc]es odbl"),
     ("pddl-copy", "pddl", "opendatacommons", "opendatacommons org licen[sc]es pddl"),
@@ -188,7 +188,7 @@ SENTENCES = [
     ("no-warranty", "disclaimer", "without even", "without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("no-liability", "disclaimer", "in no event", "in no event shall the (?:authors?|copyright holders?)(?: or copyright holders)? be liable"),
     ("confidential", "proprietary", "confidential", "(?:proprietary and confidential|confidential and proprietary)"),
-    ("unauthorized", "proprietary", "unauthori", "unauthori[sz]ed (?:copying|reproduction|use|distribution) (?:.{0,60} )?(?:is )?(?:strictly )?prohibited"),
+    ("unauthorized", "proprietary", "unauthori", "unauthori[sz]ed (?:copying|reproduction|use|distribution) (?:(?:(?!unauthori[sz]ed ).)+? )?(?:is )?(?:strictly )?prohibited"),
     ("evaluation", "proprietary", "evaluation", "for evaluation purposes only"),
     ("internal-use", "proprietary", "internal use", "for internal use only"),
     ("eula", "proprietary", "end user", "end user licen[sc]e agreement"),

@@ -23,6 +23,13 @@ def weak(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
+def small_names(headers: Column) -> Column:
+    """The map with names in small letters; of names that then are equal the last stays."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last(entries))
+
+
 def resolve_revisits(records: DataFrame, rows_a_window: int = 4000) -> DataFrame:
     """A row for each revisit of records(record_id, kind, url, time long, headers map<string,string>, digest).
 
@@ -31,7 +38,7 @@ def resolve_revisits(records: DataFrame, rows_a_window: int = 4000) -> DataFrame
     order, the first that both have decides (checked): etag without its weakness, last-modified, digest of the payload.
     status: resolved, mismatch, unverified (none in common) or missing (no earlier response). headers: those of the
     response, changed by the revisit's but for FIXED ones; those of the revisit alone where it isn't resolved. Header
-    names are in small letters. Records without a URL or time are missing; other kinds are left out.
+    names are in small letters; of names that differ by case alone the last stays. Records without a URL or time are missing; other kinds are left out.
 
     An empty table gives no rows; rows that share a record_id are records of their own. Other columns are not read.
     A URL's records are also parted by time, and what an earlier part leaves is carried by one row a part, so a URL
@@ -56,8 +63,7 @@ def resolve_revisits(records: DataFrame, rows_a_window: int = 4000) -> DataFrame
     known = F.col("canonical").isNotNull() & F.col("time").isNotNull()
     found = found.withColumn("_r", F.when(known, F.coalesce("_near", "_before")))
     own, old = F.coalesce("headers", F.create_map().cast("map<string,string>")), F.coalesce("_r.headers", F.create_map().cast("map<string,string>"))
-    small = lambda m: F.transform_keys(m, lambda k, _: F.lower(k))
-    found = found.withColumn("_own", small(own)).withColumn("_old", small(old))
+    found = found.withColumn("_own", small_names(own)).withColumn("_old", small_names(old))
     pairs = [("etag", weak(F.col("_own")["etag"]), weak(F.col("_old")["etag"])), ("last-modified", F.col("_own")["last-modified"], F.col("_old")["last-modified"]), ("digest", F.col("digest"), F.col("_r.digest"))]
     checked, same = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     for name, a, b in reversed(pairs):
