@@ -43,9 +43,10 @@ def margin(prefix: str, value: Column) -> Column:
     return F.concat(F.lit(f"{prefix}-"), _bucket(px(value), [(0, "0"), (4, "1"), (8, "2"), (12, "3"), (16, "4")], "6"))
 
 
-def declarations(style: Column) -> Column:
-    """array<struct<prop, value>> of a style text; parts without a colon or a name go."""
-    parts = F.transform(F.split(F.coalesce(style, F.lit("")), ";"), lambda p: F.struct(F.lower(strip(F.substring_index(p, ":", 1))).alias("prop"), strip(F.substring(p, F.instr(p, F.lit(":")) + F.lit(1), F.length(p))).alias("value"), (F.instr(p, F.lit(":")) > 0).alias("ok")))
+def declarations(style: Column, lower: bool = True) -> Column:
+    """array<struct<prop, value>> of a style text, names in small letters if lower; parts without a colon or a name go."""
+    prop = lambda p: strip(F.substring_index(p, ":", 1))
+    parts = F.transform(F.split(F.coalesce(style, F.lit("")), ";"), lambda p: F.struct((F.lower(prop(p)) if lower else prop(p)).alias("prop"), strip(F.substring(p, F.instr(p, F.lit(":")) + F.lit(1), F.length(p))).alias("value"), (F.instr(p, F.lit(":")) > 0).alias("ok")))
     return F.transform(F.filter(parts, lambda d: d["ok"] & (d["prop"] != "")), lambda d: F.struct(d["prop"].alias("prop"), d["value"].alias("value")))
 
 

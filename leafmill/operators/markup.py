@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def unwrap_lists(html: Column) -> Column:
     """Bullet lists that hold nothing but one numbered list give way to it."""
-    return F.regexp_replace(html, r"(?is)<ul[^>]*>\s*(<ol[^>]*>[^<]*(?:<li[^>]*>[^<]*</li>\s*)*</ol>)\s*</ul>", "$1")
+    return F.regexp_replace(html, r"(?is)<ul[^>]*+>\s*+(<ol[^>]*+>(?:[^<]++|<li\b[^>]*+>|</li>)*+</ol>)\s*+</ul>", "$1")
 
 
 def break_lines(html: Column) -> Column:

@@ -1,43 +1,22 @@
-"""Heads and spaces of pages, as column expressions: what is added, removed and logged. No tree is needed for these."""
+"""Heads and spaces of pages."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import plain_spaces
-
-_META = r"(?is)<meta\b[^>]*>"
-#: Metas that editors leave: by name or by content. Fixed values.
-_VENDOR = r"(?is)<meta\b(?=[^>]*\bname\s*=\s*[\"']?[^\"'>]*(?:one|mso|generator)|[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*(?:mso|word|onenote))[^>]*>"
-
-
-def _count(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern)).cast("long")
+from leafmill.operators import nodes, tree
 
 
 def clean_head(pages: DataFrame, html: str, title: str = "Document", css: str | None = "assets/tailwind-output.css") -> DataFrame:
-    """Adds output and logs (array of step and count) to pages.
+    """Adds output and logs (array of step and count) to pages, in place of html.
 
     A missing head is added, then charset (first in the head), viewport and title where they lack; vendor metas go; a
     style sheet is linked unless css is null; no-break spaces become spaces. Steps that change nothing log nothing.
     """
-    raw = F.coalesce(F.col(html), F.lit(""))
-    has_head = raw.rlike(r"(?i)<head\b")
-    with_html = F.when(raw.rlike(r"(?i)<html\b"), F.regexp_replace(raw, r"(?is)^(.*?<html\b[^>]*>)", "$1<head></head>")).otherwise(F.concat(F.lit("<html><head></head>"), raw, F.lit("</html>")))
-    out = pages.withColumn("_h", F.when(has_head, raw).otherwise(with_html)).withColumn("_head", F.regexp_extract("_h", r"(?is)<head\b[^>]*>(.*?)</head>", 1))
-    head = F.col("_head")
-    charset, viewport, titled = head.rlike(r"(?i)<meta\b[^>]*\bcharset\s*="), head.rlike(r"(?i)<meta\b[^>]*\bname\s*=\s*[\"']?viewport"), head.rlike(r"(?i)<title\b")
-    vendor = _count(F.col("_h"), _VENDOR)
-    first = F.when(charset, "").otherwise('<meta charset="utf-8">')
-    last = F.concat(F.when(viewport, "").otherwise('<meta name="viewport" content="width=device-width, initial-scale=1.0">'), F.when(titled, "").otherwise(f"<title>{title}</title>"), F.lit(f'<link rel="stylesheet" href="{css}">' if css else ""))
-    text = F.regexp_replace("_h", _VENDOR, "")
-    at = F.instr(F.lower(text), F.lit("</head>"))
-    open_at = F.length(F.regexp_extract(text, r"(?is)^(.*?<head\b[^>]*>)", 1))
-    body = F.concat(F.substring(text, F.lit(1), open_at), first, F.substring(text, open_at + 1, at - open_at - 1), last, F.substring(text, at, F.length(text)))
-    steps = [("EnsureHead", ~has_head, 1), ("EnsureCharset", ~charset, 1), ("EnsureViewport", ~viewport, 1), ("EnsureTitle", ~titled, 1), ("RemoveVendorMeta", vendor > 0, vendor), ("InjectCss", F.lit(css is not None), 1)]
-    logs = F.filter(F.array(*[F.when(test, F.struct(F.lit(name).alias("step"), (F.lit(n) if isinstance(n, int) else n).cast("long").alias("n"))) for name, test, n in steps]), lambda x: x.isNotNull())
-    return out.withColumn("output", plain_spaces(body)).withColumn("logs", logs).drop("_h", "_head")
+    kept = [c for c in pages.columns if c != html]
+    rows = nodes.nodes(pages, html).repartition("_page")
+    return tree.finish(nodes.settle(tree.drop_vendor_meta(rows), False), kept, title, css)
 
 
 def log_rollup(cleaned: DataFrame) -> DataFrame:

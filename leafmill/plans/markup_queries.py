@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import legacy
-from leafmill.operators import blocks, tree
+from leafmill.operators import blocks, nodes, pages, tree
 from leafmill.plans.catalogue import _KIND, _LEVEL, _LINES, _STRIP, doc_lines, query, table
 from leafmill.plans.cleaning import clean_pages, profile
 
 
 def _made(df, doc, html):
-    return tree.tokens(df.select(doc, html.alias("html")), doc, "html")
+    return nodes.nodes(df.select(doc, html.alias("html")), "html").repartition("_page")
 
 
 def _joined(df, doc, order, piece):
@@ -20,22 +21,22 @@ def _joined(df, doc, order, piece):
 
 @query("SELECT page_id, html FROM pages")
 def html_round_trip(spark, d):
-    return tree.serialise(tree.tokens(table(spark, d, "pages"), "page_id", "html"), "page_id")
+    return nodes.serialise(nodes.nodes(table(spark, d, "pages").select("page_id", "html"), "html"), "page_id")
 
 
 @query(r"""SELECT page_id, count(*) AS tokens, count(*) FILTER (t[1] <> '<') AS texts, count(*) FILTER (regexp_matches(t, '^</[A-Za-z]')) AS ends, count(*) FILTER (regexp_matches(lower(t), '^<p[\s>]')) AS paragraphs
     FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->|<!.*?>|</?[A-Za-z][^>]*>|[^<]+|<')) AS t FROM pages) GROUP BY 1""")
 def html_tokens(spark, d):
-    rows = tree.tokens(table(spark, d, "pages"), "page_id", "html")
-    return rows.groupBy("page_id").agg(F.count("*").alias("tokens"), F.count_if((F.col("kind") == "text") & (F.col("raw") != "<")).alias("texts"), F.count_if(F.col("kind") == "close").alias("ends"), F.count_if((F.col("name") == "p") & (F.col("kind") == "open")).alias("paragraphs"))
+    rows = nodes.nodes(table(spark, d, "pages").select("page_id", "html"), "html")
+    return rows.groupBy("page_id").agg(F.count("*").alias("tokens"), F.count_if(~F.col("raw").startswith("<")).alias("texts"), F.count_if(F.col("raw").rlike("^</[A-Za-z]")).alias("ends"), F.count_if((F.col("name") == "p") & (F.col("kind") == "open")).alias("paragraphs"))
 
 
 @query(r"""SELECT o_custkey, count(*) AS items, max(d) AS depth, CAST(sum(d) AS BIGINT) AS depths FROM (SELECT o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS d FROM orders) GROUP BY 1""")
 def html_enclosing(spark, d):
     item = F.when(F.col("o_orderkey") % 2 == 0, "<ul><li>inner<br></li></ul>").otherwise("<li>outer</li>")
     rows = _made(_joined(table(spark, d, "orders"), "o_custkey", "o_orderkey", item), "o_custkey", F.concat(F.lit("<ol>"), "pieces", F.lit("</ol>")))
-    rows = tree.enclosing(rows, "o_custkey", ("ol", "ul"), "list").where("kind = 'open' and name = 'li'")
-    return rows.groupBy("o_custkey").agg(F.count("*").alias("items"), F.max("list.depth").cast("int").alias("depth"), F.sum("list.depth").alias("depths"))
+    rows = rows.where("kind = 'open' and name = 'li'")
+    return rows.groupBy("o_custkey").agg(F.count("*").alias("items"), F.max("depth").cast("int").alias("depth"), F.sum("depth").alias("depths"))
 
 
 @query("""WITH k AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 100 END AS v, o_orderkey % 5 = 1 AND o_orderkey % 4 <> 0 AS gone, CASE WHEN o_orderkey % 5 = 1 THEN ' ' ELSE o_orderstatus END AS t FROM orders),
@@ -46,7 +47,7 @@ def list_repair(spark, d):
     k = F.col("o_orderkey")
     item = F.concat(F.lit("<li"), F.when(k % 4 == 0, F.concat(F.lit(" value='"), (k % 100).cast("string"), F.lit("'"))).otherwise(""), F.lit(">"), F.when(k % 5 == 1, " ").otherwise(F.col("o_orderstatus")), F.lit("</li>"))
     rows = _made(_joined(table(spark, d, "orders"), "o_custkey", "o_orderkey", item), "o_custkey", F.concat(F.lit("<ol>"), "pieces", F.lit("</ol>")))
-    return tree.serialise(tree.number_items(tree.drop_empty_items(rows, "o_custkey"), "o_custkey"), "o_custkey")
+    return nodes.serialise(tree.number_items(tree.drop_empty_items(rows)), "o_custkey")
 
 
 @query("""SELECT p_partkey, '<ol' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' class="x"' END || ' style="' || CASE p_partkey % 3 WHEN 0 THEN 'color: red; ' ELSE '' END || 'margin-left: 0; padding-left: 1.2em"' || CASE p_partkey % 3 WHEN 1 THEN ' type="a"' ELSE '' END || '><li' || CASE p_partkey % 3 WHEN 1 THEN ' style="list-style-type: lower-alpha"' ELSE '' END || '>' || p_name || '</li></ol>' AS html FROM part""")
@@ -55,7 +56,7 @@ def list_indent(spark, d):
     start = F.when(k == 0, '<ol style="margin-left:.5in;COLOR: red;mso-list:l0">').otherwise('<ol class="x">')
     item = F.when(k == 1, '<li style="text-indent:-3px;list-style-type:lower-alpha">').otherwise('<li style="padding-left: 9px">')
     rows = _made(table(spark, d, "part"), "p_partkey", F.concat(start, item, "p_name", F.lit("</li></ol>")))
-    return tree.serialise(tree.infer_list_types(tree.indent_lists(rows), "p_partkey"), "p_partkey")
+    return nodes.serialise(tree.infer_list_types(tree.indent_lists(rows)), "p_partkey")
 
 
 @query("""SELECT p_partkey, '<p style="font-size: ' || p_size || 'px; color: red; font-weight: ' || CASE WHEN p_partkey % 2 = 0 THEN 'bold' ELSE '500' END || '; margin-top: ' || p_size / 2 || 'px" class="a ' || CASE WHEN p_size <= 12 THEN 'text-xs' WHEN p_size <= 14 THEN 'text-sm' WHEN p_size <= 17 THEN 'text-base' WHEN p_size <= 20 THEN 'text-lg' ELSE 'text-xl' END
@@ -64,7 +65,7 @@ def style_migrate(spark, d):
     half = (F.col("p_size") / 2).cast("string")
     style = F.concat(F.lit("font-size:"), "p_size", F.lit("px;color:red; font-weight:"), F.when(F.col("p_partkey") % 2 == 0, "bold").otherwise("500"), F.lit(";margin-top:"), half, F.lit("px;"))
     rows = _made(table(spark, d, "part"), "p_partkey", F.concat(F.lit('<p class="a" style="'), style, F.lit('">x</p><i style="top:1px">y</i>')))
-    return tree.serialise(tree.migrate_styles(rows), "p_partkey")
+    return nodes.serialise(tree.migrate_styles(rows), "p_partkey")
 
 
 @query("""SELECT r_regionkey, '<table class="' || CASE WHEN r_regionkey % 2 = 0 THEN 'cornell-table' ELSE 'cornell-table' END || '"><tr>' || CASE WHEN r_regionkey % 2 = 0 THEN '<td class="notes">My notes</td><td>x</td><td class="cues">Cue</td>' ELSE '<td class="cues">a</td><td class="notes">b</td><td>c</td>' END || '</tr>'
@@ -74,7 +75,7 @@ def cornell_tagging(spark, d):
     made = _joined(table(spark, d, "nation"), "n_regionkey", "n_nationkey", row).withColumnRenamed("n_regionkey", "r_regionkey")
     head = F.when(F.col("r_regionkey") % 2 == 0, "<td>My notes</td><td>x</td><td>Cue</td>").otherwise("<td>a</td><td>b</td><td>c</td>")
     rows = _made(made, "r_regionkey", F.concat(F.lit("<table><tr>"), head, F.lit("</tr>"), "pieces", F.lit("</table>")))
-    return tree.serialise(tree.tag_cornell(rows, "r_regionkey"), "r_regionkey")
+    return nodes.serialise(tree.tag_cornell(rows), "r_regionkey")
 
 
 @query("""SELECT o_orderkey, '<div><p>' || CASE WHEN o_orderkey % 3 = 0 THEN '3 May 2024<span class="created-time" style="margin-left: 0.75em">10:30</span></p>' WHEN o_orderkey % 3 = 1 THEN '3 May 2024</p><p>' || o_orderstatus || '</p>' ELSE o_orderstatus || '</p><p>10:30</p>' END || '<p>end</p></div>' AS html FROM orders""")
@@ -82,7 +83,7 @@ def date_row_markup(spark, d):
     k = F.col("o_orderkey") % 3
     text = F.when(k == 0, "<b>3 May</b> 2024</p><p>10:30</p>").when(k == 1, F.concat(F.lit("3 May 2024</p><p>"), "o_orderstatus", F.lit("</p>"))).otherwise(F.concat("o_orderstatus", F.lit("</p><p>10:30</p>")))
     rows = _made(table(spark, d, "orders"), "o_orderkey", F.concat(F.lit("<div><p>"), text, F.lit("<p>end</p></div>")))
-    return tree.serialise(tree.merge_date_rows(rows, "o_orderkey"), "o_orderkey")
+    return nodes.serialise(tree.merge_date_rows(rows), "o_orderkey")
 
 
 @query("""SELECT p_partkey, '<p title="a' || chr(160) || 'b">' || p_name || '</p><img src="x"' || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' width="3" style="top:1px"' ELSE ' height="4"' END || '>' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '<meta name="author" content="me">' END AS html FROM part""")
@@ -92,7 +93,7 @@ def page_tokens_cleaned(spark, d):
     meta = F.when(F.col("p_partkey") % 2 == 0, '<meta name=Generator content="x"><META name="a" content="Microsoft Word 15">').otherwise('<meta name="author" content="me">')
     html = F.concat(F.lit('<p title="a b">'), F.replace("p_name", F.lit(" "), F.lit(" ")), F.lit('</p><img src="x"'), image, F.lit(">"), meta)
     rows = _made(table(spark, d, "part"), "p_partkey", html)
-    return tree.serialise(tree.plain_texts(tree.clean_images(tree.drop_vendor_meta(rows))), "p_partkey")
+    return nodes.serialise(nodes.settle(tree.plain_texts(tree.clean_images(tree.drop_vendor_meta(rows)))), "p_partkey")
 
 
 @query("""SELECT page_id, replace(html, '</head>', '<meta name="viewport" content="width=device-width, initial-scale=1.0"></head>') AS output FROM pages""")
@@ -100,6 +101,99 @@ def html_clean(spark, d):
     return clean_pages(table(spark, d, "pages").select("page_id", "html"), "page_id", "html", profile("generic", indent_all=False)).select("page_id", "output")
 
 
+def _rules() -> str:
+    """Which elements a start tag ends and where an end tag stops, as rows of SQL."""
+    some = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]::VARCHAR[]"
+    ends = ", ".join(f"('{n}', {some(a)}, {some(b)})" for n, (a, b) in nodes.ENDS.items())
+    limits = ", ".join(f"('{n}', {some(b)})" for n, b in nodes.LIMITS.items())
+    return f"ends(name, closes, limits) AS (VALUES {ends}), stops(name, stops) AS (VALUES {limits})"
+
+
+#: Lists, paragraphs, tables and quoted signs without their end tags, by page.
+_OMITTED = ["<ul><li>a<li>b<p>c<p>d<ul><li>e</ul>f</ul>g", '<table><tr><td>x<td title="a>b">y<tr><th>z</table></div>', "<dl><dt>a<dd>b<p>c<dt>d</dl><p>e<div>f</p>g", "<select><option>a<option>b</select><script>if (a<b) '</p>'</script><br/><ol><li>h"]
+_QUOTED = ", ".join("'" + t.replace("'", "''") + "'" for t in _OMITTED)
+_HEADS = ", ".join(f"'{n}'" for n in ("meta", "title", "link", "style", "script", "base", "noscript", "template"))
+
+
+@query(rf"""WITH RECURSIVE {_rules()}, p AS (SELECT page_id, regexp_extract_all(html || ([{_QUOTED}])[CAST(page_id % 4 AS INT) + 1],
+        '(?s)<!--.*?-->|<!.*?>|</?[A-Za-z](?:[^>=]|=\s*"[^"]*"|=\s*''[^'']*''|=)*>|[^<]+|<') AS raws FROM pages),
+    t AS MATERIALIZED (SELECT x.*, e.closes, e.limits, coalesce(s.stops, ['td', 'th', 'caption', 'table']) AS stops FROM (
+        SELECT page_id, i, name, CASE WHEN NOT regexp_matches(raw, '^<[/!A-Za-z]') THEN 'text' WHEN starts_with(raw, '</') THEN 'close'
+            WHEN name = '' OR name IN ({", ".join(f"'{n}'" for n in nodes.VOID)}) OR ends_with(raw, '/>') THEN 'void' ELSE 'open' END AS kind
+        FROM (SELECT page_id, i, raw, lower(regexp_extract(raw, '^</?([A-Za-z][A-Za-z0-9:-]*)', 1)) AS name FROM (SELECT page_id, unnest(raws) AS raw, unnest(range(len(raws))) AS i FROM p))) x
+        LEFT JOIN ends e ON e.name = x.name LEFT JOIN stops s ON s.name = x.name),
+    run AS (
+        SELECT page_id, CAST(-1 AS BIGINT) AS i, []::STRUCT(p BIGINT, n VARCHAR)[] AS stack, '' AS plain, '' AS name, '' AS kind, CAST(-1 AS BIGINT) AS parent, []::BIGINT[] AS left_at, CAST(-1 AS BIGINT) AS met FROM p
+        UNION ALL
+        SELECT page_id, i, CASE WHEN kind = 'open' THEN list_append(now, struct_pack(p := i, n := name)) ELSE now END,
+            CASE WHEN kind = 'open' AND name IN ('script', 'style', 'textarea', 'title') THEN name WHEN kind = 'close' AND d > 0 THEN '' ELSE plain END, name, kind,
+            CASE WHEN kind = 'close' AND d > 0 THEN stack[d].p WHEN len(now) > 0 THEN now[-1].p ELSE -1 END,
+            [x.p FOR x IN stack[len(now) + 1 + CASE WHEN kind = 'close' AND d > 0 THEN 1 ELSE 0 END:]], CASE WHEN kind = 'close' AND d > 0 THEN stack[d].p ELSE -1 END
+        FROM (SELECT *, CASE WHEN kind IN ('open', 'void') AND name <> '' AND len(cut) > 0 AND cut[-1].n = 'head' AND name NOT IN ({_HEADS}) THEN cut[:-2] ELSE cut END AS now
+            FROM (SELECT *, CASE WHEN d > 0 THEN stack[:d - 1] ELSE stack END AS cut
+                FROM (SELECT *, CASE WHEN kind = 'close' THEN coalesce(list_max([k FOR k IN range(1, len(stack) + 1) IF stack[k].n = name AND k >= b]), 0)
+                        WHEN kind IN ('open', 'void') AND closes IS NOT NULL THEN coalesce(list_min([k FOR k IN range(1, len(stack) + 1) IF list_contains(closes, stack[k].n) AND k >= b]), 0) ELSE 0 END AS d
+                    FROM (SELECT r.page_id, t.i, r.stack, r.plain, t.name, CASE WHEN r.plain <> '' AND NOT (t.kind = 'close' AND t.name = r.plain) THEN 'text' ELSE t.kind END AS kind, t.closes,
+                        coalesce(list_max([k FOR k IN range(1, len(r.stack) + 1) IF list_contains(CASE WHEN t.kind = 'close' THEN t.stops ELSE t.limits END, r.stack[k].n)]), 0) AS b
+                        FROM run r JOIN t ON t.page_id = r.page_id AND t.i = r.i + 1))))),
+    left_ AS (SELECT page_id, unnest(left_at) AS pos, i - 1 AS last FROM run UNION ALL SELECT page_id, met, i FROM run WHERE met >= 0)
+    SELECT r.page_id, CAST(r.i AS INT) AS pos, r.name, CAST(r.parent AS INT) AS parent, CAST(coalesce(l.last, len(p.raws) - 1) AS INT) AS last
+    FROM run r JOIN p ON p.page_id = r.page_id LEFT JOIN left_ l ON l.page_id = r.page_id AND l.pos = r.i WHERE r.kind = 'open'""")
+def html_nodes(spark, d):
+    more = F.element_at(F.array(*map(F.lit, _OMITTED)), (F.col("page_id") % 4 + 1).cast("int"))
+    rows = nodes.nodes(table(spark, d, "pages").select("page_id", F.concat("html", more).alias("html")), "html")
+    return rows.where("kind = 'open'").select("page_id", "pos", "name", "parent", F.col("end").alias("last"))
+
+
+@query("""SELECT p_partkey, 2 AS by_name, 3 AS by_class, 1 AS child, 1 AS deep, CASE WHEN p_partkey % 3 = 1 THEN 1 ELSE 0 END AS by_value, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS listed FROM part""")
+def html_selectors(spark, d):
+    html = F.concat(F.lit('<div class="a b" id="i'), F.col("p_partkey") % 2, F.lit("\"><p data-x='"), F.col("p_partkey") % 3, F.lit("'>t<span class='c  b' title='class=b>'>u</span></p></div><p class=b>v</p>"))
+    rows, tests = _made(table(spark, d, "part"), "p_partkey", html), {"by_name": "p", "by_class": ".b", "child": "div > p", "deep": "div span", "by_value": '[data-x="1"]', "listed": "div#i0.a p, p.b"}
+    for out, selector in tests.items():
+        rows = nodes.select(rows, selector, out)
+    return rows.groupBy("_page").agg(F.first("p_partkey").alias("p_partkey"), *[F.count_if(c).cast("int").alias(c) for c in tests]).drop("_page")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus AS s, o_orderkey % 2 = 0 AS nested, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+    l AS (SELECT *, '<li>' || s || CASE WHEN nested THEN '<ol><li>' || p || '</li></ol></li>' ELSE '' END AS item FROM o),
+    g AS (SELECT o_custkey, n > 1 OR bool_or(nested) AS many, string_agg('-', '') AS rest, string_agg('<ol start="' || nth || '">' || item || '</ol>-', '' ORDER BY nth) AS whole,
+        string_agg(item || CASE WHEN nested THEN '<li>' || p || '</li>' ELSE '' END, '' ORDER BY nth) AS items FROM l GROUP BY o_custkey, n)
+    SELECT o_custkey, '<table><tr><td>' || CASE WHEN many THEN rest || '<ol start="1">' || items || '</ol>' ELSE whole END || '</td><td><ol><li>x</li></ol></td></tr></table>' AS html, CASE WHEN many THEN 1 ELSE 0 END AS cells FROM g""")
+def merge_lists(spark, d):
+    made = table(spark, d, "orders").withColumn("nth", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    item = F.concat(F.lit('<ol start="'), "nth", F.lit('"><li>'), "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("<ol><li>"), "o_orderpriority", F.lit("</li></ol></li>"))).otherwise(""), F.lit("</ol>-"))
+    joined = _joined(made, "o_custkey", "nth", item)
+    html = F.concat(F.lit("<table><tr><td>"), "pieces", F.lit("</td><td><ol><li>x</li></ol></td></tr></table>"))
+    return tree.merge_lists(joined.select("o_custkey", html.alias("html")), "html", "cells")
+
+
+def _note_pages(spark, d):
+    """Pages with a date row, a table of cues, lists and styles to repair, by part."""
+    k = F.col("p_partkey")
+    html = F.concat(
+        F.lit('<html><head><meta name="Generator" content="x"></head><body><div><p style="color:red">3 May 2024</p><p style="top:1px">10:30</p></div><table><tr><td style="'), F.when(k % 3 == 0, "FONT-SIZE:12px;top:2px").otherwise("top:2px"),
+        F.lit('">Cues</td><td>Notes</td></tr><tr><td><ol style="'), F.when(k % 5 == 0, "list-style-type: lower-roman;").otherwise(""), F.lit('margin-left:36px"><li value="x">a'), F.when(k % 2 == 0, "<li> ").otherwise(""), F.lit("<li title='value=7 >'>"), "p_name", F.lit('</ol></td><td>n</td></tr></table><img width="" src="s"></body></html>'),
+    )
+    return table(spark, d, "part").select("p_partkey", html.alias("html"))
+
+
+_NOTE_SQL = """SELECT p_partkey, '<!DOCTYPE html>' || chr(10) || '<html><head><meta charset="utf-8"><meta name="viewport" content="width=device-width, initial-scale=1.0"><title>Document</title><link rel="stylesheet" href="assets/tailwind-output.css"></head><body><div><p style="color:red">3 May 2024<span class="created-time" style="top:1px; margin-left: 0.75em">10:30</span></p></div><table class="cornell-table"><tr><td'
+    || CASE WHEN p_partkey % 3 = 0 THEN ' style="FONT-SIZE: 12px; top: 2px" class="cues text-xs"' ELSE ' style="top:2px" class="cues"' END || '>Cues</td><td class="notes">Notes</td></tr><tr><td class="cues"><ol style="' || CASE WHEN p_partkey % 5 = 0 THEN 'list-style-type: lower-roman; ' ELSE '' END || 'margin-left: 0; padding-left: 1.2em" class="list-decimal list-outside pl-5"' || CASE WHEN p_partkey % 5 = 0 THEN ' type="i"' ELSE '' END
+    || '><li value="1">a<li title=''value=7 >'' value="2">' || p_name || '</ol></td><td class="notes">n</td></tr></table><img src="s"></body></html>' AS output FROM part"""
+
+
+@query(_NOTE_SQL)
+def note_pages(spark, d):
+    return clean_pages(_note_pages(spark, d), "p_partkey", "html").select("p_partkey", "output")
+
+
+@query("""SELECT step, count(*) AS pages, CAST(sum(n) AS BIGINT) AS total FROM (SELECT unnest([{'step': 'EnsureCharset', 'n': 1}, {'step': 'EnsureViewport', 'n': 1}, {'step': 'EnsureTitle', 'n': 1}, {'step': 'RemoveVendorMeta', 'n': 1}, {'step': 'SanitizeImages', 'n': 1}, {'step': 'annotateCornellSemantics.tablesTagged', 'n': 1},
+        {'step': 'annotateCornellSemantics.cueCellsTagged', 'n': 2}, {'step': 'annotateCornellSemantics.notesCellsTagged', 'n': 2}, {'step': 'mergeCreatedDateTimeRow.merged', 'n': 1}, {'step': 'normalizeListIndentation.normalized', 'n': 1}, {'step': 'normalizeCueColumnLists.updated', 'n': 1}, {'step': 'smartRepair.cleaned', 'n': 1}, {'step': 'smartRepair.filled', 'n': 2}, {'step': 'InjectCss', 'n': 1},
+        {'step': 'migrateInlineStylesToUtilities.nodesTouched', 'n': CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END}, {'step': 'migrateInlineStylesToUtilities.declarationsMigrated', 'n': CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END}, {'step': 'removeEmptyListItems.removed', 'n': CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END}, {'step': 'inferListTypes.inferred', 'n': CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END}], recursive := true) FROM part) WHERE n > 0 GROUP BY step""")
+def step_rollup(spark, d):
+    return pages.log_rollup(clean_pages(_note_pages(spark, d), "p_partkey", "html"))
+
+
 _CLASS = rf"(CASE WHEN line = '' THEN 'blank' WHEN {_KIND} IS NOT NULL THEN 'table' WHEN regexp_matches(line, '^[-*•]\s+') THEN 'ul' WHEN regexp_matches(line, '^(\d+[\.)]|[A-Za-z][\.)])\s+') THEN 'ol' WHEN {_LEVEL} IS NOT NULL THEN 'heading' ELSE 'paragraph' END)"
 
 
