@@ -97,9 +97,13 @@ def joins_paragraph(before: Column, line: Column) -> Column:
     return F.coalesce((p != "") & (n != "") & ~block & ~(p.rlike(r"[.!?;:]\z") & n.rlike("^[A-Z][A-Za-z0-9]")), F.lit(False))
 
 
-def line_class(line: Column, stripped: bool = False) -> Column:
+def line_class(line: Column, stripped: bool = False, tables: bool = True) -> Column:
+    """Kind of a line; without tables, for lines that are known to be no table rows."""
     v = line if stripped else strip(line)
-    return F.when(v == "", "blank").when(cells(v, True).isNotNull(), "table").when(v.rlike(r"^[-*•]\s+"), "ul").when(v.rlike(r"^(\d+[\.)]|[A-Za-z][\.)])\s+"), "ol").when(heading_level(v).isNotNull(), "heading").otherwise("paragraph")
+    out = F.when(v == "", "blank")
+    if tables:
+        out = out.when(cells(v, True).isNotNull(), "table")
+    return out.when(v.rlike(r"^[-*•]\s+"), "ul").when(v.rlike(r"^(\d+[\.)]|[A-Za-z][\.)])\s+"), "ol").when(heading_level(v).isNotNull(), "heading").otherwise("paragraph")
 
 
 def is_date(v: Column) -> Column:
@@ -135,6 +139,7 @@ def metadata_date(value: Column) -> Column:
     """ISO form in UTC of a date of a known form; day-first or month-first dates without a zone, and others, as they are."""
     v = strip(value)
     local = v.rlike(r"\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b") & ~v.rlike(r"(?i)(z|utc|gmt|[+\-]\d{2}:?\d{2})\z")
-    forms = ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d MMMM yyyy", "d MMM yyyy")
-    parsed = F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in forms])
+    plain = F.regexp_replace(F.regexp_replace(v, r"^[A-Za-z]{3,9},\s*", ""), r"(?i)\s*(gmt|utc)\z", "Z")  # without day of the week
+    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSS]X", "yyyy-MM-dd'T'HH:mm[:ss]", "yyyy-MM-dd HH:mm[:ss]", "yyyy-MM-dd", "d MMMM yyyy[ HH:mm[:ss]]", "d MMM yyyy[ HH:mm[:ss]]", "d MMM yyyy HH:mm:ss[ ]XX", "MMMM d, yyyy[ HH:mm[:ss]]", "MMM d, yyyy[ HH:mm[:ss]]", "yyyy/MM/dd")
+    parsed = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in forms])
     return F.when(local, v).otherwise(F.coalesce(F.date_format(parsed, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), v))

@@ -203,10 +203,96 @@ _CLASS = rf"(CASE WHEN line = '' THEN 'blank' WHEN {_KIND} IS NOT NULL THEN 'tab
     b AS (SELECT doc_id, kind, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM f)
     SELECT doc_id, kind, min(pos) AS first_at, count(*) AS n FROM b GROUP BY doc_id, kind, block""")
 def text_blocks(spark, d):
-    made = blocks.blocks(doc_lines(spark, d).withColumn("pos", F.col("pos").cast("long")), "doc_id", "pos", "line")
+    made = blocks.blocks(doc_lines(spark, d).withColumn("pos", F.col("pos").cast("long")), "doc_id", "pos", "line", across_lists=False)
     return made.where("kind <> 'table'").select("doc_id", "kind", "first_at", F.size("items").cast("long").alias("n"))
 
 
+_MIX = "(o_orderkey * 7919 + o_custkey * 31) % 15"
+
+
+def _mixed_lines(spark, d):
+    """Lines of tables of several delimiters and widths, lists, headings and paragraphs, by customer."""
+    k, s = F.expr(_MIX), F.col("o_orderstatus")
+    cases = [F.concat(F.lit("a | b | "), s), "| --- | --- | --- |", "x | y | z | w", "p  q", "one\ttwo\tthree", F.concat(F.lit("- "), F.col("o_orderpriority")), F.concat(F.lit("2) "), s), F.concat(F.lit("## Head "), F.col("o_orderkey")), "", F.concat(F.lit(" Some words of "), s), "Ends here.", "Begins with a capital", "k | l | m | n | o", "| :--- | ---: |", "| --- | --- | --- | --- |"]
+    line = F.element_at(F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cases]), (k + 1).cast("int"))
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", line.alias("line"))
+
+
+_PUT = {"list": "CASE WHEN lk IS NULL THEN [] ELSE [{'kind': lk, 'level': NULL::INT, 'body': list_transform(li, lambda x: [x]), 'headed': false}] END", "table": "CASE WHEN len(tr) = 0 THEN [] ELSE [{'kind': 'table', 'level': NULL::INT, 'body': list_transform(tr, lambda r: r || list_transform(range(list_max(list_transform(tr, lambda q: len(q))) - len(r)), lambda z: '')), 'headed': th}] END", "par": "CASE WHEN pt IS NULL THEN [] ELSE [{'kind': 'paragraph', 'level': NULL::INT, 'body': [[pt]], 'headed': false}] END"}
+
+
+@query(rf"""WITH RECURSIVE l AS MATERIALIZED (SELECT *, regexp_replace(line, '^([-*•]|\d+[\.)]|[A-Za-z][\.)])\s+', '') AS item, CASE WHEN tk IS NULL AND regexp_matches(line, '^[-*•]\s+') THEN 'ul' WHEN tk IS NULL AND regexp_matches(line, '^(\d+[\.)]|[A-Za-z][\.)])\s+') THEN 'ol' END AS ik, len(cells) >= 2 AND len(list_filter(cells, lambda c: NOT regexp_matches(c, '^:?-{{3,}}:?$'))) = 0 AS sep FROM (
+        SELECT *, CASE WHEN contains(line, chr(9)) THEN 'tab' WHEN contains(line, '|') THEN 'pipe' WHEN contains(line, '  ') THEN 'space' END AS tk, list_filter(list_transform(regexp_split_to_array(line, '\t|\||\s{{2,}}'), lambda c: trim(c)), lambda c: c <> '') AS cells FROM (
+            SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, trim(([ 'a | b | ' || o_orderstatus, '| --- | --- | --- |', 'x | y | z | w', 'p  q', 'one' || chr(9) || 'two' || chr(9) || 'three', '- ' || o_orderpriority, '2) ' || o_orderstatus, '## Head ' || o_orderkey, '', ' Some words of ' || o_orderstatus, 'Ends here.', 'Begins with a capital', 'k | l | m | n | o', '| :--- | ---: |', '| --- | --- | --- | --- |'])[CAST({_MIX} AS INT) + 1]) AS line FROM orders))),
+    run AS (
+        SELECT DISTINCT o_custkey, CAST(0 AS BIGINT) AS n, NULL::VARCHAR AS lk, []::VARCHAR[] AS li, []::VARCHAR[][] AS tr, '' AS td, false AS th, NULL::VARCHAR AS pt, []::STRUCT(kind VARCHAR, level INT, body VARCHAR[][], headed BOOLEAN)[] AS out FROM l
+        UNION ALL
+        SELECT r.o_custkey, l.n, CASE WHEN ik IS NOT NULL THEN ik END, CASE WHEN ik IS NULL THEN [] WHEN lk = ik THEN li || [item] ELSE [item] END,
+            CASE WHEN tk IS NULL THEN [] WHEN len(tr) = 0 AND sep THEN [] WHEN len(tr) = 1 AND sep AND len(cells) = len(tr[1]) THEN tr WHEN len(tr) > 0 AND (td = tk OR len(tr) >= 2) AND abs(len(tr[1]) - len(cells)) <= 1 THEN tr || [cells] WHEN sep THEN [] ELSE [cells] END,
+            CASE WHEN len(tr) = 1 AND sep AND len(cells) = len(tr[1]) THEN td WHEN tk IS NOT NULL AND NOT (len(tr) > 0 AND (td = tk OR len(tr) >= 2) AND abs(len(tr[1]) - len(cells)) <= 1) THEN tk ELSE td END,
+            CASE WHEN tk IS NULL OR len(tr) = 0 THEN false WHEN len(tr) = 1 AND sep AND len(cells) = len(tr[1]) THEN true WHEN (td = tk OR len(tr) >= 2) AND abs(len(tr[1]) - len(cells)) <= 1 THEN th ELSE false END,
+            CASE WHEN ik IS NOT NULL THEN pt WHEN tk IS NOT NULL OR line = '' OR starts_with(line, '#') THEN NULL WHEN pt IS NULL OR (regexp_matches(pt, '[.!?;:]$') AND regexp_matches(line, '^[A-Z][A-Za-z0-9]')) THEN line ELSE pt || ' ' || line END,
+            out || CASE WHEN ik IS NULL OR lk <> ik THEN {_PUT['list']} ELSE [] END
+                || CASE WHEN tk IS NULL OR (len(tr) > 0 AND NOT (len(tr) = 1 AND sep AND len(cells) = len(tr[1])) AND NOT ((td = tk OR len(tr) >= 2) AND abs(len(tr[1]) - len(cells)) <= 1)) THEN {_PUT['table']} ELSE [] END
+                || CASE WHEN ik IS NULL AND (tk IS NOT NULL OR line = '' OR starts_with(line, '#') OR (regexp_matches(pt, '[.!?;:]$') AND regexp_matches(line, '^[A-Z][A-Za-z0-9]'))) THEN {_PUT['par']} ELSE [] END
+                || CASE WHEN starts_with(line, '#') THEN [{{'kind': 'heading', 'level': 2, 'body': [[substr(line, 4)]], 'headed': false}}] ELSE [] END
+        FROM run r JOIN l ON l.o_custkey = r.o_custkey AND l.n = r.n + 1),
+    whole AS (SELECT o_custkey, out || {_PUT['list']} || {_PUT['table']} || {_PUT['par']} AS out FROM run QUALIFY n = max(n) OVER (PARTITION BY o_custkey))
+    SELECT o_custkey, CAST(i AS INT) AS block, out[i].kind AS kind, out[i].level AS level, CAST(to_json(out[i].body) AS VARCHAR) AS body, out[i].headed AS headed FROM whole, unnest(range(1, len(out) + 1)) t(i)""")
+def structured_blocks(spark, d):
+    made = blocks.blocks(_mixed_lines(spark, d), "o_custkey", "o_orderkey", "line")
+    text = F.when(F.col("kind").isin("ul", "ol"), F.transform("items", lambda x: F.array(x))).when(F.col("kind") == "table", F.col("rows")).otherwise(F.array(F.array(F.array_join("items", " "))))
+    return made.select("o_custkey", "block", "kind", "level", F.to_json(text).alias("body"), "headed")
+
+
+_STATED = "(o_orderkey * 31 + o_custkey) % 11"
+_CASES = ["Title: T{k3}", "Author:A{k2}", "created - 2024-05-0{k3}", "Last Modified: 3 May 2024", "updated 4 May 2024", "5 May 2024 10:3{k3}", "10:4{k3}", "Page-Title: X", "Page_Title : T{k3}", "nothing stated", "Owner: "]
+
+
+def _stated_lines(spark, d):
+    k = {"k2": (F.col("o_orderkey") % 2).cast("string"), "k3": (F.col("o_orderkey") % 3).cast("string")}
+    made = [F.replace(F.replace(F.lit(c), F.lit("{k2}"), k["k2"]), F.lit("{k3}"), k["k3"]) for c in _CASES]
+    orders = table(spark, d, "orders")
+    titles = orders.where("o_custkey % 2 = 0").select("o_custkey", F.lit("T1 ").alias("title")).distinct()
+    return blocks.page_metadata(orders.select("o_custkey", "o_orderkey", F.element_at(F.array(*made), (F.expr(_STATED) + 1).cast("int")).alias("line")), "o_custkey", "o_orderkey", "line", titles)
+
+
+_WAS = lambda v, s, key: f"CASE WHEN key = '{key}' THEN CASE WHEN {v} IS NULL OR ({v} <> val AND {s} <> 'line-key-value') THEN val ELSE {v} END ELSE {v} END AS {v}2, CASE WHEN key = '{key}' AND ({v} IS NULL OR ({v} <> val AND {s} <> 'line-key-value')) THEN 'line-key-value' ELSE {s} END AS {s}2"
+_OLD = lambda c: f"CASE key WHEN 'title' THEN t{c} WHEN 'author' THEN a{c} WHEN 'createdAt' THEN c{c} WHEN 'modifiedAt' THEN m{c} END"
+_ADD = lambda label, test: f"CASE WHEN {test} AND NOT list_contains(items, {{'label': '{label}', 'value': line}}) THEN [{{'label': '{label}', 'value': line}}] ELSE [] END"
+_FOLDED = rf"""WITH RECURSIVE l AS MATERIALIZED (
+    SELECT o_custkey, n, line, CASE o WHEN 0 THEN 'title' WHEN 1 THEN 'author' WHEN 2 THEN 'createdAt' WHEN 3 THEN 'modifiedAt' WHEN 8 THEN 'title' END AS key,
+        CASE o WHEN 0 THEN 'T' || k3 WHEN 1 THEN 'A' || k2 WHEN 2 THEN '2024-05-0' || k3 || CASE WHEN k3 > 0 THEN 'T00:00:00.000Z' ELSE '' END WHEN 3 THEN '2024-05-03T00:00:00.000Z' WHEN 8 THEN 'T' || k3 END AS val,
+        CASE o WHEN 5 THEN '2024-05-05T10:3' || k3 || ':00.000Z' ELSE line END AS iso, o IN (3, 4, 5) AS day, o IN (5, 6) AS clock, o IN (3, 4) AS changed
+    FROM (SELECT *, replace(replace(([{", ".join("'" + c + "'" for c in _CASES)}])[CAST(o AS INT) + 1], '{{k2}}', CAST(k2 AS VARCHAR)), '{{k3}}', CAST(k3 AS VARCHAR)) AS line
+        FROM (SELECT o_custkey, {_STATED} AS o, o_orderkey % 2 AS k2, o_orderkey % 3 AS k3, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders))),
+    run AS (
+        SELECT DISTINCT o_custkey, CAST(0 AS BIGINT) AS n, CASE WHEN o_custkey % 2 = 0 THEN 'T1' END AS tv, CASE WHEN o_custkey % 2 = 0 THEN 'hint' END AS ts, NULL::VARCHAR AS av, NULL::VARCHAR AS "as", NULL::VARCHAR AS cv, NULL::VARCHAR AS cs, NULL::VARCHAR AS mv, NULL::VARCHAR AS ms,
+            []::STRUCT("key" VARCHAR, existing VARCHAR, incoming VARCHAR, existing_source VARCHAR, incoming_source VARCHAR, resolution VARCHAR)[] AS conflicts, []::STRUCT("label" VARCHAR, "value" VARCHAR)[] AS items FROM l
+        UNION ALL
+        SELECT o_custkey, n, tv2, ts2, av2, as2, coalesce(cv2, CASE WHEN day AND clock THEN iso END), coalesce(cs2, CASE WHEN day AND clock THEN 'line-heuristic' END), coalesce(mv2, CASE WHEN day AND changed THEN iso END), coalesce(ms2, CASE WHEN day AND changed THEN 'line-heuristic' END),
+            conflicts || CASE WHEN key IS NOT NULL AND old <> val THEN [{{'key': key, 'existing': old, 'incoming': val, 'existing_source': olds, 'incoming_source': 'line-key-value', 'resolution': CASE WHEN olds = 'line-key-value' THEN 'kept-existing' ELSE 'replaced-by-priority' END}}] ELSE [] END,
+            items || {_ADD('Detected date', 'day')} || {_ADD('Detected time', 'clock')}
+        FROM (SELECT r.o_custkey, l.n, l.line, l.key, l.val, l.iso, l.day, l.clock, l.changed, conflicts, items, {_OLD('v')} AS old, {_OLD('s')} AS olds, {_WAS('tv', 'ts', 'title')}, {_WAS('av', '"as"', 'author').replace('"as"2', 'as2')}, {_WAS('cv', 'cs', 'createdAt')}, {_WAS('mv', 'ms', 'modifiedAt')}
+            FROM run r JOIN l ON l.o_custkey = r.o_custkey AND l.n = r.n + 1 WHERE len(r.items) < 6)),
+    done AS (SELECT * FROM run QUALIFY n = max(n) OVER (PARTITION BY o_custkey))""".replace("CASE WHEN key = 'author' THEN CASE WHEN av", "CASE WHEN key = 'author' THEN CASE WHEN av").replace("WHEN 'author' THEN as ", "WHEN 'author' THEN \"as\" ")
+
+
+@query(_FOLDED + """ SELECT * FROM (SELECT o_custkey, unnest([{'key': 'title', 'value': tv, 'source': ts}, {'key': 'author', 'value': av, 'source': "as"}, {'key': 'createdAt', 'value': cv, 'source': cs}, {'key': 'modifiedAt', 'value': mv, 'source': ms}], recursive := true) FROM done) WHERE "value" IS NOT NULL""")
+def metadata_values(spark, d):
+    return blocks.metadata_values(_stated_lines(spark, d), "o_custkey")
+
+
+@query(_FOLDED + """ SELECT o_custkey, CAST(i - 1 AS INT) AS nth, conflicts[i].key AS "key", conflicts[i].existing AS existing, conflicts[i].incoming AS incoming, conflicts[i].existing_source AS existing_source, conflicts[i].incoming_source AS incoming_source, conflicts[i].resolution AS resolution FROM done, unnest(range(1, len(conflicts) + 1)) t(i)""")
+def metadata_conflicts(spark, d):
+    return blocks.metadata_conflicts(_stated_lines(spark, d), "o_custkey")
+
+
+@query(_FOLDED + """ SELECT o_custkey, CAST(i - 1 AS INT) AS nth, all_items[i].label AS "label", all_items[i].value AS "value" FROM (SELECT o_custkey, (list_filter([{'label': 'Title', 'value': tv}, {'label': 'Created', 'value': cv}, {'label': 'Modified', 'value': mv}, {'label': 'Author', 'value': av}], lambda x: x.value IS NOT NULL) || items)[1:8] AS all_items FROM done), unnest(range(1, len(all_items) + 1)) t(i)""")
+def metadata_items(spark, d):
+    return _stated_lines(spark, d).select("o_custkey", F.posexplode("items").alias("nth", "i")).select("o_custkey", "nth", "i.label", "i.value")
+
+
 def block_pages(spark, d):
     """Whole pages from the lines of documents."""
     docs = table(spark, d, "documents")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from leafmill.plans import markup_queries  # noqa: F401
+from leafmill.plans import import_queries, markup_queries  # noqa: F401
 from leafmill.plans.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"

@@ -1,6 +1,7 @@
 """Blocks, importers, sinks and registered functions on small inputs."""
 
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
@@ -22,26 +23,56 @@ def test_blocks_and_pages(spark):
     assert any("<h1>T&amp;</h1><h2>Head</h2>" in r["html"] for r in page) and any("No readable text" in r["html"] for r in page)
 
 
+def test_tables_are_folded(spark):
+    def made(*text):
+        df = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "doc int, pos int, line string")
+        return [(r["kind"], r["rows"] or r["items"], r["headed"]) for r in blocks.blocks(df, "doc", "pos", "line").orderBy("block").collect()]
+
+    two, three, four, five = "a | b |", "a | b | c", "a | b | c | d", "a | b | c | d | e"
+    assert [len(rows) for _, rows, _ in made(two, three, four, five)] == [2, 2]  # widths are compared with the first row's
+    assert made(two, "| --- | --- |", "x  y")[0] == ("table", [["a", "b"]], True)
+    assert [k[1] for k in made(two, two, "x\ty")] == [[["a", "b"], ["a", "b"], ["x", "y"]]]  # two rows hold another delimiter
+    assert [k[1] for k in made(two, "x\ty")] == [[["a", "b"]], [["x", "y"]]]
+    assert made("| --- | --- |", two, "| --- | --- | --- |")[0][1] == [["a", "b", ""], ["---", "---", "---"]]
+    assert [k[:2] for k in made("one", "- x", "goes on", None, "- y", "Other.", "New one")] == [("ul", ["x"]), ("paragraph", ["one", "goes on"]), ("ul", ["y"]), ("paragraph", ["Other."]), ("paragraph", ["New one"])]
+
+
 def test_metadata(spark):
-    text = ["Author: Ann", "created at: 3 May 2024", "modified 4 May 2024 by me", "Author: Bob", "5 May 2024 10:30"]
-    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "doc int, pos int, line string")
-    stated = blocks.stated_metadata(df, "doc", "pos", "line")
-    got = {(r["key"], r["value"]) for r in stated.collect()}
-    assert ("author", "Ann") in got and ("createdAt", "2024-05-03T00:00:00.000Z") in got and ("modifiedAt", "2024-05-04T00:00:00.000Z") in got
-    assert [(r["existing"], r["incoming"]) for r in blocks.conflicts(stated.where("key = 'author'"), "doc", "pos").collect()] == [("Ann", "Bob")]
+    text = ["at 3 May 2024 10:30 by me", "Author:Ann", None, "created at: 4 May 2024", "Author - Bob", "Author: Ann", "Title: T", "modified 5 May 2024"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)] + [(2, 0, "none")], "doc int, pos int, line string")
+    made = blocks.page_metadata(df, "doc", "pos", "line", spark.createDataFrame([(1, "Hint"), (3, " "), (4, "Alone")], "doc int, title string"))
+    got = {(r["doc"], r["key"]): (r["value"], r["source"]) for r in blocks.metadata_values(made, "doc").collect()}
+    assert got == {(1, "author"): ("Ann", "line-key-value"), (1, "createdAt"): ("2024-05-04T00:00:00.000Z", "line-key-value"), (1, "title"): ("T", "line-key-value"), (1, "modifiedAt"): ("modified 5 May 2024", "line-heuristic"), (4, "title"): ("Alone", "hint")}
+    wrong = [(r["key"], r["existing"], r["incoming"], r["existing_source"], r["resolution"]) for r in blocks.metadata_conflicts(made, "doc").orderBy("nth").collect()]
+    assert wrong == [
+        ("createdAt", "at 3 May 2024 10:30 by me", "2024-05-04T00:00:00.000Z", "line-heuristic", "replaced-by-priority"),
+        ("author", "Ann", "Bob", "line-key-value", "kept-existing"), ("title", "Hint", "T", "hint", "replaced-by-priority"),
+    ]
+    assert [x["label"] for x in made.where("doc = 1").first()["items"]] == ["Title", "Created", "Modified", "Author", "Detected date", "Detected time", "Detected date", "Detected date"]
+
+
+def section(*wide, ascii=b""):
+    return bytearray(binary.SECTION + b"\0\0" + "\u0001".join(wide).encode("utf-16le") + b"\0\0" + ascii)
 
 
 def test_section_and_package(spark):
-    wide = "\u0001".join(["My page title", "PageTitle", "Some content line of the page", "Author: Ann Bee"]).encode("utf-16le")
-    files = spark.createDataFrame([(1, bytearray(binary.SECTION + wide)), (2, bytearray(b"other"))], "id int, content binary")
-    out = importers.sections(files, "id", "content")
-    page = out["pages"].collect()
-    assert len(page) == 1 and page[0]["title"] == "My page title" and "Some content line of the page" in page[0]["html"]
-    assert {(r["key"], r["value"]) for r in out["metadata"].collect()} == {("author", "Ann Bee")}
+    png = b"\x89PNG\r\n\x1a\n" + b"0" * 80 + b"IEND1234"
+    one = section("My page title", "PageTitle", "Some content line of the page", "Author: Ann Bee", "see the attachment plan.pdf", ascii=b"single bytes are content too\0" + png)
+    files = spark.createDataFrame([("a#b", one, "Work #1.one"), ("other", bytearray(b"other"), None), ("bare", section("x" * 100 + " words of text"), "B.one"), ("none", section(), "N.one")], "id string, content binary, file string")
+    out = importers.sections(files, "id", "content", "file")
+    pages = {r["id"]: r for r in out["pages"].collect()}
+    assert set(pages) == {"a#b", "bare", "none"} and (pages["a#b"]["title"], pages["a#b"]["path"], pages["a#b"]["metadata"]["author"]) == ("My page title", "Work #1/My page title.html", "Ann Bee")
+    html = pages["a#b"]["html"]
+    assert "Some content line of the page" in html and "single bytes are content too" in html and "<dt>Author</dt><dd>Ann Bee</dd>" in html and '<img src="_resources/image-01.png"' in html and "<li>see the attachment plan.pdf</li>" in html
+    assert (pages["none"]["title"], pages["none"]["n_lines"], pages["none"]["fallback"]) == ("Page 1", 0, True) and importers.NO_TEXT in pages["none"]["html"] and pages["bare"]["n_lines"] == 1
     told = {r["id"]: r for r in out["notices"].collect()}
-    assert told[1]["notices"][1]["context"] == {"pages": "1"} and told[2]["error"]
+    assert len(told["a#b"]["notices"]) == 6 and told["a#b"]["notices"][4]["context"] == {"images": "1", "attachments": "0"} and told["other"]["error"] and told["other"]["notices"] is None
+    assert {r["path"] for r in out["resources"].collect()} == {"Work #1/_resources/image-01.png"} and out["conflicts"].count() == 0
     got = importers.packages(files, "id", "content")
-    assert all(r["error"] for r in got["notices"].collect()) and got["placeholders"].count() == 0
+    assert all(r["error"] and r["notices"] is None for r in got["notices"].collect()) and got["pages"].count() == 0
+    tree = importers.nested(out["hierarchy"].where("id = 'a#b'"), "id").collect()
+    assert [json.loads(r["json"]) for r in tree] == [{"kind": "section", "name": "Work #1", "path": "Work #1/", "children": [{"kind": "page", "name": "My page title", "path": "Work #1/My page title.html", "children": []}]}]
+    assert importers.nested(out["hierarchy"].where("false"), "id").count() == 0
 
 
 def test_archives(spark):
