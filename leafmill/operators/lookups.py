@@ -9,14 +9,19 @@ from leafmill.functions.lines import metadata_priority
 from leafmill.functions.text import strip
 
 
+def decoded(c: Column) -> Column:
+    """The text that percent signs encode; null where they encode none."""
+    out = F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return F.when(~F.contains(F.coalesce(out, F.lit("\ufffd")), F.lit("\ufffd")) | F.contains(c, F.lit("\ufffd")), out)
+
+
 def candidates(ref: Column) -> Column:
     """Keys under which a reference may be known, best first."""
     raw = strip(ref)
-    decoded = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
     base = F.regexp_extract(raw, r"([^/\\]*)\z", 1)
     cid = raw.rlike("(?i)^cid:")
     keys = F.array(
-        raw, F.when(~F.contains(F.coalesce(decoded, F.lit("�")), F.lit("�")) | F.contains(raw, F.lit("�")), decoded), F.regexp_replace(raw, "^file:/+", ""), F.regexp_replace(raw, "^/+", ""), F.regexp_extract(raw, r"^([^?#]*)", 1),
+        raw, decoded(raw), F.regexp_replace(raw, "^file:/+", ""), F.regexp_replace(raw, "^/+", ""), F.regexp_extract(raw, r"^([^?#]*)", 1),
         base, F.lower(base), F.lower(raw), F.when(~cid & (base != ""), F.concat(F.lit("cid:"), base)), F.when(~cid, F.regexp_replace(F.regexp_replace(base, "^<", ""), r">\z", "")),
     )
     return F.array_distinct(F.filter(keys, lambda k: k.isNotNull() & (k != "")))
@@ -25,12 +30,11 @@ def candidates(ref: Column) -> Column:
 def resolve(refs: DataFrame, keys: DataFrame, ref: str, by: list[str]) -> DataFrame:
     """Adds uri to refs: that of the first candidate of ref in keys(*by, key, uri); null where none is.
 
-    Keys are few for a document but many for a corpus, so the join is left to the planner.
+    Keys are few for a document but many for a corpus, so the join is left to the planner. Null refs find nothing.
     """
-    refs = refs.withColumn("_id", F.xxhash64(*by, ref))
-    tried = refs.select("_id", *by, ref).distinct().select("_id", *by, F.posexplode(candidates(F.col(ref))).alias("_pos", "key"))
-    hits = tried.join(keys, [*by, "key"]).groupBy("_id").agg(F.min_by("uri", "_pos").alias("uri"))
-    return refs.join(hits, "_id", "left").drop("_id")
+    tried = refs.select(*by, ref).distinct().select(*by, ref, F.posexplode(candidates(F.col(ref))).alias("_pos", "key"))
+    hits = tried.join(keys, [*by, "key"]).groupBy(*by, ref).agg(F.min_by("uri", "_pos").alias("uri"))
+    return refs.join(hits, [*by, ref], "left").select(*refs.columns, "uri")
 
 
 def resolve_metadata(values: DataFrame, doc: str, order: str) -> DataFrame:

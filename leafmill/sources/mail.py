@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import data_uri, decode_quoted_printable, encode_base64
+from leafmill.operators import images
+from leafmill.operators.lookups import decoded
 
 
 def header(block: Column, name: str) -> Column:
@@ -47,13 +49,25 @@ def main_page(rows: DataFrame, key: str) -> DataFrame:
 
 
 def image_keys(rows: DataFrame, key: str) -> DataFrame:
-    """(key, "key", uri): the names under which images and fonts are known, the last part of a name winning."""
+    """(key, "key", uri): the names under which images and fonts are known, the last part of a name winning.
+
+    Names are the location as it stands, without file:, without slashes in front, decoded, without its query, its last
+    part, small letters of these; the content id with and without cid:; the file's name, also in small letters.
+    """
     media = rows.where(F.col("kind").startswith("image/") | F.col("kind").startswith("font/") | (F.col("kind") == "application/octet-stream"))
     encoded = F.when(F.col("encoding") == "base64", F.col("body")).otherwise(encode_base64(F.col("body").cast("binary")))
-    base = F.regexp_extract("location", r"([^/\\?#]*)(?:[?#].*)?\z", 1)
+    at = F.trim("location")
+    last = lambda c: F.trim(F.regexp_extract(c, r"([^/\\]*)\z", 1))
+    plain = F.regexp_extract(at, r"^([^?]*)", 1)
     names = F.array(
-        F.col("location"), F.regexp_replace("location", "^file:/+", ""), F.regexp_extract("location", r"^([^?#]*)", 1), base, F.lower(base),
-        F.col("content_id"), F.concat(F.lit("cid:"), "content_id"), F.when(F.col("file_name") != "", F.col("file_name")),
+        at, F.regexp_replace(at, "^file:/+", ""), F.regexp_replace(at, "^/+", ""), decoded(at), last(at), F.lower(at), F.lower(last(at)), plain, last(plain),
+        F.col("content_id"), F.concat(F.lit("cid:"), "content_id"), F.col("file_name"), F.lower("file_name"),
     )
     known = media.select(key, "part", data_uri(F.col("kind"), encoded).alias("uri"), F.explode(F.array_distinct(F.filter(names, lambda n: n.isNotNull() & (n != "")))).alias("key"))
     return known.groupBy(key, "key").agg(F.max_by("uri", "part").alias("uri"))
+
+
+def embedded_pages(messages: DataFrame, key: str, raw: str) -> DataFrame:
+    """(key, html, replaced, unmatched): each message's page with its images in place of the references to them (see images.embed)."""
+    rows = parts(messages, key, raw)
+    return images.embed(main_page(rows, key), key, "html", image_keys(rows, key))
