@@ -39,7 +39,7 @@ AROUND = {"head": ("head",), "list": ("ol", "ul"), "item": ("li",), "table": ("t
 _SAID = ("td", "th", "p")
 
 #: A tag ends at the first > outside of quoted values.
-_TOKEN = r"""(?s)<!--.*?-->|<!.*?>|</?[A-Za-z](?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>|[^<]+|<"""
+TOKEN = r"""(?s)<!--.*?-->|<!.*?>|</?[A-Za-z](?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>|[^<]+|<"""
 _NAME = r"^</?([A-Za-z][A-Za-z0-9:-]*)"
 _TEXTS, _FLAGS = ("kind", "up", "upper", "listed", "said"), ("closed",)
 _NODE = ArrayType(StructType([StructField(c, StringType() if c in _TEXTS else BooleanType() if c in _FLAGS else IntegerType()) for c in ("kind", "parent", "depth", "up", "upper", "listed", "end", "closed", "nth", "inside", "said", *AROUND)]))
@@ -136,7 +136,7 @@ def nodes(pages: DataFrame, html: str) -> DataFrame:
     null or repeat. Columns of pages should not have names of these.
     """
     kept = [F.col(f"`{c}`") for c in pages.columns if c != html]
-    found = pages.select(F.monotonically_increasing_id().alias("_page"), *kept, F.regexp_extract_all(F.coalesce(F.col(f"`{html}`"), F.lit("")), F.lit(_TOKEN), F.lit(0)).alias("_raw"))
+    found = pages.select(F.monotonically_increasing_id().alias("_page"), *kept, F.regexp_extract_all(F.coalesce(F.col(f"`{html}`"), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("_raw"))
     name = lambda r: F.lower(F.regexp_extract(r, _NAME, 1))
     named = lambda r: F.when(r.rlike("^</?[A-Za-z]"), name(r)).otherwise("")
     found = found.withColumn("_name", F.transform("_raw", named))
