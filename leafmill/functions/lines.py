@@ -7,11 +7,23 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import collapse, strip
 
-#: Fixed values that decide the output: marks of internal records, then forms of lines.
+# Fixed values that decide the output: patterns, limits and points of lines.
 INTERNAL = "resolutionId|provider=|hash=|localId|PageTitle|PageDateTime"
 _TWO_WORDS = r"^[A-Za-z]+\s[A-Za-z]+\z"
-_BULLET = r"^([-*•]|\d+[\.)]|[A-Za-z][\.)])\s+"
+_BULLET = r"^([-*•]|\d+[.)]|[A-Za-z][.)])\s+"
 _CLOCK, _DAY = r"\b\d{1,2}:\d{2}(:\d{2})?\b", r"\b\d{1,2}\s+[A-Za-z]+\s+\d{4}\b"
+_NAMES = r"^[A-Z][a-z]+(\s+[A-Z][a-z]+){1,3}\z"
+_LOUD, _DIGITS = r"^[A-Z0-9]{3,}[!?]?\z", r"\d{2,}"
+#: Content has 4 to 180 characters, a letter or digit, and none of these.
+_NO_CONTENT = (r"^<.*>\z", f"(?i){INTERNAL}", r"(?i)^Calibri(\s|\z)", r"[^A-Za-z0-9\s]{3,}", _LOUD)
+#: Least share of characters of a class in content; a line with two digits in a row needs the first alone.
+_SHARES = {r"A-Za-z0-9\s,.;:'\"!?()\-_/": 0.85, "A-Za-z": 0.25}
+#: Marks of binary content.
+_BINARY = (r"(?i)\b(IDAT|IHDR|JFIF|Exif|PK\x03\x04|%PDF|obj|endobj)\b", r"^[A-Za-z0-9+/=_-]{10,}\z", r"[^A-Za-z0-9\s,.;:'\"!?()\-_/]{2,}")
+#: Points of a line for what it has; structured lines have 4.
+_POINTS = ((_CLOCK, 1), (_DAY, 1), (r"\s", 1), (_LOUD, -2), ("|".join(f"(?:{p})" for p in _BINARY), -3))
+#: Priority of a metadata value by key and source; the last of a key is that of other sources.
+_PRIORITY = {"title": {"line-key-value": 3, "hint": 1, "": 2}, "author": {"line-key-value": 3, "": 1}, "createdAt": {"line-key-value": 3, "line-heuristic": 2, "": 1}, "modifiedAt": {"line-key-value": 3, "line-heuristic": 2, "": 1}}
 #: Canonical metadata keys by label. Fixed values.
 LABELS = {
     "title": "title", "page title": "title", "section title": "title", "author": "author", "owner": "author", "created by": "author", "last edited by": "author",
@@ -35,23 +47,23 @@ def title_score(v: Column) -> Column:
     return add(v.rlike("(?i)page"), 5) + add(v.rlike(r"\d"), 3) + add(F.length(v).between(5, 50), 2) - add(_two_words(v), 3)
 
 
+def _share(v: Column, keep: str) -> Column:
+    return F.length(F.regexp_replace(v, f"[^{keep}]", "")) / F.length(v)
+
+
 def is_preview(v: Column) -> Column:
     """Whether a line is likely to be content; values that are blocked are left out by an anti-join instead."""
-    share = lambda keep: F.length(F.regexp_replace(v, f"[^{keep}]", "")) / F.length(v)
-    digits = v.rlike(r"\d{2,}")
-    timed = v.rlike(_CLOCK) | v.rlike(_DAY)
-    vowels = F.length(F.regexp_replace(v, "[^AEIOUaeiou]", ""))
-    ok = (
-        F.length(v).between(4, 180) & v.rlike("[A-Za-z0-9]") & ~v.rlike(r"^<.*>\z") & ~v.rlike(f"(?i){INTERNAL}") & ~v.rlike(r"(?i)^Calibri(\s|\z)")
-        & ~(v.rlike(r"^[A-Z][a-z]+(\s+[A-Z][a-z]+){1,3}\z") & ~v.rlike("(?i)page")) & (share(r"A-Za-z0-9\s,.;:'\"!?()\-_/") >= 0.85)
-        & ((share("A-Za-z") >= 0.25) | digits) & (v.rlike("[A-Za-z]{3,}") | digits) & ~v.rlike(r"[^A-Za-z0-9\s]{3,}") & ~v.rlike(r"^[A-Z0-9]{3,}[!?]?\z")
-        & (timed | ((vowels >= 2) & (v.rlike(r"\s") | (F.length(v) <= 16))))
-    )
-    return F.coalesce(ok, F.lit(False))
+    ok = F.length(v).between(4, 180) & v.rlike("[A-Za-z0-9]") & (~v.rlike(_NAMES) | v.rlike("(?i)page"))
+    for pattern in _NO_CONTENT:
+        ok &= ~v.rlike(pattern)
+    (known, least), (letters, some) = _SHARES.items()
+    ok &= (_share(v, known) >= least) & (v.rlike(_DIGITS) | (_share(v, letters) >= some) & v.rlike("[A-Za-z]{3,}"))
+    spoken = (F.length(F.regexp_replace(v, "[^AEIOUaeiou]", "")) >= 2) & (v.rlike(r"\s") | (F.length(v) <= 16))
+    return F.coalesce(ok & (v.rlike(_CLOCK) | v.rlike(_DAY) | spoken), F.lit(False))
 
 
 def looks_binary(v: Column) -> Column:
-    return v.rlike(r"(?i)\b(IDAT|IHDR|JFIF|Exif|PK\x03\x04|%PDF|obj|endobj)\b") | v.rlike(r"^[A-Za-z0-9+/=_-]{10,}\z") | v.rlike(r"[^A-Za-z0-9\s,.;:'\"!?()\-_/]{2,}")
+    return v.rlike("|".join(f"(?:{p})" for p in _BINARY))
 
 
 def heading_level(v: Column) -> Column:
@@ -85,10 +97,11 @@ def is_separator(a: Column) -> Column:
 
 def line_score(line: Column) -> Column:
     v = strip(line)
-    add = lambda test, n: F.when(test, n).otherwise(0)
-    words = F.size(F.regexp_extract_all(v, F.lit("[A-Za-z]{3,}"), F.lit(0))) >= 2
-    score = add(v.rlike(_CLOCK), 1) + add(v.rlike(_DAY), 1) + add(v.rlike(r"\s"), 1) + add(words, 2) - add(v.rlike(r"^[A-Z0-9]{3,}[!?]?\z"), 2) - add(looks_binary(v), 3)
-    return F.when(v == "", None).when(heading_level(v).isNotNull() | cells(v, True).isNotNull() | v.rlike(_BULLET), 4).otherwise(score)
+    score = F.when(F.regexp_count(v, F.lit("[A-Za-z]{3,}")) >= 2, 2).otherwise(0)
+    for pattern, points in _POINTS:
+        score += F.when(v.rlike(pattern), points).otherwise(0)
+    structured = heading_level(v).isNotNull() | cells(v, True).isNotNull() | v.rlike(_BULLET)
+    return F.when(v == "", None).when(structured, 4).otherwise(score)
 
 
 def joins_paragraph(before: Column, line: Column) -> Column:
@@ -126,13 +139,9 @@ def metadata_key(label: Column) -> Column:
 
 
 def metadata_priority(key: Column, source: Column) -> Column:
-    stated = source == "line-key-value"
-    return (
-        F.when(key == "title", F.when(stated, 3).when(source == "hint", 1).otherwise(2))
-        .when(key == "author", F.when(stated, 3).otherwise(1))
-        .when(key.isin("createdAt", "modifiedAt"), F.when(stated, 3).when(source == "line-heuristic", 2).otherwise(1))
-        .otherwise(0)
-    )
+    table = F.create_map(*[x for k, of in _PRIORITY.items() for x in (F.lit(k), F.create_map(*[F.lit(y) for pair in of.items() for y in pair]))])
+    own = F.try_element_at(table, key)
+    return F.coalesce(F.try_element_at(own, source), F.try_element_at(own, F.lit("")), F.lit(0))
 
 
 def metadata_date(value: Column) -> Column:
