@@ -42,24 +42,31 @@ _SAID = ("td", "th", "p")
 TOKEN = r"""(?s)<!--.*?-->|<!.*?>|</?[A-Za-z](?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>|[^<]+|<"""
 _NAME = r"^</?([A-Za-z][A-Za-z0-9:-]*)"
 _TEXTS, _FLAGS = ("kind", "up", "upper", "listed", "said"), ("closed",)
-_NODE = ArrayType(StructType([StructField(c, StringType() if c in _TEXTS else BooleanType() if c in _FLAGS else IntegerType()) for c in ("kind", "parent", "depth", "up", "upper", "listed", "end", "closed", "nth", "inside", "said", *AROUND)]))
+_FIELDS = ("kind", "parent", "depth", "up", "upper", "listed", "end", "closed", "nth", "inside", "said", *AROUND)
+_NODE = StructType([StructField(c, ArrayType(StringType() if c in _TEXTS else BooleanType() if c in _FLAGS else IntegerType())) for c in _FIELDS])
 
 
-def matched(kinds: list[str], names: list[str], raws: list[str], counted: list[bool]) -> list[dict]:
-    """Of each token: its kind, the element it stands in, and of an element its last token, whether its end tag is there,
-    its number among its parent's elements of that name (cells are of one), names of its parent, of that one's and of the nearest list, how many elements are around it, how many tokens counted it holds, and the text of cells and paragraphs."""
+def matched(kinds: list[str], names: list[str], raws: list[str], counted: list[bool]) -> dict[str, list]:
+    """Of each token, as a list for each field: its kind, the element it stands in, and of an element its last token,
+    whether its end tag is there, its number among its parent's elements of that name (cells are of one), names of its
+    parent, of that one's and of the nearest list, how many elements are around it, how many tokens counted it holds, and
+    the text of cells and paragraphs."""
     n = len(kinds)
-    out = [dict.fromkeys(("parent", *AROUND), -1) | {"kind": k, "end": i, "closed": False, "nth": 0, "inside": 0, "said": None, "up": "", "upper": "", "listed": "", "depth": 0} for i, k in enumerate(kinds)]
-    of = {name: c for c, some in AROUND.items() for name in some}
+    kind, parent, end = list(kinds), [-1] * n, list(range(n))
+    depth, nth, inside, closed, said = [0] * n, [0] * n, [0] * n, [False] * n, [None] * n
+    near: list[tuple[int, ...]] = []  # positions of the nearest elements around, by the order of AROUND
+    nowhere = (-1,) * len(AROUND)
+    column = {name: k for k, some in enumerate(AROUND.values()) for name in some}
+    lists = list(AROUND).index("list")
     stack: list[int] = []
     seen: list[dict[str, int]] = [{}]
     total, totals = 0, []
     plain = None
 
-    def leave(depth: int, last: int) -> None:
-        for i in stack[depth:]:
-            out[i]["end"] = last
-        del stack[depth:], seen[depth + 1 :]
+    def leave(to: int, last: int) -> None:
+        for i in stack[to:]:
+            end[i] = last
+        del stack[to:], seen[to + 1 :]
 
     def outermost(some: tuple[str, ...], limits: tuple[str, ...], nearest: bool = False) -> int:
         """Where on the stack, above the limits, the outermost (or the nearest) element of some names is; -1 if none."""
@@ -74,56 +81,59 @@ def matched(kinds: list[str], names: list[str], raws: list[str], counted: list[b
                 break
         return found
 
-    for i, (kind, name) in enumerate(zip(kinds, names, strict=True)):
-        t = out[i]
-        if plain and not (kind == "close" and name == plain):
-            t["kind"] = kind = "text"
-        elif kind in ("open", "void") and name:
-            some, limits = ENDS.get(name, ((), ()))
-            if (d := outermost(some, limits)) >= 0:
+    for i, name in enumerate(names):
+        k = kind[i]
+        if plain and not (k == "close" and name == plain):
+            kind[i] = k = "text"
+        elif k in ("open", "void") and name:
+            if name in ENDS and (d := outermost(*ENDS[name])) >= 0:
                 leave(d, i - 1)
             if stack and names[stack[-1]] == "head" and name not in ("meta", "title", "link", "style", "script", "base", "noscript", "template"):
                 leave(len(stack) - 1, i - 1)
         at = stack[-1] if stack else -1
-        if kind == "close":
+        if k == "close":
             d = outermost((name,), LIMITS.get(name, _LIMIT), True)
             if d < 0:
-                t["kind"] = "stray"
+                kind[i] = "stray"
             else:
                 leave(d + 1, i - 1)
                 at = stack[d]
-                out[at]["closed"] = True
+                closed[at] = True
                 leave(d, i)
                 plain = None
-        t["parent"], t["depth"] = at, len(stack) + (kind == "close" and t["kind"] == "close")
-        if at >= 0:
-            t.update({c: out[at][c] for c in AROUND}, up=names[at], upper=out[at]["up"])
-            t["listed"] = names[t["list"]] if t["list"] >= 0 else ""
-        if kind in ("open", "void") and name:
+        parent[i], depth[i] = at, len(stack) + (kind[i] == "close")
+        around = near[at] if at >= 0 else nowhere
+        if k in ("open", "void") and name:
             group = "td" if name == "th" else name
-            t["nth"] = seen[-1].get(group, 0)
-            seen[-1][group] = t["nth"] + 1
-        if kind == "open" and name:
-            stack.append(i)
-            seen.append({})
-            if name in of:
-                t[of[name]] = i
-            if name in PLAIN:
-                plain = name
+            nth[i] = seen[-1].get(group, 0)
+            seen[-1][group] = nth[i] + 1
+            if k == "open":
+                stack.append(i)
+                seen.append({})
+                if name in column:
+                    around = (*around[: column[name]], i, *around[column[name] + 1 :])
+                if name in PLAIN:
+                    plain = name
+        near.append(around)
         total += bool(counted[i])
         totals.append(total)
     leave(0, n - 1)
-    for i, t in enumerate(out):
-        if t["kind"] == "open":
-            t["inside"] = totals[t["end"]] - totals[i]
+    for i in range(n):
+        if kind[i] == "open":
+            inside[i] = totals[end[i]] - totals[i]
             if names[i] in _SAID:
-                t["said"] = "".join(raws[k] for k in range(i + 1, t["end"] + 1) if out[k]["kind"] == "text")
-    return out
+                said[i] = "".join(raws[k] for k in range(i + 1, end[i] + 1) if kind[k] == "text")
+    up = [names[p] if p >= 0 else "" for p in parent]
+    # the nearest list of a list's own tag is the one around it, for names
+    listed = [names[j] if (j := (near[p][lists] if p >= 0 else -1)) >= 0 else "" for p in parent]
+    out = {"kind": kind, "parent": parent, "depth": depth, "up": up, "upper": [up[p] if p >= 0 else "" for p in parent], "listed": listed, "end": end, "closed": closed, "nth": nth, "inside": inside, "said": said}
+    return out | dict(zip(AROUND, map(list, zip(*near, strict=True)) if n else [[]] * len(AROUND), strict=True))
 
 
 @F.pandas_udf(_NODE)
-def _matched(kinds: pd.Series, names: pd.Series, raws: pd.Series, counted: pd.Series) -> pd.Series:
-    return pd.Series([matched(list(k), list(n), list(r), list(c)) for k, n, r, c in zip(kinds, names, raws, counted, strict=True)])
+def _matched(kinds: pd.Series, names: pd.Series, raws: pd.Series, counted: pd.Series) -> pd.DataFrame:
+    each = [matched(k.tolist(), n.tolist(), r.tolist(), c.tolist()) for k, n, r, c in zip(kinds, names, raws, counted, strict=True)]
+    return pd.DataFrame({c: [m[c] for m in each] for c in _FIELDS})
 
 
 def nodes(pages: DataFrame, html: str) -> DataFrame:
@@ -133,10 +143,11 @@ def nodes(pages: DataFrame, html: str) -> DataFrame:
     element that holds it, -1 for none; up, upper: that one's name, and that of the one around it; depth: how many elements are around; listed: the name of the nearest list around; an end tag is held
     by its own element. end: the last position of an element, its
     end tag if it has one (closed). attrs: a tag's attributes. Null or empty markup gives one row without pos. Ids may be
-    null or repeat. Columns of pages should not have names of these.
+    null or repeat. Pages are dealt by _page before they are taken apart, so all that follows needs no other shuffle. Columns of pages should not have names of these.
     """
     kept = [F.col(f"`{c}`") for c in pages.columns if c != html]
-    found = pages.select(F.monotonically_increasing_id().alias("_page"), *kept, F.regexp_extract_all(F.coalesce(F.col(f"`{html}`"), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("_raw"))
+    found = pages.select(F.monotonically_increasing_id().alias("_page"), *kept, F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("_text")).repartition("_page")
+    found = found.select("_page", *kept, F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0)).alias("_raw"))
     name = lambda r: F.lower(F.regexp_extract(r, _NAME, 1))
     named = lambda r: F.when(r.rlike("^</?[A-Za-z]"), name(r)).otherwise("")
     found = found.withColumn("_name", F.transform("_raw", named))
@@ -144,8 +155,8 @@ def nodes(pages: DataFrame, html: str) -> DataFrame:
     found = found.withColumn("_kind", F.zip_with("_raw", "_name", kind))
     counts = lambda r, n: F.when(n.isin("img", "video", "audio", "canvas", "svg", "object", "embed", "iframe", "table"), ~r.startswith("</")).otherwise((n == "") & ~r.rlike("^<[!/]") & (collapse(F.regexp_replace(r, "(?i)&nbsp;", " ")) != ""))
     found = found.withColumn("_node", _matched("_kind", "_name", "_raw", F.zip_with("_raw", "_name", counts)))
-    rows = found.select("_page", *kept, F.posexplode_outer(F.arrays_zip("_raw", "_name", "_node")).alias("pos", "_t"))
-    rows = rows.select("_page", *kept, "pos", F.col("_t._raw").alias("raw"), F.col("_t._name").alias("name"), "_t._node.*")
+    parts = F.arrays_zip(F.col("_raw").alias("raw"), F.col("_name").alias("name"), *[F.col(f"_node.{c}").alias(c) for c in _FIELDS])
+    rows = found.select("_page", *kept, F.posexplode_outer(parts).alias("pos", "_t")).select("_page", *kept, "pos", "_t.*")
     tag = F.col("kind").isin("open", "void") & (F.col("name") != "")
     return rows.withColumns({"name": F.when(F.col("kind") == "text", "").otherwise(F.col("name")), "attrs": F.when(tag, attributes(F.col("raw"))), "changed": F.lit(False), "gone": F.lit(False), "after": F.lit("")})
 

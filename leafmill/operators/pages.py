@@ -15,7 +15,7 @@ def clean_head(pages: DataFrame, html: str, title: str = "Document", css: str |
     style sheet is linked unless css is null; no-break spaces become spaces. Steps that change nothing log nothing.
     """
     kept = [c for c in pages.columns if c != html]
-    rows = nodes.nodes(pages, html).repartition("_page")
+    rows = nodes.nodes(pages, html)
     return tree.finish(nodes.settle(tree.drop_vendor_meta(rows), False), kept, title, css)
 
 

@@ -193,7 +193,7 @@ def merge_lists(pages: DataFrame, html: str, count: str) -> DataFrame:
     The list takes the items of all lists of the cell in order, each with all it holds; items of a list within an item
     come once more after it, as they are items of a list of the cell too. Of cells within cells the outermost counts.
     """
-    rows = nodes(pages, html).repartition("_page")
+    rows = nodes(pages, html)
     rows = rows.withColumn("_outer", is_open("td") & ~within(is_open("td")))
     cell = F.max(F.when(F.col("_outer"), F.struct("pos", "end", "closed"))).over(page_window().rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_cell", F.when(cell["end"] >= F.col("pos"), cell))

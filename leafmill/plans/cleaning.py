@@ -47,7 +47,7 @@ def clean_pages(pages: DataFrame, doc: str, html: str, p: Profile = Profile()) -
     merge = p.repair_lists == "mergeStyled"
     if merge:
         rows = tree.merge_lists(rows, "_html", "_merged")
-    rows = nodes.nodes(rows, "_html").repartition("_page")
+    rows = nodes.nodes(rows, "_html")
     if merge:
         rows = tree.counted(rows, "mergeStyled.mergedCount", F.when(F.col("pos") == 0, F.col("_merged"))).drop("_merged")
     rows = tree.plain_texts(tree.clean_images(nodes.settle(tree.drop_vendor_meta(rows), False)))

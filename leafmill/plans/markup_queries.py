@@ -12,7 +12,7 @@ from leafmill.plans.cleaning import clean_pages, profile
 
 
 def _made(df, doc, html):
-    return nodes.nodes(df.select(doc, html.alias("html")), "html").repartition("_page")
+    return nodes.nodes(df.select(doc, html.alias("html")), "html")
 
 
 def _joined(df, doc, order, piece):

@@ -19,8 +19,9 @@ class Nodes:
         raws = _FOUND.findall(html or "")
         names = [m[1].lower() if (m := _NAMED.match(r)) else "" for r in raws]
         kinds = ["text" if not re.match("<[/!A-Za-z]", r) else "close" if r.startswith("</") else "void" if not n or n in VOID or r.endswith("/>") else "open" for r, n in zip(raws, names, strict=True)]
-        for i, t in enumerate(matched(kinds, names, raws, [False] * len(raws))):
-            yield i, raws[i], t["kind"], "" if t["kind"] == "text" else names[i], t["parent"], t["end"]
+        made = matched(kinds, names, raws, [False] * len(raws))
+        for i, (kind, parent, end) in enumerate(zip(made["kind"], made["parent"], made["end"], strict=True)):
+            yield i, raws[i], kind, "" if kind == "text" else names[i], parent, end
 
 
 class Strings:
