@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import shutil
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -23,13 +25,14 @@ class _Written(WriterCommitMessage):
 
 
 class _ZipWriter(DataSourceWriter):
-    """Tasks write archives under names of their own; a commit gives them theirs, an abort removes them."""
+    """Tasks write archives to a folder of the job's own; a commit moves them to their names, an abort removes it, with what killed tasks left."""
 
     def __init__(self, folder: str, overwrite: bool):
         self.folder, self.overwrite = folder, overwrite
+        self.job = os.path.join(folder, f".{uuid.uuid4().hex}")
+        os.makedirs(self.job)  # on the driver; a task that starts after an abort finds it gone and fails
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
-        os.makedirs(self.folder, exist_ok=True)
         made: list[tuple[str, str]] = []
         out, last, paths = None, None, set()
         try:
@@ -38,7 +41,7 @@ class _ZipWriter(DataSourceWriter):
                     if out is not None:
                         out.close()
                     last, paths = row["archive"], set()
-                    made.append((os.path.join(self.folder, f".{uuid.uuid4().hex}.part"), os.path.join(self.folder, last)))
+                    made.append((os.path.join(self.job, uuid.uuid4().hex), os.path.join(self.folder, last)))
                     out = zipfile.ZipFile(made[-1][0], "x", zipfile.ZIP_DEFLATED)
                 if row["path"] not in paths:
                     out.writestr(zipfile.ZipInfo(row["path"]), bytes(row["content"] or b""), zipfile.ZIP_DEFLATED)
@@ -48,26 +51,24 @@ class _ZipWriter(DataSourceWriter):
         except BaseException:
             if out is not None:
                 out.close()
-            self._remove(made)
             raise
         return _Written(made)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         done = [f for m in messages if m is not None for f in m.files]
         if not self.overwrite and (there := [to for _, to in done if os.path.exists(to)]):
-            self._remove(done)
+            shutil.rmtree(self.job, ignore_errors=True)
             raise FileExistsError(f"{there[0]} exists; use mode overwrite")
         for part, to in done:
             os.replace(part, to)
+        shutil.rmtree(self.job, ignore_errors=True)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._remove([f for m in messages if m is not None for f in m.files])
-
-    @staticmethod
-    def _remove(files: list[tuple[str, str]]) -> None:
-        for part, _ in files:
-            if os.path.exists(part):
-                os.remove(part)
+        for _ in range(20):  # tasks that are not yet killed may still add to it
+            shutil.rmtree(self.job, ignore_errors=True)
+            if not os.path.exists(self.job):
+                break
+            time.sleep(0.1)
 
 
 class ZipSink(DataSource):
