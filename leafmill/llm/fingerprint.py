@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import mix, read
+from leafmill.llm.common import mix, read, stage, unstage
 
 PRIME = (1 << 31) - 1
 #: Two bases modulo the Mersenne prime 2 ** 31 - 1; together a span's hash has 62 bits.
@@ -210,38 +211,81 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pylist(out, _ARROW)
 
 
+#: Bytes of a text that part rows of one doc_id; parts at most, whose bounds and first keys pass the driver.
+LEAD, PARTS = 32, 1 << 15
+#: Keys that are sampled for each part.
+SAMPLED = 8
+
+
+def _key_columns() -> list[Column]:
+    """The order of rows as an ascending pair: the inverted doc_id, and whether it is null before the text's first bytes."""
+    turned = F.coalesce(F.bitwise_not("doc_id"), F.lit(2**63 - 1)).alias("_a")
+    lead = F.concat(F.when(F.col("doc_id").isNull(), F.lit(b"\x01")).otherwise(F.lit(b"\x00")), F.substring(F.col("text").cast("binary"), 1, LEAD)).alias("_b")
+    return [turned, lead]
+
+
+def _bounds(sample: list[tuple[int, bytes, int]], parts: int) -> list[tuple[int, bytes]]:
+    """First keys of all parts but the first, where a sample of (_a, _b, bytes) has equal shares of its bytes."""
+    sample.sort()
+    at = np.cumsum([size for _, _, size in sample])
+    picked = np.unique(np.searchsorted(at, at[-1] * np.arange(1, parts) / parts)) if sample else []
+    return sorted({sample[i][:2] for i in picked})
+
+
+def _part_of(a: np.ndarray, b: list[bytes], firsts: np.ndarray, bounds: list[tuple[int, bytes]]) -> np.ndarray:
+    """The part of each key (a, b): the number of bounds up to it. firsts: the bounds' _a."""
+    part = np.searchsorted(firsts, a, "left")
+    for i in np.flatnonzero(part < np.searchsorted(firsts, a, "right")):
+        part[i] = bisect.bisect_right(bounds, (int(a[i]), b[i]))
+    return part.astype(np.int32)
+
+
 def fingerprint_documents(docs: DataFrame, part_bytes: int = 6 << 20) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, with likenesses (see SCHEMA).
 
     The next document is that of the next smaller doc_id, and the first one's after the last. doc_id null comes last;
-    rows of one doc_id follow each other by text. A null text counts as empty. Documents are dealt to contiguous
-    parts of about part_bytes by doc_id; the few split ids (one a part) pass the driver. Each part gets the first
-    document of the next part as a helper, so the texts are shuffled once and no task waits for another.
-    An empty table gives no rows. first_change is the first code point where the edited text differs.
+    rows of one doc_id follow each other by text; equal rows are rows of their own. A null text counts as empty; a very
+    long text is a row like others, of which a task holds two at a time. An empty table gives no rows; columns other
+    than doc_id and text may have any names.
+
+    Rows are dealt by doc_id and the first LEAD bytes of the text to contiguous parts of about part_bytes, PARTS at
+    most, so a doc_id (or null) that many texts share is parted too. A part is read as a stream, whatever its size. The
+    keys are staged; a sample of SAMPLED keys a part gives the bounds, then each part's first key is taken exactly, and
+    its row goes to the part before as a helper. So the texts are shuffled once, no task waits for another, and what
+    passes the driver is bounded by PARTS. first_change is the first code point where the edited text differs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    total = docs.agg(F.sum(F.octet_length("text")), F.count("*"), F.max(key)).first()
-    if not total[1]:
+    keys = stage(docs.select(*_key_columns(), (F.octet_length("text") + 1).cast("long").alias("size")), "keys")
+    total, n = keys.agg(F.sum("size"), F.count("*")).first()
+    if not n:
+        unstage(keys)
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    parts = max(1, -(-total[0] // part_bytes))
-    found = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    heads = np.array(sorted({total[2], *(found or [])}))  # the largest doc_id of each part, ascending
+    parts = min(PARTS, n, -(-total // part_bytes))
+    some = keys if n <= SAMPLED * parts else keys.sample(SAMPLED * parts / n, 10)
+    bounds = _bounds([(r[0], bytes(r[1]), r[2]) for r in some.collect()], parts) if parts > 1 else []
+    firsts = np.array([a for a, _ in bounds], np.int64)
 
     @F.pandas_udf("int")
-    def dealt(ids: pd.Series) -> pd.Series:
-        """Parts from 0 at the largest ids; negative less 1 where the row is also a helper elsewhere."""
-        at = np.searchsorted(heads, ids.to_numpy())
-        part = len(heads) - 1 - at
-        return pd.Series(np.where(heads[at] == ids.to_numpy(), -part - 1, part).astype(np.int32))
-
-    n = len(heads)
-    code = F.col("_code")
-    own = F.struct(F.when(code < 0, -code - 1).otherwise(code).alias("part"), F.lit(False).alias("extra"))
-    helper = F.struct(F.pmod(-code - 2 + n, F.lit(n)).cast("int").alias("part"), F.lit(True).alias("extra"))
+    def part_of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(_part_of(a.to_numpy(), b.tolist(), firsts, bounds))
+
+    heads = keys.groupBy(part_of("_a", "_b").alias("part")).agg(F.min(F.struct("_a", "_b")).alias("head"))
+    heads = {r[0]: (r[1][0], bytes(r[1][1])) for r in heads.collect()}
+    unstage(keys)
+    filled = sorted(heads)
+    before = dict(zip(filled, [filled[-1], *filled[:-1]], strict=True))  # the part whose last row is followed by a part's first
+
+    @F.pandas_udf("part int, before int")
+    def dealt(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        part = _part_of(a.to_numpy(), b.tolist(), firsts, bounds)
+        first = [before[p] if heads[p] == key else None for p, key in zip(part.tolist(), zip(a.tolist(), b.tolist()))]
+        return pd.DataFrame({"part": part, "before": pd.array(first, "Int32")})
+
+    own = F.struct(F.col("_deal.part").alias("part"), F.lit(False).alias("extra"))
+    helper = F.struct(F.col("_deal.before").alias("part"), F.lit(True).alias("extra"))
     rows = (
-        docs.withColumn("_code", dealt(key))
-        .withColumn("_to", F.explode(F.when(code < 0, F.array(own, helper)).otherwise(F.array(own))))
+        docs.withColumn("_deal", dealt(*_key_columns()))
+        .withColumn("_to", F.explode(F.when(F.col("_deal.before").isNull(), F.array(own)).otherwise(F.array(own, helper))))
         .select(F.col("_to.part").alias("_part"), F.col("_to.extra").alias("_extra"), "doc_id", "text")
         .repartition("_part")
         .sortWithinPartitions("_part", "_extra", F.col("doc_id").desc_nulls_last(), "text")
