@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import components, read, stage, union_edges
+from leafmill.llm.common import components, read, stage, union_edges, unstage
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,7 @@ def _frame(width: int, config: Pigeonhole) -> Frame:
 
 
 def _placed(reps: DataFrame, config: Pigeonhole) -> DataFrame:
-    """Each vector in its own cell of each block, and in the later neighbouring cells as a visitor."""
+    """Each vector, by its id alone, in its own cell of each block, and in the later neighbouring cells as a visitor."""
     offsets = np.array(_forward(config.grid))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,11 +93,10 @@ def _placed(reps: DataFrame, config: Pigeonhole) -> DataFrame:
                     cell = cell * (1 << 20) + keys[..., g] + (1 << 19)
                 ends = np.arange(0, n * blocks * k + 1, blocks * k, dtype=np.int32)
                 item = pa.StructArray.from_arrays([pa.array(np.tile(np.repeat(np.arange(blocks, dtype=np.int32), k), n)), pa.array(cell.ravel()), pa.array(np.tile(np.arange(k) == 0, n * blocks))], ["block", "cell", "home"])
-                x = np.ascontiguousarray(x)
-                yield pa.RecordBatch.from_arrays([some.column("_rid"), some.column("mult"), some.column("width"), pa.array([v.tobytes() for v in x]), pa.ListArray.from_arrays(pa.array(ends), item)], ["_rid", "mult", "width", "raw", "keys"])
+                yield pa.RecordBatch.from_arrays([some.column("_rid"), some.column("width"), pa.ListArray.from_arrays(pa.array(ends), item)], ["_rid", "width", "keys"])
 
-    out = reps.mapInArrow(run, "_rid long, mult long, width int, raw binary, keys array<struct<block:int,cell:long,home:boolean>>")
-    return out.select("_rid", "mult", "width", "raw", F.explode("keys").alias("k")).select("_rid", "mult", "width", "raw", "k.*")
+    out = reps.mapInArrow(run, "_rid long, width int, keys array<struct<block:int,cell:long,home:boolean>>")
+    return out.select("_rid", "width", F.explode("keys").alias("k")).select("_rid", "width", "k.*")
 
 
 _LINKS = pa.schema([("_rid", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
@@ -160,7 +159,9 @@ def link_vectors(vectors: DataFrame, config: Pigeonhole = Pigeonhole()) -> DataF
     or neighbouring cells meet in tiles, each pair in one; pairs within the block's budget are verified in double
     precision on the whole vectors. Tiles give counts and spanning links, never all pairs. Vectors that are null, empty,
     zero or hold null or non-finite components link with nothing, nor do vectors of other widths; rows that share a
-    vec_id are vectors of their own. A row of null vec_id links with nothing and has a null component.
+    vec_id are vectors of their own. A row of null vec_id links with nothing and has a null component. Vectors may have
+    any width; an empty table gives no rows; other columns may have any names. Cells are staged by ids; the vectors
+    come to their tiles by a join.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -169,19 +170,17 @@ def link_vectors(vectors: DataFrame, config: Pigeonhole = Pigeonhole()) -> DataF
     reps = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"))
     reps = stage(reps.withColumn("width", F.size("vector")).withColumn("_rid", F.monotonically_increasing_id()), "vectors")
     placed = stage(_placed(reps, config), "cells")
-    # Coordinates are within -1 and 1, so the number of cells has a bound that the data cannot raise.
     key = ["width", "block", "cell"]
     sizes = placed.groupBy(*key).agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visits"))
     sizes = sizes.where("homes > 0 and homes + visits > 1").withColumn("parts", F.ceil(F.greatest("homes", "visits") / config.tile).cast("int")).drop("homes", "visits")
-    put = placed.join(F.broadcast(sizes), key).withColumn("s", F.pmod(F.xxhash64("_rid"), F.col("parts")).cast("int"))
+    put = placed.join(sizes, key).withColumn("s", F.pmod(F.xxhash64("_rid"), F.col("parts")).cast("int"))
     tiles = F.expr(
         """if(home,
             concat(transform(sequence(0, parts - 1), b -> named_struct('a', s, 'b', b, 'role', 0)),
                    if(s > 0, transform(sequence(0, s - 1), a -> named_struct('a', a, 'b', s, 'role', 1)), array())),
             transform(sequence(0, parts - 1), a -> named_struct('a', a, 'b', s, 'role', 2)))"""
     )
-    put = put.select(*key, "_rid", "mult", "raw", F.explode(tiles).alias("t")).select(*key, "t.a", "t.b", "t.role", "_rid", "mult", "raw")
-    kind = np.dtype("<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8")
+    put = put.select(*key, "_rid", F.explode(tiles).alias("t")).select(*key, "t.*", "_rid").join(reps.select("_rid", "mult", "vector"), "_rid")
     group = [*key, "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +193,7 @@ def link_vectors(vectors: DataFrame, config: Pigeonhole = Pigeonhole()) -> DataF
             role = t.column("role").to_numpy()
             if len(role) < 2 or not (role == 0).any():
                 return None
-            x = np.frombuffer(b"".join(t.column("raw").to_pylist()), kind).reshape(len(role), width)
+            x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("vector").chunks]).reshape(len(role), width)
             found = tile_links(t.column("_rid").to_numpy(), t.column("mult").to_numpy(), role, x, block, a == b, _frame(width, config), config.cosine)
             return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], schema=_LINKS) if len(found[0]) else None
 
@@ -214,14 +213,16 @@ def link_vectors(vectors: DataFrame, config: Pigeonhole = Pigeonhole()) -> DataF
             yield out
 
     links = stage(put.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "_rid long, root long, n long"), "links")
+    unstage(placed)
     joined = components(links.select(F.col("_rid").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("_rid").agg(F.sum("n").alias("n"))
     known = reps.join(counts, "_rid", "left").join(joined.withColumnRenamed("id", "_rid"), "_rid", "left").withColumn("component", F.coalesce("component", "_rid"))
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
     known = known.join(lowest, "component").select(F.col("vector").alias("_vector"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.join(known, F.col("vector") == F.col("_vector"), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    out = rows.where("vector is not null").join(known, F.col("vector") == F.col("_vector"))
+    out = out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    # those that link with nothing are no key of a join
+    return out.union(rows.where("vector is null").select("vec_id", F.lit(0).cast("long"), "vec_id", F.lit(True)))
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
