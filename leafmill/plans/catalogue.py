@@ -401,3 +401,20 @@ def section_strings(spark, d):
     df = table(spark, d, "documents").select("doc_id", F.encode(words, "UTF-16LE").alias("content"))
     found = binary.section_strings(df, "doc_id", "content").where("encoding = 'wide'")
     return found.groupBy("doc_id", "encoding").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
+
+
+_CLOCKED, _DATED = r"\b\d{1,2}:\d{2}(:\d{2})?\b", r"\b\d{1,2}\s+[A-Za-z]+\s+\d{4}\b"
+_BINARY = "(" + " OR ".join(_HAS("v", p) for p in (r"(?i)\b(IDAT|IHDR|JFIF|Exif|PK\x03\x04|%PDF|obj|endobj)\b", "^[A-Za-z0-9+/=_-]{10,}$", r"[^A-Za-z0-9\s,.;:''\"!?()\-_/]{2,}")) + ")"
+_POINT = lambda test, n: f"CASE WHEN {test} THEN {n} ELSE 0 END"
+_SCORE = " + ".join([_POINT("len(regexp_extract_all(v, '[A-Za-z]{3,}')) >= 2", 2), _POINT(_HAS("v", _CLOCKED), 1), _POINT(_HAS("v", _DATED), 1), _POINT(_HAS("v", r"\s"), 1), _POINT(_HAS("v", "^[A-Z0-9]{3,}[!?]?$"), -2), _POINT(_BINARY, -3)])
+_TOLD = "CASE (doc_id + pos) % 6 WHEN 0 THEN line || ' at 10:15' WHEN 1 THEN line || ' on 3 March ' || (2000 + doc_id % 30) WHEN 2 THEN line || ' IHDR' WHEN 3 THEN 'LOUD' || doc_id WHEN 4 THEN '| ' || doc_id || ' | --- |' ELSE line END"
+
+
+@query(f"WITH {_LINES}, told AS (SELECT doc_id, pos, {_STRIP(_TOLD)} AS v FROM lines) SELECT doc_id, pos, {_BINARY} AS binary_like, CAST(CASE WHEN {_BLOCK('v')} THEN 4 ELSE {_SCORE} END AS INT) AS score FROM told WHERE v <> ''")
+def line_scores(spark, d):
+    """Scores of all lines, to which times, dates, marks of binary content, loud words and table rows are added by turns."""
+    line, k = F.col("line"), (F.col("doc_id") + F.col("pos")) % 6
+    told = F.when(k == 0, F.concat(line, F.lit(" at 10:15"))).when(k == 1, F.concat(line, F.lit(" on 3 March "), 2000 + F.col("doc_id") % 30)).when(k == 2, F.concat(line, F.lit(" IHDR")))
+    told = told.when(k == 3, F.concat(F.lit("LOUD"), "doc_id")).when(k == 4, F.concat(F.lit("| "), "doc_id", F.lit(" | --- |"))).otherwise(line)
+    rows = doc_lines(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), text.strip(told).alias("v")).where("v <> ''")
+    return rows.select("doc_id", "pos", lines.looks_binary(F.col("v")).alias("binary_like"), lines.line_score(F.col("v")).cast("int").alias("score"))
