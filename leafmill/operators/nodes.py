@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from leafmill.functions.text import collapse
+from leafmill.functions.text import SPACE
+from leafmill.operators.staging import dealt
 
 #: Elements without an end tag. Fixed values.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -41,8 +43,8 @@ _SAID = ("td", "th", "p")
 #: A tag ends at the first > outside of quoted values.
 TOKEN = r"""(?s)<!--.*?-->|<!.*?>|</?[A-Za-z](?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>|[^<]+|<"""
 _NAME = r"^</?([A-Za-z][A-Za-z0-9:-]*)"
-_TEXTS, _FLAGS = ("kind", "up", "upper", "listed", "said"), ("closed",)
-_FIELDS = ("kind", "parent", "depth", "up", "upper", "listed", "end", "closed", "nth", "inside", "said", *AROUND)
+_TEXTS, _FLAGS = ("raw", "name", "kind", "up", "upper", "listed", "said"), ("closed",)
+_FIELDS = ("raw", "name", "kind", "parent", "depth", "up", "upper", "listed", "end", "closed", "nth", "inside", "said", *AROUND)
 _NODE = StructType([StructField(c, ArrayType(StringType() if c in _TEXTS else BooleanType() if c in _FLAGS else IntegerType())) for c in _FIELDS])
 
 
@@ -130,10 +132,57 @@ def matched(kinds: list[str], names: list[str], raws: list[str], counted: list[b
     return out | dict(zip(AROUND, map(list, zip(*near, strict=True)) if n else [[]] * len(AROUND), strict=True))
 
 
-@F.pandas_udf(_NODE)
-def _matched(kinds: pd.Series, names: pd.Series, raws: pd.Series, counted: pd.Series) -> pd.DataFrame:
-    each = [matched(k.tolist(), n.tolist(), r.tolist(), c.tolist()) for k, n, r, c in zip(kinds, names, raws, counted, strict=True)]
-    return pd.DataFrame({c: [m[c] for m in each] for c in _FIELDS})
+_FOUND, _NAMED = re.compile(TOKEN, re.A), re.compile(_NAME)
+_MEDIA = ("img", "video", "audio", "canvas", "svg", "object", "embed", "iframe", "table")
+_NBSP, _SEEN = re.compile("&nbsp;", re.I | re.A), re.compile(f"[^{SPACE[1:-1]}]".replace(r"\x{", r"\u").replace("}", "").replace(r"\u00A0", r"\xA0"), re.A)
+
+
+def tokens(html: str) -> tuple[list[str], list[str], list[str], list[bool]]:
+    """Of each token of markup its kind, name and text, and whether it counts: media, tables and texts that are not blank do."""
+    kinds, names, raws, counted = [], [], _FOUND.findall(html), []
+    for r in raws:
+        name = m[1].lower() if r[0] == "<" and (m := _NAMED.match(r)) else ""
+        names.append(name)
+        if r[0] != "<" or r == "<":
+            kinds.append("text")
+            counted.append(_SEEN.search(_NBSP.sub(" ", r) if "&" in r else r) is not None)
+            continue
+        close = r[1] == "/"
+        kinds.append("close" if close else "void" if not name or name in VOID or r[-2] == "/" else "open")
+        counted.append(not close and name in _MEDIA)
+    return kinds, names, raws, counted
+
+
+#: Characters of pages that are turned into arrays at a time. A limit of a task's memory; it decides nothing.
+_AT_ONCE = 1 << 20
+
+
+@F.arrow_udf(_NODE)
+def _matched(pages: pa.Array) -> pa.Array:
+    types = [f.type for f in to_arrow_type(_NODE)]
+    parts, held, sizes, size = [], {c: [] for c in _FIELDS}, [0], 0
+
+    def put() -> None:
+        ends = pa.array(sizes, pa.int32())
+        parts.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(held[c], t.value_type)).cast(t) for c, t in zip(_FIELDS, types, strict=True)], list(_FIELDS)))
+        for c in _FIELDS:
+            held[c].clear()
+
+    for text in pages:
+        html = text.as_py() or ""
+        kinds, names, raws, counted = tokens(html)
+        made = matched(kinds, names, raws, counted)
+        made["raw"], made["name"] = raws, ["" if k == "text" else n for k, n in zip(made["kind"], names, strict=True)]
+        for c in _FIELDS:
+            held[c].extend(made[c])
+        sizes.append(sizes[-1] + len(raws))
+        size += len(html)
+        if size >= _AT_ONCE:
+            put()
+            sizes, size = [0], 0
+    if len(sizes) > 1 or not parts:
+        put()
+    return pa.concat_arrays(parts)
 
 
 def nodes(pages: DataFrame, html: str) -> DataFrame:
@@ -146,19 +195,12 @@ def nodes(pages: DataFrame, html: str) -> DataFrame:
     null or repeat. Pages are dealt by _page before they are taken apart, so all that follows needs no other shuffle. Columns of pages should not have names of these.
     """
     kept = [F.col(f"`{c}`") for c in pages.columns if c != html]
-    found = pages.select(F.monotonically_increasing_id().alias("_page"), *kept, F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("_text")).repartition("_page")
-    found = found.select("_page", *kept, F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0)).alias("_raw"))
-    name = lambda r: F.lower(F.regexp_extract(r, _NAME, 1))
-    named = lambda r: F.when(r.rlike("^</?[A-Za-z]"), name(r)).otherwise("")
-    found = found.withColumn("_name", F.transform("_raw", named))
-    kind = lambda r, n: F.when(~r.rlike("^<[/!A-Za-z]"), "text").when(r.startswith("</"), "close").when((n == "") | n.isin(*VOID) | r.endswith("/>"), "void").otherwise("open")
-    found = found.withColumn("_kind", F.zip_with("_raw", "_name", kind))
-    counts = lambda r, n: F.when(n.isin("img", "video", "audio", "canvas", "svg", "object", "embed", "iframe", "table"), ~r.startswith("</")).otherwise((n == "") & ~r.rlike("^<[!/]") & (collapse(F.regexp_replace(r, "(?i)&nbsp;", " ")) != ""))
-    found = found.withColumn("_node", _matched("_kind", "_name", "_raw", F.zip_with("_raw", "_name", counts)))
-    parts = F.arrays_zip(F.col("_raw").alias("raw"), F.col("_name").alias("name"), *[F.col(f"_node.{c}").alias(c) for c in _FIELDS])
+    found = dealt(pages.select(F.monotonically_increasing_id().alias("_page"), *kept, F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("_text")), "_page")
+    found = found.select("_page", *kept, _matched("_text").alias("_node"))
+    parts = F.arrays_zip(*[F.col(f"_node.{c}").alias(c) for c in _FIELDS])
     rows = found.select("_page", *kept, F.posexplode_outer(parts).alias("pos", "_t")).select("_page", *kept, "pos", "_t.*")
     tag = F.col("kind").isin("open", "void") & (F.col("name") != "")
-    return rows.withColumns({"name": F.when(F.col("kind") == "text", "").otherwise(F.col("name")), "attrs": F.when(tag, attributes(F.col("raw"))), "changed": F.lit(False), "gone": F.lit(False), "after": F.lit("")})
+    return rows.withColumns({"attrs": F.when(tag, attributes(F.col("raw"))), "changed": F.lit(False), "gone": F.lit(False), "after": F.lit("")})
 
 
 # ---- attributes

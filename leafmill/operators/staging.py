@@ -23,3 +23,8 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{folder}/leafmill/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df, dealt by columns over as many tasks as spark.sql.shuffle.partitions says, however few bytes it has: for rows that few bytes make much work of."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
-from leafmill.operators.nodes import TOKEN, VOID, matched
+from leafmill.operators.nodes import matched, tokens
 from leafmill.sources import binary
 
-_FOUND = re.compile(TOKEN)
-_NAMED = re.compile(r"</?([A-Za-z][A-Za-z0-9:-]*)")
-
 
 class Nodes:
     def eval(self, html: str) -> Iterator[tuple]:
-        raws = _FOUND.findall(html or "")
-        names = [m[1].lower() if (m := _NAMED.match(r)) else "" for r in raws]
-        kinds = ["text" if not re.match("<[/!A-Za-z]", r) else "close" if r.startswith("</") else "void" if not n or n in VOID or r.endswith("/>") else "open" for r, n in zip(raws, names, strict=True)]
-        made = matched(kinds, names, raws, [False] * len(raws))
+        kinds, names, raws, counted = tokens(html or "")
+        made = matched(kinds, names, raws, counted)
         for i, (kind, parent, end) in enumerate(zip(made["kind"], made["parent"], made["end"], strict=True)):
             yield i, raws[i], kind, "" if kind == "text" else names[i], parent, end
 
