@@ -154,7 +154,7 @@ def tokens(html: str) -> tuple[list[str], list[str], list[str], list[bool]]:
 
 
 #: Characters of pages that are turned into arrays at a time. A limit of a task's memory; it decides nothing.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 18
 
 
 @F.arrow_udf(_NODE)
