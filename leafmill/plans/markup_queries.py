@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import legacy
 from leafmill.operators import blocks, nodes, pages, tree
+from leafmill.operators.staging import dealt
 from leafmill.plans.catalogue import _KIND, _LEVEL, _LINES, _STRIP, doc_lines, query, table
 from leafmill.plans.cleaning import clean_pages, profile
 
@@ -252,7 +253,7 @@ _CASES = ["Title: T{k3}", "Author:A{k2}", "created - 2024-05-0{k3}", "Last Modif
 def _stated_lines(spark, d):
     k = {"k2": (F.col("o_orderkey") % 2).cast("string"), "k3": (F.col("o_orderkey") % 3).cast("string")}
     made = [F.replace(F.replace(F.lit(c), F.lit("{k2}"), k["k2"]), F.lit("{k3}"), k["k3"]) for c in _CASES]
-    orders = table(spark, d, "orders")
+    orders = dealt(table(spark, d, "orders"), "o_custkey")
     titles = orders.where("o_custkey % 2 = 0").select("o_custkey", F.lit("T1 ").alias("title")).distinct()
     return blocks.page_metadata(orders.select("o_custkey", "o_orderkey", F.element_at(F.array(*made), (F.expr(_STATED) + 1).cast("int")).alias("line")), "o_custkey", "o_orderkey", "line", titles)
 
