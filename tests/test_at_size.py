@@ -21,6 +21,7 @@ def test_python_memory_of_nodes_is_bounded(monkeypatch):
         tracemalloc.stop()
         return most
 
+    peak(1)  # modules that are loaded at first use
     assert peak(80) < 1.3 * peak(20)
 
 
