@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import collapse, strip
+from leafmill.functions.text import SPACE, collapse, strip
+
+# Characters of a class one by one: Java looks these up in one table, and tries ranges one after another.
+_listed = lambda chars: "".join(f"\\x{ord(c):02X}" for c in chars)
+_PLAIN = _listed(string.ascii_letters + string.digits + " \t\n\x0b\f\r")
+_KNOWN = _PLAIN + _listed(",.;:'\"!?()-_/")
 
 # Fixed values that decide the output: patterns, limits and points of lines.
 INTERNAL = "resolutionId|provider=|hash=|localId|PageTitle|PageDateTime"
 _TWO_WORDS = r"^[A-Za-z]+\s[A-Za-z]+\z"
 _BULLET = r"^([-*•]|\d+[.)]|[A-Za-z][.)])\s+"
-_CLOCK, _DAY = r"\b\d{1,2}:\d{2}(:\d{2})?\b", r"\b\d{1,2}\s+[A-Za-z]+\s+\d{4}\b"
+# what looks ahead at the first character decides nothing: most places are left at once
+_CLOCK, _DAY = r"(?=\d)\b\d{1,2}:\d{2}(:\d{2})?\b", r"(?=\d)\b\d{1,2}\s+[A-Za-z]+\s+\d{4}\b"
 _NAMES = r"^[A-Z][a-z]+(\s+[A-Z][a-z]+){1,3}\z"
 _LOUD, _DIGITS = r"^[A-Z0-9]{3,}[!?]?\z", r"\d{2,}"
 #: Content has 4 to 180 characters, a letter or digit, and none of these.
-_NO_CONTENT = (r"^<.*>\z", f"(?i){INTERNAL}", r"(?i)^Calibri(\s|\z)", r"[^A-Za-z0-9\s]{3,}", _LOUD)
+_NO_CONTENT = (r"^<.*>\z", f"(?i){INTERNAL}", r"(?i)^Calibri(\s|\z)", f"[^{_PLAIN}]{{3}}", _LOUD)
 #: Least share of characters of a class in content; a line with two digits in a row needs the first alone.
-_SHARES = {r"A-Za-z0-9\s,.;:'\"!?()\-_/": 0.85, "A-Za-z": 0.25}
+_SHARES = {_KNOWN: 0.85, "A-Za-z": 0.25}
 #: Marks of binary content.
-_BINARY = (r"(?i)\b(IDAT|IHDR|JFIF|Exif|PK\x03\x04|%PDF|obj|endobj)\b", r"^[A-Za-z0-9+/=_-]{10,}\z", r"[^A-Za-z0-9\s,.;:'\"!?()\-_/]{2,}")
+_BINARY = (r"(?i)(?=[IJEPO%])\b(IDAT|IHDR|JFIF|Exif|PK\x03\x04|%PDF|obj|endobj)\b", r"^[A-Za-z0-9+/=_-]{10,}\z", f"[^{_KNOWN}]{{2}}")
+#: Two words of 3 letters or more.
+_WORDS = r"(?s)^(?>.*?[A-Za-z]{3}[A-Za-z]*+).+?[A-Za-z]{3}"
 #: Points of a line for what it has; structured lines have 4.
-_POINTS = ((_CLOCK, 1), (_DAY, 1), (r"\s", 1), (_LOUD, -2), ("|".join(f"(?:{p})" for p in _BINARY), -3))
+_POINTS = ((_WORDS, 2), (_CLOCK, 1), (_DAY, 1), (r"\s", 1), (_LOUD, -2), ("|".join(f"(?:{p})" for p in _BINARY), -3))
 #: Priority of a metadata value by key and source; the last of a key is that of other sources.
 _PRIORITY = {"title": {"line-key-value": 3, "hint": 1, "": 2}, "author": {"line-key-value": 3, "": 1}, "createdAt": {"line-key-value": 3, "line-heuristic": 2, "": 1}, "modifiedAt": {"line-key-value": 3, "line-heuristic": 2, "": 1}}
 #: Canonical metadata keys by label. Fixed values.
@@ -91,23 +101,44 @@ def cells(line: Column, stripped: bool = False) -> Column:
     return F.when(v.contains("\t") | v.contains("|") | v.rlike(r"\s{2}"), found)
 
 
+def is_row(v: Column) -> Column:
+    """Whether cells() of a line without white space at its ends are not null; cells are not made."""
+    cell = SPACE.replace("[", "[^|", 1)
+    piped = v.contains("|") & v.rlike(rf"{cell}[^|]*+\|{SPACE.replace('[', '[|', 1)}*+{cell}") & (v.startswith("|") | v.endswith("|") | v.rlike(r"\|[^|]*+\|"))
+    spaced = v.rlike(r"\s{2}") & v.rlike(r"(?s)^[^A-Za-z0-9]*+(?>.*?\s\s).*[A-Za-z0-9]")
+    return F.coalesce(v.contains("\t") | piped | spaced, F.lit(False))
+
+
+def _starts_block(v: Column) -> Column:
+    return v.rlike(_BULLET) | heading_level(v).isNotNull() | is_row(v)
+
+
 def is_separator(a: Column) -> Column:
     return (F.size(a) >= 2) & F.forall(a, lambda c: strip(c).rlike(r"^:?-{3,}:?\z"))
 
 
 def line_score(line: Column) -> Column:
     v = strip(line)
-    score = F.when(F.regexp_count(v, F.lit("[A-Za-z]{3,}")) >= 2, 2).otherwise(0)
+    score = F.lit(0)
     for pattern, points in _POINTS:
         score += F.when(v.rlike(pattern), points).otherwise(0)
-    structured = heading_level(v).isNotNull() | cells(v, True).isNotNull() | v.rlike(_BULLET)
+    structured = _starts_block(v)
     return F.when(v == "", None).when(structured, 4).otherwise(score)
 
 
+def paragraph_marks(line: Column) -> dict[str, Column]:
+    """What joins_paragraph() asks of a line, each of the line alone: full and ended of the one before, open and capital of the next."""
+    v = strip(line)
+    return {"full": v != "", "ended": v.rlike(r"[.!?;:]\z"), "open": (v != "") & ~_starts_block(v), "capital": v.rlike("^[A-Z][A-Za-z0-9]")}
+
+
+def joins_marks(full: Column, ended: Column, open_: Column, capital: Column) -> Column:
+    return F.coalesce(full & open_ & ~(ended & capital), F.lit(False))
+
+
 def joins_paragraph(before: Column, line: Column) -> Column:
-    p, n = strip(before), strip(line)
-    block = heading_level(n).isNotNull() | cells(n, True).isNotNull() | n.rlike(_BULLET)
-    return F.coalesce((p != "") & (n != "") & ~block & ~(p.rlike(r"[.!?;:]\z") & n.rlike("^[A-Z][A-Za-z0-9]")), F.lit(False))
+    p, n = paragraph_marks(before), paragraph_marks(line)
+    return joins_marks(p["full"], p["ended"], n["open"], n["capital"])
 
 
 def line_class(line: Column, stripped: bool = False, tables: bool = True) -> Column:
@@ -115,7 +146,7 @@ def line_class(line: Column, stripped: bool = False, tables: bool = True) -> Col
     v = line if stripped else strip(line)
     out = F.when(v == "", "blank")
     if tables:
-        out = out.when(cells(v, True).isNotNull(), "table")
+        out = out.when(is_row(v), "table")
     return out.when(v.rlike(r"^[-*•]\s+"), "ul").when(v.rlike(r"^(\d+[\.)]|[A-Za-z][\.)])\s+"), "ol").when(heading_level(v).isNotNull(), "heading").otherwise("paragraph")
 
 
