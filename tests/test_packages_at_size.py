@@ -60,3 +60,22 @@ def test_paths_of_entries(spark):
     paths = ["a", "\\a\\\\b\\", "/a//b", "a/b/", "//", "", None, "a\\b.one"]
     got = spark.createDataFrame(list(enumerate(paths)), "i int, p string").select("i", text.entry_path(F.col("p")).alias("p")).orderBy("i").collect()
     assert [r["p"] for r in got] == ["a", "a/b", "a/b", "a/b", "", "", None, "a/b.one"]
+
+
+def test_pools_are_read_for_pages_without_lines(spark):
+    spans = spark.createDataFrame([(1, 1, "T1", 0, 50), (1, 2, "T2", 60, 90), (2, 1, "T3", 0, 50)], "k int, page int, title string, seg_start long, seg_end long")
+    line = "Some content of line {} in the page"
+    records = spark.createDataFrame([(1, "wide", line.format(11), 5, 20), (1, "wide", line.format(12), 21, 40), (1, "ascii", line.format(11), 41, 45), (2, "wide", line.format(13), 5, 20)], "k int, encoding string, value string, rec_start long, rec_end long")
+    lines, sizes = importers.section_lines(spans, records, "k")
+    first, second = line.format(11), line.format(12)
+    assert sorted(map(tuple, lines.collect())) == [(1, 1, 1, first, False), (1, 1, 2, second, False), (1, 2, 1, first, True), (1, 2, 2, second, True), (2, 1, 1, line.format(13), False)]
+    assert sorted(map(tuple, sizes().collect())) == [(1, 2, 0), (2, 1, 0)]
+
+
+def test_joins_of_packages_carry_paths_not_names(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(importers, "kept", lambda df, keep=importers.kept: tables.append(df.columns) or keep(df))
+    files = import_queries._package_files(spark, "/root/testdata/sf0.001").where("o_orderkey = 4")
+    got = importers.packages(files, "o_orderkey", "content", "file")["pages"].select("section", "path", F.col("metadata")["sectionPath"].alias("at")).collect()
+    assert not any({"names", "folders"} & set(t) for t in tables)
+    assert sorted(map(tuple, got)) == [("Bad", "Book 4/Work/Plans/Bad/Bad.html", "Book 4/Work/Plans/Bad"), ("One 4", "Book 4/Work/Plans/One 4/Page of order 4.html", "Book 4/Work/Plans/One 4"), ("Two", "Book 4/Work/Two/Page of order 4.html", "Book 4/Work/Two")]
