@@ -70,8 +70,8 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], block: str, v
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (u, v): component is the smallest id reachable.
 
-    Alternating large-star and small-star steps; every step is a map-side combined minimum and an equi-join, and each
-    round is staged. Only counts and checksums come to the driver.
+    Alternating large-star and small-star steps; every step is a map-side combined minimum and an equi-join of which
+    neither side is broadcast, and each round is staged. Only counts and checksums come to the driver.
     """
     both = lambda e: e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     edges = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
@@ -79,9 +79,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         sides = both(edges)
         low = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = sides.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = sides.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = large.join(low.hint("merge"), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges, old = stage(small, "edges"), edges
         unstage(old)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()

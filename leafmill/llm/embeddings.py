@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import components, read, stage, union_edges, unstage
+from leafmill.llm.common import components, read, stage, union_edges
 
 
 @dataclass(frozen=True)
@@ -73,9 +73,9 @@ def _frame(width: int, config: Pigeonhole) -> Frame:
     return _frames[width, config]
 
 
-def _placed(reps: DataFrame, config: Pigeonhole) -> DataFrame:
-    """Each vector, by its id alone, in its own cell of each block, and in the later neighbouring cells as a visitor."""
-    offsets = np.array(_forward(config.grid))
+def _placed(reps: DataFrame, config: Pigeonhole, *carried: str) -> DataFrame:
+    """Each vector, by its id and the columns carried, in its own cell of each block, and in the later neighbouring cells as a visitor."""
+    offsets, kept, kinds = np.array(_forward(config.grid)), ["_rid", "width", *carried], dict(reps.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,12 +93,14 @@ def _placed(reps: DataFrame, config: Pigeonhole) -> DataFrame:
                     cell = cell * (1 << 20) + keys[..., g] + (1 << 19)
                 ends = np.arange(0, n * blocks * k + 1, blocks * k, dtype=np.int32)
                 item = pa.StructArray.from_arrays([pa.array(np.tile(np.repeat(np.arange(blocks, dtype=np.int32), k), n)), pa.array(cell.ravel()), pa.array(np.tile(np.arange(k) == 0, n * blocks))], ["block", "cell", "home"])
-                yield pa.RecordBatch.from_arrays([some.column("_rid"), some.column("width"), pa.ListArray.from_arrays(pa.array(ends), item)], ["_rid", "width", "keys"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), item)], [*kept, "keys"])
 
-    out = reps.mapInArrow(run, "_rid long, width int, keys array<struct<block:int,cell:long,home:boolean>>")
-    return out.select("_rid", "width", F.explode("keys").alias("k")).select("_rid", "width", "k.*")
+    out = reps.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", keys array<struct<block:int,cell:long,home:boolean>>")
+    return out.select(*kept, F.explode("keys").alias("k")).select(*kept, "k.*")
 
 
+#: Cells whose counts go to all tasks; more are joined by a shuffle. A limit of memory; it decides nothing.
+_CELLS = 1 << 16
 _LINKS = pa.schema([("_rid", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
 
 
@@ -160,8 +162,8 @@ def link_vectors(vectors: DataFrame, config: Pigeonhole = Pigeonhole()) -> DataF
     precision on the whole vectors. Tiles give counts and spanning links, never all pairs. Vectors that are null, empty,
     zero or hold null or non-finite components link with nothing, nor do vectors of other widths; rows that share a
     vec_id are vectors of their own. A row of null vec_id links with nothing and has a null component. Vectors may have
-    any width; an empty table gives no rows; other columns may have any names. Cells are staged by ids; the vectors
-    come to their tiles by a join.
+    any width; an empty table gives no rows; other columns may have any names. Cells are counted first, then vectors are
+    sent to their tiles; only counts of cells may be broadcast, and those of _CELLS cells at most.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -169,18 +171,20 @@ def link_vectors(vectors: DataFrame, config: Pigeonhole = Pigeonhole()) -> DataF
     rows = rows.withColumn("vector", F.when(usable, F.col("vector")))
     reps = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"))
     reps = stage(reps.withColumn("width", F.size("vector")).withColumn("_rid", F.monotonically_increasing_id()), "vectors")
-    placed = stage(_placed(reps, config), "cells")
     key = ["width", "block", "cell"]
-    sizes = placed.groupBy(*key).agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visits"))
-    sizes = sizes.where("homes > 0 and homes + visits > 1").withColumn("parts", F.ceil(F.greatest("homes", "visits") / config.tile).cast("int")).drop("homes", "visits")
-    put = placed.join(sizes, key).withColumn("s", F.pmod(F.xxhash64("_rid"), F.col("parts")).cast("int"))
+    sizes = _placed(reps, config).groupBy(*key).agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("visits"))
+    parts = lambda c: F.ceil(F.col(c) / config.tile).cast("int")
+    sizes = stage(sizes.where("homes > 0 and homes + visits > 1").select(*key, parts("homes").alias("parts"), parts("visits").alias("visit_parts")), "cells")
+    sizes = F.broadcast(sizes) if sizes.count() <= _CELLS else sizes.hint("merge")
+    put = _placed(reps, config, "mult", "vector").join(sizes, key).withColumn("s", F.pmod(F.xxhash64("_rid"), F.when(F.col("home"), F.col("parts")).otherwise(F.col("visit_parts"))).cast("int"))
+    # tile (a, b): part a of a cell's own vectors with themselves (a = b) or with part b > a, and with part b of its visitors
     tiles = F.expr(
         """if(home,
-            concat(transform(sequence(0, parts - 1), b -> named_struct('a', s, 'b', b, 'role', 0)),
+            concat(transform(filter(sequence(0, greatest(parts, visit_parts) - 1), b -> b >= s or b < visit_parts), b -> named_struct('a', s, 'b', b, 'role', 0)),
                    if(s > 0, transform(sequence(0, s - 1), a -> named_struct('a', a, 'b', s, 'role', 1)), array())),
             transform(sequence(0, parts - 1), a -> named_struct('a', a, 'b', s, 'role', 2)))"""
     )
-    put = put.select(*key, "_rid", F.explode(tiles).alias("t")).select(*key, "t.*", "_rid").join(reps.select("_rid", "mult", "vector"), "_rid")
+    put = put.select(*key, "_rid", "mult", "vector", F.explode(tiles).alias("t")).select(*key, "t.*", "_rid", "mult", "vector")
     group = [*key, "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,13 +217,14 @@ def link_vectors(vectors: DataFrame, config: Pigeonhole = Pigeonhole()) -> DataF
             yield out
 
     links = stage(put.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "_rid long, root long, n long"), "links")
-    unstage(placed)
     joined = components(links.select(F.col("_rid").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("_rid").agg(F.sum("n").alias("n"))
-    known = reps.join(counts, "_rid", "left").join(joined.withColumnRenamed("id", "_rid"), "_rid", "left").withColumn("component", F.coalesce("component", "_rid"))
+    # files of ids are small, their rows are not: none of these tables may pass the driver to be broadcast
+    whole = lambda df: df.hint("merge")
+    known = reps.join(whole(counts), "_rid", "left").join(whole(joined.withColumnRenamed("id", "_rid")), "_rid", "left").withColumn("component", F.coalesce("component", "_rid"))
     lowest = known.groupBy("component").agg(F.min("low").alias("component_id"))
-    known = known.join(lowest, "component").select(F.col("vector").alias("_vector"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.where("vector is not null").join(known, F.col("vector") == F.col("_vector"))
+    known = known.join(whole(lowest), "component").select(F.col("vector").alias("_vector"), (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.where("vector is not null").join(whole(known), F.col("vector") == F.col("_vector"))
     out = out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     # those that link with nothing are no key of a join
     return out.union(rows.where("vector is null").select("vec_id", F.lit(0).cast("long"), "vec_id", F.lit(True)))
