@@ -88,3 +88,19 @@ def test_lines_are_scored_once(spark, monkeypatch):
     made = importers.sections(import_queries._section_files(spark, DATA).where("l_orderkey < 40"), "l_orderkey", "content", "file")
     plans = [made[name]._jdf.queryExecution().optimizedPlan().toString() for name in ("pages", "notices")]
     assert len(asked) == 1 and not any("IHDR" in p for p in plans)
+
+
+def test_notices_gather_lines_of_pages_once(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(importers, "kept", lambda df, keep=importers.kept: tables.append(df.columns) or keep(df))
+    titles = "\1".join(["Page one of 12", "PageTitle", "Title: Some other title of it 12", "Title: Yet another title of it 12", "Author: Someone of the team", "see the object 12"])
+    rows = [(1, "a.one", binary.SECTION + f"\1{titles}\1".encode("utf-16le")), (2, "b.one", binary.SECTION), (3, "c.one", b"none")]
+    made = importers.sections(spark.createDataFrame(rows, "k long, file string, content binary"), "k", "content", "file")
+    notices = made["notices"]
+    assert not any("conflicts" in t or "known" in t for t in tables)
+    plan = notices._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(CASE WHEN") + plan.count("collect_list(_said") == 1 and "Join FullOuter" not in plan
+    got = {r["k"]: (r["notices"] and [n["message"] for n in r["notices"]], r["error"]) for r in notices.collect()}
+    assert got[1][0][1:4] == ["1 pages from 1 titles.", "4 lines in the pool, 0 left out, used on 0 pages.", "2 conflicts of metadata, 1 replaced by priority."] and got[1][0][5] == "1 hints of embedded objects."
+    assert got[2][0][1:3] == ["1 pages from 0 titles.", "0 lines in the pool, 0 left out, used on 1 pages."] and got[3] == (None, "no section signature")
+    assert sorted(tuple(r)[2:] for r in made["conflicts"].collect()) == [(0, "title", "Page one of 12", "Some other title of it 12", "hint", "line-key-value", "replaced-by-priority"), (1, "title", "Some other title of it 12", "Yet another title of it 12", "line-key-value", "line-key-value", "kept-existing")]
